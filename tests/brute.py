@@ -77,3 +77,83 @@ def points(spark, x, ids=None, **cols):
     names = list(cols)
     rows = [(int(i), [float(v) for v in row], *[int(cols[c][a]) for c in names]) for a, (i, row) in enumerate(zip(ids, x))]
     return spark.createDataFrame(rows, ", ".join(["row_id long", "x array<double>", *[f"{c} int" for c in names]]))
+
+
+def optics_walk(x, min_samples):
+    """Order, reachability, predecessor of the sequential walk (lowest index on ties)."""
+    n, d = len(x), dist(x)
+    core = np.sort(d, axis=1)[:, min_samples - 1]
+    reach, pred, todo, order = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool), []
+    for _ in range(n):
+        left = np.nonzero(todo)[0]
+        p = left[np.argmin(reach[left])]
+        todo[p] = False
+        order.append(int(p))
+        w = np.maximum(core[p], d[p])
+        up = todo & (w < reach)
+        reach[up], pred[up] = w[up], p
+    return np.array(order), reach, pred, core
+
+
+def _region(steep, against, start, min_samples):
+    end, other = start, 0
+    for i in range(start, len(steep)):
+        if steep[i]:
+            end, other = i, 0
+        elif against[i]:
+            break
+        else:
+            other += 1
+            if other > min_samples:
+                break
+    return end
+
+
+def xi_labels(order, reach, pred, min_samples, xi):
+    """Labels by one sequential scan of the whole plot."""
+    r = np.append(reach[order], np.inf)
+    n, keep = len(order), 1 - xi
+    with np.errstate(invalid="ignore", divide="ignore"):
+        q = r[:-1] / r[1:]
+    up, down, rise, fall = q <= keep, q >= 1 / keep, q < 1, q > 1
+    where = {int(v): i for i, v in enumerate(order)}
+    pp = [where.get(int(pred[v]), -1) for v in order]
+    open_down, clusters, index, mib = [], [], 0, 0.0
+    for at in np.nonzero(up | down)[0]:
+        if at < index:
+            continue
+        mib = max(mib, r[index:at + 1].max())
+        open_down = [] if np.isinf(mib) else [dict(a, mib=max(a["mib"], mib)) for a in open_down if mib <= r[a["s"]] * keep]
+        if down[at]:
+            e = _region(down, rise, at, min_samples)
+            open_down.append({"s": int(at), "e": e, "mib": 0.0})
+            index = e + 1
+        else:
+            e = _region(up, fall, at, min_samples)
+            index = e + 1
+            new = []
+            for a in open_down:
+                s, t, top = a["s"], e, r[a["s"]]
+                if r[t + 1] * keep < a["mib"]:
+                    continue
+                if top * keep >= r[t + 1]:
+                    while r[s + 1] > r[t + 1] and s < a["e"]:
+                        s += 1
+                elif r[t + 1] * keep >= top:
+                    while r[t - 1] > top and t > at:
+                        t -= 1
+                while s < t and not (r[s] > r[t] or s <= pp[t] < t):
+                    t -= 1
+                if s >= t or t - s + 1 < min_samples or s > a["e"] or t < at:
+                    continue
+                new.append((s, t))
+            clusters += new[::-1]
+        mib = r[index]
+    lab, c = np.full(n, -1), 0
+    for s, t in clusters:
+        if (lab[s:t + 1] == -1).all():
+            lab[s:t + 1] = c
+            c += 1
+    out = np.empty(n, int)
+    out[order] = lab
+    return out
