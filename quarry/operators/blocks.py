@@ -26,6 +26,7 @@ SAMPLE_BYTES = 64 << 20    # driver memory for the sample that places the splits
 MAX_DEPTH = 16
 BROADCAST_BYTES = 32 << 20  # blocks are broadcast only when their computed size is under this
 BOXES_PER_CHUNK = 2048
+SMALL_PAIRS = 2_000_000_000  # with fewer row pairs than this, finding out what to skip costs more than it saves
 
 
 @dataclass
@@ -38,13 +39,18 @@ class Blocks:
     dim: int
     extras: list[str] = field(default_factory=list)
 
+    @property
+    def small(self) -> bool:
+        return self.rows * self.rows <= SMALL_PAIRS
+
     @property
     def fits_broadcast(self) -> bool:
         return self.rows * (self.dim + 1 + len(self.extras)) * 8 <= BROADCAST_BYTES
 
 
-def build(df: DataFrame, key: str = "row_id", vec: str = "x", extras: Sequence[str] = (), block_rows: int | None = None, stable: bool = False) -> Blocks:
-    """Pack ``(key, vec, extras...)``. ``stable`` says that ``df`` is already read from storage."""
+def build(df: DataFrame, key: str = "row_id", vec: str = "x", extras: Sequence[str] = (), block_rows: int | None = None, stable: bool = False, spatial: bool | None = None) -> Blocks:
+    """Pack ``(key, vec, extras...)``. ``stable`` says that ``df`` is already read from storage;
+    ``spatial`` forces or forbids blocks of nearby rows, which small inputs do without."""
     spark = df.sparkSession
     cols = [F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("x"), *[F.col(e) for e in extras]]
     base = df.select(*cols) if stable else cut(df.select(*cols))
@@ -55,10 +61,12 @@ def build(df: DataFrame, key: str = "row_id", vec: str = "x", extras: Sequence[s
     if facts["d0"] != dim:
         raise ValueError("vectors of different length")
     most = max(1, min(MAX_BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dim))))
-    rows = block_rows or min(most, max(MIN_BLOCK_ROWS, math.ceil(n / (4 * parallelism(spark)))))
+    rows = block_rows or min(most, max(MIN_BLOCK_ROWS, math.ceil(n / (2 * parallelism(spark)))))
     want = math.ceil(n / rows)
+    if spatial is None:
+        spatial = n * n > SMALL_PAIRS
     sample_rows = max(1024, min(1 << 20, SAMPLE_BYTES // (8 * max(1, dim))))
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(want))), max(0, int(math.log2(max(1, min(n, sample_rows) / 8)))))
+    depth = 0 if not spatial else min(MAX_DEPTH, max(0, math.ceil(math.log2(want))), max(0, int(math.log2(max(1, min(n, sample_rows) / 8)))))
     every = max(1, n // sample_rows)
     picked = base.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("x").toArrow().column("x") if depth else None
     tree = SplitTree(_matrix(picked.combine_chunks(), dim), depth) if depth else None
@@ -72,16 +80,19 @@ def build(df: DataFrame, key: str = "row_id", vec: str = "x", extras: Sequence[s
         placed = base.withColumn("_cell", cell("x"))
     else:
         placed = base.withColumn("_cell", F.lit(0))
-    sizes = {r["_cell"]: r["count"] for r in placed.groupBy("_cell").count().collect()}
+    if depth:
+        sizes = {r["_cell"]: r["count"] for r in placed.groupBy("_cell").count().collect()}
+    else:
+        sizes = {0: n}
     first, parts, total = [], [], 0
     for c in range(max(sizes) + 1):
         k = math.ceil(sizes.get(c, 0) / rows)
         first.append(total)
         parts.append(max(1, k))
         total += k
-    slot = F.element_at(F.lit(np.array(first, dtype="int32")), F.col("_cell") + 1) + F.pmod(
-        F.xxhash64("id"), F.element_at(F.lit(np.array(parts, dtype="int32")), F.col("_cell") + 1).cast("bigint")
-    ).cast("int")
+    at = F.col("_cell") + 1
+    within = F.pmod(F.xxhash64("id"), F.element_at(F.lit(np.array(parts, dtype="int32")), at).cast("bigint")).cast("int")
+    slot = F.element_at(F.lit(np.array(first, dtype="int32")), at) + within
     packed = placed.withColumn("bid", slot).groupBy("bid").agg(F.sort_array(F.collect_list(F.struct("id", "x", *extras))).alias("r"))
     out = packed.select(
         "bid", F.size("r").alias("n"), F.col("r.id").alias("ids"), F.flatten("r.x").alias("x"), *[F.col(f"r.{e}").alias(e) for e in extras],
@@ -167,18 +178,20 @@ def sweep(queries: Blocks, data: Blocks, links: DataFrame, kernel: Kernel, q_ext
     return both.mapInArrow(run, kernel.schema)
 
 
-def all_links(spark: SparkSession, n_queries: int, n_data: int, half: bool = False) -> DataFrame:
-    """Every block pair; with ``half`` each unordered pair once, the same number per block.
+def _tasks(spark: SparkSession, n_queries: int) -> int:
+    """One wave of tasks for few blocks, several for many, so that slow tasks even out."""
+    cores = parallelism(spark)
+    return min(n_queries, cores if n_queries <= 16 * cores else 4 * cores)
+
 
-    Block ``i`` is paired with the blocks that follow it on a circle, half-way round.
+def all_links(spark: SparkSession, n_queries: int, n_data: int, half: bool = False) -> DataFrame:
+    """Every block pair, a query's own place first; with ``half`` each unordered pair once, the same
+    number per block: block ``i`` is paired with the blocks that follow it on a circle, half-way round.
     """
-    tasks = min(n_queries, 4 * parallelism(spark))
-    i = spark.range(0, n_queries, 1, tasks).select(F.col("id").cast("int").alias("i"))
-    if not half:
-        return i.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_data - 1))))
-    reach = n_data // 2
+    i = spark.range(0, n_queries, 1, _tasks(spark, n_queries)).select(F.col("id").cast("int").alias("i"))
+    reach = n_data // 2 if half else n_data - 1
     steps = i.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(reach))))
-    if n_data % 2 == 0:
+    if half and n_data % 2 == 0:
         steps = steps.filter((F.col("o") < reach) | (F.col("i") < reach))
     return steps.select("i", ((F.col("i") + F.col("o")) % F.lit(n_data)).cast("int").alias("j"))
 
@@ -245,8 +258,7 @@ def pruned_links(queries: DataFrame, data: DataFrame, n_queries: int, n_data: in
                     yield pa.RecordBatch.from_pydict({"i": pa.array(side["q"].facts["bid"][r], pa.int32()), "j": pa.array(side["d"].facts["bid"][c], pa.int32())})
 
     found = pairs.mapInArrow(run, "i int, j int")
-    tasks = min(n_queries, 4 * parallelism(spark))
-    return found.repartition(tasks, "i").sortWithinPartitions("i", "j")
+    return found.repartition(_tasks(spark, n_queries), "i").sortWithinPartitions("i", "j")
 
 
 def columns_batch(**cols) -> pa.RecordBatch:

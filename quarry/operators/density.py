@@ -29,7 +29,7 @@ from quarry.operators.blocks import Block, Blocks, Kernel, columns_batch
 from quarry.session import cut
 
 DRIVER_COMPONENTS = 4096  # merged on the driver up to this many components, by joins beyond
-PRUNE_BLOCKS = 64         # with fewer blocks than this a search bound costs more than it saves
+DOUBLINGS = 3             # pointer doublings between two writes
 CHUNK = 100_000           # points of the reachability plot that one task scans
 
 
@@ -88,22 +88,22 @@ def _lightest(found: DataFrame) -> DataFrame:
     return found.groupBy("ci").agg(F.min(key).alias("k")).select("ci", "k.*")
 
 
-def _roots(spark: SparkSession, picked: DataFrame, driver_limit: int) -> tuple[DataFrame, int]:
-    """``(comp, root)`` after every component joins the one its edge leads to, and the number of roots."""
-    n = picked.count()
-    if n <= driver_limit:
-        parent = {r["ci"]: r["cj"] for r in picked.select("ci", "cj").collect()}
-        parent = {c: (c if parent.get(p) == c and c < p else p) for c, p in parent.items()}
-        root = {}
-        for c in parent:
-            path = []
-            while c not in root and parent[c] != c:
-                path.append(c)
-                c = parent[c]
-            top = root.get(c, c)
-            for v in [*path, c]:
-                root[v] = top
-        return spark.createDataFrame(list(root.items()), "comp bigint, root bigint"), len(set(root.values()))
+def _follow(parent: dict[int, int]) -> dict[int, int]:
+    """Root of every component after each joins the one its edge leads to."""
+    parent = {c: (c if parent[p] == c and c < p else p) for c, p in parent.items()}
+    root: dict[int, int] = {}
+    for c in parent:
+        path = []
+        while c not in root and parent[c] != c:
+            path.append(c)
+            c = parent[c]
+        top = root.get(c, c)
+        root.update(dict.fromkeys([*path, c], top))
+    return root
+
+
+def _roots(picked: DataFrame) -> tuple[DataFrame, int]:
+    """As :func:`_follow` by pointer doubling: ``(comp, root)`` and the number of roots."""
     back = picked.select(F.col("ci").alias("p"), F.col("cj").alias("pp"))
     links = picked.select("ci", "cj").join(back, F.col("cj") == F.col("p"))
     own = (F.col("pp") == F.col("ci")) & (F.col("ci") < F.col("cj"))
@@ -120,18 +120,25 @@ def spanning_tree(points: DataFrame, driver_limit: int = DRIVER_COMPONENTS) -> D
     """``(i, j, w, d)``: minimum spanning tree of mutual reachability ``max(core_i, core_j, dist)`` over
     ``points(row_id, x, core)``. Each round every component takes its lightest outgoing edge."""
     spark = points.sparkSession
-    b = blocks.build(points, "row_id", "x", ["core"])
+    b = blocks.build(points, "row_id", "x", ["core"], stable=True)
     members = b.df.select("bid", F.explode("ids").alias("id"))
     state = cut(members.withColumn("comp", F.col("id")))
     components, edges = b.rows, None
-    box = cut(blocks.boxes(b, b.df.select("bid", F.array_min("core").alias("low_core")), ["low_core"])) if b.count > PRUNE_BLOCKS else None
+    box = cut(blocks.boxes(b, b.df.select("bid", F.array_min("core").alias("low_core")), ["low_core"])) if not b.small else None
     while components > 1:
-        found = _search(b, box, state)
-        picked = cut(_lightest(found))
-        fresh = picked.select(F.col("lo").alias("i"), F.col("hi").alias("j"), "w", "d").distinct()
+        picked = _lightest(_search(b, box, state))
+        if components <= driver_limit:
+            rows = picked.collect()
+            fresh = spark.createDataFrame(sorted({(r["lo"], r["hi"], r["w"], r["d"]) for r in rows}), "i bigint, j bigint, w double, d double")
+            root = _follow({r["ci"]: r["cj"] for r in rows})
+            roots, components = spark.createDataFrame(list(root.items()), "comp bigint, root bigint"), len(set(root.values()))
+        else:
+            picked = cut(picked)
+            fresh = picked.select(F.col("lo").alias("i"), F.col("hi").alias("j"), "w", "d").distinct()
+            roots, components = _roots(picked)
         edges = fresh if edges is None else edges.unionByName(fresh)
-        roots, components = _roots(spark, picked, driver_limit)
-        state = cut(state.join(roots, "comp").select("bid", "id", F.col("root").alias("comp")))
+        if components > 1:
+            state = cut(state.join(roots, "comp").select("bid", "id", F.col("root").alias("comp")))
     if edges is None:
         return spark.createDataFrame([], "i bigint, j bigint, w double, d double")
     return cut(edges.distinct())
@@ -145,10 +152,11 @@ def _search(b: Blocks, box: DataFrame | None, state: DataFrame) -> DataFrame:
         return lambda s: s.groupBy("bid").agg(rows.alias("r"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.max(bound).alias("b_hi")).select(
             "bid", F.col("r.comp").alias("comp"), F.col("r.bound").alias("bound"), "c_lo", "c_hi", "b_hi")
 
-    free = cut(arrays(F.lit(float("inf")))(state))
+    free = arrays(F.lit(float("inf")))(state)
     if box is None:
         links = blocks.all_links(spark, b.count, b.count)
         return blocks.sweep(b, b, links, _Foreign(), free.select("bid", "comp", "bound"), free.select("bid", "comp"))
+    free = cut(free)
     facts = box.join(free.select("bid", "c_lo", "c_hi"), "bid")
 
     def mixed(q, d):
@@ -193,8 +201,9 @@ def root_tree(tree: DataFrame, start: int) -> DataFrame:
         F.when(~last, F.col("a")).alias("su"), F.when(~last, F.coalesce(after, F.first("b").over(whole))).alias("sv"),
     )
     tour = cut(step.withColumn("left", F.when(F.col("su").isNull(), 0).otherwise(1).cast("bigint")))
-    while not tour.filter(F.col("su").isNotNull()).isEmpty():
-        for _ in range(2):
+    rounds = math.ceil(math.log2(max(2, tour.count())))
+    for done in range(0, rounds, DOUBLINGS):
+        for _ in range(min(DOUBLINGS, rounds - done)):
             nxt = tour.select(F.col("u").alias("su"), F.col("v").alias("sv"), F.col("su").alias("nu"), F.col("sv").alias("nv"), F.col("left").alias("more"))
             tour = tour.join(nxt, ["su", "sv"], "left").select("u", "v", "w", "d", F.col("nu").alias("su"), F.col("nv").alias("sv"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
         tour = cut(tour)
@@ -218,7 +227,7 @@ def path_keys(rooted: DataFrame, cores: DataFrame, start: int) -> DataFrame:
     own = F.array(F.struct("w", kind.alias("kind"), F.col("v").alias("id")))
     state = cut(rooted.select("v", "parent", own.alias("keys")).unionByName(top).withColumn("at", F.col("parent")))
     while not state.filter(F.col("at").isNotNull()).isEmpty():
-        for _ in range(2):
+        for _ in range(DOUBLINGS):
             above = state.select(F.col("v").alias("at"), F.col("keys").alias("upper"), F.col("at").alias("on"))
             kept = F.filter("upper", lambda k: k > F.col("keys")[0])
             state = state.join(above, "at", "left").select("v", "parent", F.when(F.col("upper").isNull(), F.col("keys")).otherwise(F.concat(kept, "keys")).alias("keys"), F.col("on").alias("at"))

@@ -15,10 +15,11 @@ from quarry.operators.blocks import list_array
 from quarry.operators.pca import PcaModel
 from quarry.operators.prepare import Scale
 from quarry.operators.validate import sq_gap
-from quarry.session import cut
+from quarry.session import cut, parallelism
 
 SEED_ROWS = 8192   # rows that the starting centres are drawn from
 CHUNK_ROWS = 4096
+TASK_ROWS = 20_000   # fewer rows than this are not worth a task of their own
 
 
 @dataclass
@@ -95,6 +96,7 @@ def fit_grid(df: DataFrame, ks: Sequence[int], restarts: int = 10, max_iter: int
     spread = points.agg(*[F.var_pop(F.col("x")[t]).alias(f"v{t}") for t in range(dim)]).first()
     limit = tol * float(np.mean([spread[t] for t in range(dim)]))
     every = max(1, n // SEED_ROWS)
+    points = points.coalesce(max(1, min(points.rdd.getNumPartitions(), n // TASK_ROWS))) if n < TASK_ROWS * parallelism(df.sparkSession) else points
     drawn = points.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy("id").toArrow().column("x").combine_chunks()
     sample = drawn.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
     runs = {}

@@ -16,7 +16,7 @@ SLACK = 1 + 1e-12  # keeps a block whose box touches the current radius in spite
 
 
 class _Radius(Kernel):
-    """Distance to the k-th point of a query's own block: an upper bound of its true k-th distance."""
+    """Distance to the k-th point of one nearby block: an upper bound of the true k-th distance."""
 
     schema = "bid int, radius array<double>, widest double"
 
@@ -41,7 +41,8 @@ class _Nearest(Kernel):
 
     def start(self, q: Block):
         n = len(q.ids)
-        return np.full((n, self.k), np.inf), np.full((n, self.k), np.iinfo(np.int64).max), q.radius * SLACK
+        bound = q.radius * SLACK if hasattr(q, "radius") else np.full(n, np.inf)
+        return np.full((n, self.k), np.inf), np.full((n, self.k), np.iinfo(np.int64).max), bound
 
     def feed(self, state, q: Block, d: Block):
         dist, who, bound = state
@@ -61,16 +62,25 @@ class _Nearest(Kernel):
         return columns_batch(id=q.ids, near=pa.ListArray.from_arrays(pa.array(offsets), items))
 
 
-def _own_block(b: Blocks) -> DataFrame:
-    return blocks.all_links(b.df.sparkSession, b.count, 1).select("i", F.col("i").alias("j"))
+def nearest_lists(q: Blocks, d: Blocks, k: int) -> DataFrame:
+    """``(id, near)``: per query point the ``k`` smallest ``(d2, id)`` of the data, itself included.
+
+    Each query block first looks at the data block nearest to it. That bounds every point's k-th distance,
+    and only blocks whose boxes come within the bound are visited after it.
+    """
+    if q.rows * d.rows <= blocks.SMALL_PAIRS:
+        found = blocks.sweep(q, d, blocks.all_links(q.df.sparkSession, q.count, d.count), _Nearest(k))
+        return _merged(found, k)
+    box_q = cut(blocks.boxes(q))
+    box_d = box_q if d is q else cut(blocks.boxes(d))
+    closest = blocks.pruned_links(box_q, box_d, q.count, d.count, lambda a, c, low, high: low <= low.min(axis=1, keepdims=True))
+    first = cut(blocks.sweep(q, d, closest.groupBy("i").agg(F.min("j").alias("j")), _Radius(k)))
+    box_q = cut(box_q.join(first.select("bid", "widest"), "bid"))
+    links = blocks.pruned_links(box_q, box_d, q.count, d.count, lambda a, c, low, high: low <= a.facts["widest"][:, None] * SLACK, ["widest"])
+    return _merged(blocks.sweep(q, d, links, _Nearest(k), q_extra=first.select("bid", "radius")), k)
 
 
-def nearest_lists(b: Blocks, k: int) -> DataFrame:
-    """``(id, near)``: the ``k`` smallest ``(d2, id)`` over all points, the point itself included."""
-    first = cut(blocks.sweep(b, b, _own_block(b), _Radius(k)))
-    box = cut(blocks.boxes(b, first, ["widest"]))
-    links = blocks.pruned_links(box, box, b.count, b.count, lambda q, d, low, high: low <= q.facts["widest"][:, None] * SLACK, ["widest"])
-    found = blocks.sweep(b, b, links, _Nearest(k), q_extra=first.select("bid", "radius"))
+def _merged(found: DataFrame, k: int) -> DataFrame:
     return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
@@ -90,31 +100,18 @@ def knn(df: DataFrame, k: int, key: str = "row_id", vec: str = "x") -> DataFrame
     base = df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("x"))
     if not has_copies(base):
         b = blocks.build(base, "id", "x")
-        return _edges(nearest_lists(b, k + 1).withColumnRenamed("id", "i"), k)
+        return _edges(nearest_lists(b, b, k + 1).withColumnRenamed("id", "i"), k)
     base = cut(base)
     order = Window.partitionBy("x").orderBy("id")
     ranked = base.withColumn("copy", F.row_number().over(order)).filter(F.col("copy") <= k + 1)
     ranked = cut(ranked)
-    b_all = blocks.build(ranked, "id", "x")
-    b_one = blocks.build(ranked.filter(F.col("copy") == 1), "id", "x")
-    lists = _nearest_between(b_one, b_all, k + 1)
+    b_all = blocks.build(ranked, "id", "x", stable=True)
+    b_one = blocks.build(ranked.filter(F.col("copy") == 1), "id", "x", stable=True)
+    lists = nearest_lists(b_one, b_all, k + 1)
     lead = ranked.filter(F.col("copy") == 1).select("id", "x").join(lists, "id").select("x", "near")
     return _edges(base.join(lead, "x").select(F.col("id").alias("i"), "near"), k)
 
 
-def _nearest_between(q: Blocks, d: Blocks, k: int) -> DataFrame:
-    """As :func:`nearest_lists` with different query and data points; the first bound comes from the
-    data block whose box is nearest."""
-    box_q, box_d = cut(blocks.boxes(q)), cut(blocks.boxes(d))
-    closest = blocks.pruned_links(box_q, box_d, q.count, d.count, lambda a, c, low, high: low <= low.min(axis=1, keepdims=True))
-    one = closest.groupBy("i").agg(F.min("j").alias("j"))
-    first = cut(blocks.sweep(q, d, one, _Radius(k)))
-    box_q = cut(box_q.join(first.select("bid", "widest"), "bid"))
-    links = blocks.pruned_links(box_q, box_d, q.count, d.count, lambda a, c, low, high: low <= a.facts["widest"][:, None] * SLACK, ["widest"])
-    found = blocks.sweep(q, d, links, _Nearest(k), q_extra=first.select("bid", "radius"))
-    return found.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-
-
 def _edges(lists: DataFrame, k: int) -> DataFrame:
     others = F.slice(F.filter("near", lambda r: r["j"] != F.col("i")), 1, k)
     spread = lists.select("i", F.posexplode(others).alias("p", "e"))

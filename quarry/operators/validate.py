@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +14,6 @@ from quarry.operators import blocks
 from quarry.operators.blocks import Block, Kernel, columns_batch, list_array
 from quarry.session import cut
 
-MANY_CLUSTERS = 256  # beyond this, per-cluster sums are merged as rows instead of as columns
-
 
 # ---------------------------------------------------------------- metrics linear in the rows
 
@@ -135,32 +134,49 @@ def silhouette_groups(df: DataFrame, labels: Sequence[str] = ("cluster",), vec:
     for c in labels:
         rows = sorted(groups.groupBy(c).agg(F.sum("w").alias("n")).collect(), key=lambda r: r[c])
         levels.append(np.array([r[c] for r in rows], dtype=np.int64))
-        counts.append([float(r["n"]) for r in rows])
+        counts.append(np.array([float(r["n"]) for r in rows]))
     b = blocks.build(groups, "id", "x", [*labels, "w"], stable=True)
     kernel = _ClusterSums(levels, labels)
     parts = blocks.sweep(b, b, blocks.all_links(df.sparkSession, b.count, b.count), kernel)
-    if kernel.width <= MANY_CLUSTERS:
-        sums = parts.groupBy("id").agg(F.array(*[F.sum(F.col("s")[t]) for t in range(kernel.width)]).alias("s"))
-    else:
-        flat = parts.select("id", F.posexplode("s").alias("p", "v")).groupBy("id", "p").agg(F.sum("v").alias("v"))
-        sums = flat.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("p", "v"))).alias("r")).select("id", F.col("r.v").alias("s"))
-    out = groups.join(sums, "id")
-    at = 0
-    for c, lv, n in zip(labels, levels, counts):
-        out = out.withColumn(f"sil_{c}", _silhouette(F.slice("s", at + 1, len(lv)), F.col(c), lv, n))
-        at += len(lv)
-    return out.drop("s")
-
-
-def _silhouette(sums: Column, own: Column, levels: np.ndarray, counts: list[float]) -> Column:
-    sizes = F.array(*[F.lit(v) for v in counts])
-    mine = F.array_position(F.array(*[F.lit(int(v)) for v in levels]), own.cast("int")).cast("int")
-    n_own = F.element_at(sizes, mine)
-    a = F.element_at(sums, mine) / (n_own - 1)
-    means = F.zip_with(sums, sizes, lambda s, n: s / n)
-    b = F.array_min(F.transform(means, lambda v, i: F.when(i != mine - 1, v)))
-    top = F.greatest(a, b)
-    return F.when(F.lit(len(levels)) < 2, F.lit(None).cast("double")).when(n_own <= 1, 0.0).when(top > 0, (b - a) / top).otherwise(0.0)
+    # a point's sums come from one task, or from few when the join was split
+    merged = parts.groupBy("id").agg(F.collect_list("s").alias("s")).join(groups.select("id", *labels), "id")
+    values = merged.select("id", "s", *labels).mapInArrow(_finish(levels, counts, labels), "id bigint, sil array<double>")
+    return groups.join(values, "id").select("x", *labels, "id", "w", *[F.col("sil")[t].alias(f"sil_{c}") for t, c in enumerate(labels)])
+
+
+def _finish(levels: list[np.ndarray], counts: list[np.ndarray], labels: Sequence[str]):
+    """Silhouettes from the cluster sums; NULL for a labeling with a single cluster."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = {f.name: batch.column(t) for t, f in enumerate(batch.schema)}
+            width = sum(len(v) for v in levels)
+            parts = cols["s"]
+            flat = parts.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(parts.offsets.to_numpy()))
+            sums = np.zeros((batch.num_rows, width))
+            np.add.at(sums, owner, flat)
+            rows, out, at = np.arange(batch.num_rows), np.zeros((batch.num_rows, len(labels))), 0
+            for m, (lv, n, c) in enumerate(zip(levels, counts, labels)):
+                own = np.searchsorted(lv, cols[c].to_numpy(zero_copy_only=False))
+                part = sums[:, at:at + len(lv)]
+                at += len(lv)
+                if len(lv) < 2:
+                    out[:, m] = np.nan
+                    continue
+                mean = part / n
+                mean[rows, own] = np.inf
+                b, single = mean.min(axis=1), n[own] <= 1
+                a = part[rows, own] / np.maximum(n[own] - 1, 1)
+                top = np.maximum(a, b)
+                out[:, m] = np.where(single | (top <= 0), 0.0, (b - a) / np.where(top > 0, top, 1.0))
+            values = pa.array(out.ravel(), from_pandas=True)
+            offsets = pa.array(np.arange(0, out.size + 1, len(labels), dtype=np.int32))
+            yield pa.RecordBatch.from_pydict({"id": cols["id"], "sil": pa.ListArray.from_arrays(offsets, values)})
+
+    return run
 
 
 def silhouette(df: DataFrame, labels: Sequence[str] = ("cluster",), vec: str = "x", key: str = "row_id") -> DataFrame:
@@ -225,14 +241,30 @@ def _settle(a: np.ndarray, b: np.ndarray, candidates: np.ndarray) -> np.ndarray:
 def dunn(df: DataFrame, labels: Sequence[str] | str = ("cluster",), vec: str = "x", key: str = "row_id") -> DataFrame:
     """``(model, closest, widest, dunn)``: smallest single-link distance between clusters over the largest
     cluster diameter; NULL with one cluster or zero diameter.
-
-    A first round over each block's own, nearest and farthest pair gives a lower bound of the diameters and
-    an upper bound of the gaps. Only block pairs whose boxes and labels can beat them are compared after it.
+    All labelings share one pass.
     """
     labels = [labels] if isinstance(labels, str) else list(labels)
     spark = df.sparkSession
     distinct = df.groupBy(F.col(vec).cast("array<double>").alias("x"), *labels).agg(F.min(F.col(key).cast("bigint")).alias("id"))
     b = blocks.build(distinct, "id", "x", labels)
+    if b.small:
+        wide, gap = _worst(blocks.sweep(b, b, blocks.all_links(spark, b.count, b.count, half=True), _Extremes(labels)), len(labels))
+    else:
+        wide, gap = _pruned_extremes(b, labels)
+    rows = []
+    for m, w, c in zip(labels, np.sqrt(wide).tolist(), np.sqrt(gap).tolist()):
+        rows.append((m, c, w, c / w if w > 0 else None) if np.isfinite(c) else (m, None, None, None))
+    return spark.createDataFrame(rows, "model string, closest double, widest double, dunn double")
+
+
+def _worst(found: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
+    got = found.agg(F.array(*[F.max(F.col("widest")[t]) for t in range(m)]).alias("w"), F.array(*[F.min(F.col("closest")[t]) for t in range(m)]).alias("c")).first()
+    return np.array(got["w"], dtype=float), np.array(got["c"], dtype=float)
+
+
+def _pruned_extremes(b: blocks.Blocks, labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A first round over each block's own, nearest and farthest pair gives a lower bound of the diameters
+    and an upper bound of the gaps; only block pairs whose boxes and labels can beat them follow."""
     ends = [c for m in labels for c in (f"lo_{m}", f"hi_{m}")]
     facts = b.df.select("bid", *[e for m in labels for e in (F.array_min(m).alias(f"lo_{m}"), F.array_max(m).alias(f"hi_{m}"))])
     box = cut(blocks.boxes(b, facts, ends))
@@ -242,14 +274,7 @@ def dunn(df: DataFrame, labels: Sequence[str] | str = ("cluster",), vec: str = "
         away = np.where(own, np.inf, low)
         return own | (away <= away.min(axis=1, keepdims=True)) | (high >= high.max(axis=1, keepdims=True))
 
-    def worst(links):
-        m = range(len(labels))
-        got = blocks.sweep(b, b, links, _Extremes(labels)).agg(
-            F.array(*[F.max(F.col("widest")[t]) for t in m]).alias("w"), F.array(*[F.min(F.col("closest")[t]) for t in m]).alias("c")
-        ).first()
-        return np.array(got["w"], dtype=float), np.array(got["c"], dtype=float)
-
-    wide, gap = worst(blocks.pruned_links(box, box, b.count, b.count, first))
+    wide, gap = _worst(blocks.sweep(b, b, blocks.pruned_links(box, box, b.count, b.count, first), _Extremes(labels)), len(labels))
 
     def can_beat(q, d, low, high):
         keep = np.zeros(low.shape, dtype=bool)
@@ -260,9 +285,6 @@ def dunn(df: DataFrame, labels: Sequence[str] | str = ("cluster",), vec: str = "
             keep |= (may_share & (high > wide[t])) | (may_differ & (low < gap[t]))
         return keep & (q.facts["bid"][:, None] < d.facts["bid"][None, :])
 
-    more_wide, more_gap = worst(blocks.pruned_links(box, box, b.count, b.count, can_beat, ends))
-    wide, gap = np.sqrt(np.fmax(wide, more_wide)), np.sqrt(np.fmin(gap, more_gap))
-    rows = []
-    for m, w, c in zip(labels, wide.tolist(), gap.tolist()):
-        rows.append((m, c, w, c / w if w > 0 else None) if np.isfinite(c) else (m, None, None, None))
-    return spark.createDataFrame(rows, "model string, closest double, widest double, dunn double")
+    links = blocks.pruned_links(box, box, b.count, b.count, can_beat, ends)
+    more_wide, more_gap = _worst(blocks.sweep(b, b, links, _Extremes(labels)), len(labels))
+    return np.fmax(wide, more_wide), np.fmin(gap, more_gap)

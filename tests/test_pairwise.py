@@ -13,8 +13,15 @@ SETS = {
 }
 
 
+@pytest.fixture(params=["all pairs", "pruned"])
+def pruning(request, monkeypatch):
+    """Small inputs skip pruning; force it in half of the runs."""
+    if request.param == "pruned":
+        monkeypatch.setattr("quarry.operators.blocks.SMALL_PAIRS", 0)
+
+
 @pytest.mark.parametrize("name", SETS)
-def test_knn_matches_brute_force(spark, name):
+def test_knn_matches_brute_force(spark, pruning, name):
     x = SETS[name]
     ids = [int(v) for v in RNG.permutation(len(x))]
     got = {}
@@ -24,7 +31,7 @@ def test_knn_matches_brute_force(spark, name):
 
 
 @pytest.mark.parametrize("name", SETS)
-def test_silhouette_and_dunn(spark, name):
+def test_silhouette_and_dunn(spark, pruning, name):
     x = SETS[name]
     lab = np.arange(len(x)) % 4
     lab[:3] = [9, 0, 0]
@@ -56,7 +63,7 @@ def test_linear_metrics(spark, name):
 
 
 @pytest.mark.parametrize("name", SETS)
-def test_projection_quality(spark, name):
+def test_projection_quality(spark, pruning, name):
     x = SETS[name]
     high, low = brute.points(spark, x), brute.points(spark, x[:, :2])
     assert quality.trustworthiness(high, low).first()[0] == pytest.approx(brute.trustworthiness(x, x[:, :2], 5), abs=1e-12)
