@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quarry import sources
 from quarry.functions.columns import as_vector
-from quarry.operators import compare, describe, kmeans, neighbours, pca, prepare, quality, reshape, validate
-from quarry.plans import features
+from quarry.operators import compare, density, describe, kmeans, neighbours, pca, prepare, quality, reshape, umap, validate
+from quarry.plans import features, pipeline
 from quarry.plans.features import CONTINUOUS, embeddings, embeddings_low, events_with_gaps, rfm, table
 from quarry.session import cut, scratch
 
@@ -112,9 +112,10 @@ def q_model_matrix(spark, d):
 
 
 def q_inverse_standardize(spark, d):
-    base = rfm(spark, d).select("row_id", *CONTINUOUS)
-    fit = prepare.fit_scaler(base, CONTINUOUS)
-    return rounded(prepare.inverse_standardize(prepare.standardize(base, fit), fit), CONTINUOUS, 4)
+    cols = [c for c in CONTINUOUS if c != "avg_price"]
+    base = rfm(spark, d).select("row_id", *cols)
+    fit = prepare.fit_scaler(base, cols)
+    return rounded(prepare.inverse_standardize(prepare.standardize(base, fit), fit), cols, 4)
 
 
 # ------------------------------------------------------------------ PCA
@@ -251,6 +252,78 @@ def q_kmeans_scatter(spark, d):
     return kmeans.scatter(kmeans.assign(_wide(spark, d)[4], {"cluster": c}), centres=c)
 
 
+# ------------------------------------------------------------------ density clustering and embedding
+
+
+def _high(spark, d):
+    scaled, cols, *_ = _wide(spark, d)
+    return _once("high", spark, d, lambda: cut(prepare.assemble(scaled, cols)))
+
+
+def _embedded(spark, d):
+    return _once("umap", spark, d, lambda: cut(umap.embed(_high(spark, d))))
+
+
+def _optics(spark, d):
+    return _once("optics", spark, d, lambda: density.optics(_wide(spark, d)[4], 5))
+
+
+def q_core_distance(spark, d):
+    edges = neighbours.knn(embeddings(spark, d), 4)
+    return rounded(density.core_distances(edges, 5), ["core"])
+
+
+def q_optics_scatter(spark, d):
+    return kmeans.scatter(_wide(spark, d)[4].join(_optics(spark, d)[1], "row_id"))
+
+
+def _spaces(spark, d):
+    return {"PCA": _wide(spark, d)[4], "UMAP": _once("umap points", spark, d, lambda: cut(pca.as_points(_embedded(spark, d))))}
+
+
+def _sensitivity(spark, d):
+    return _once("sensitivity", spark, d, lambda: density.sensitivity(_spaces(spark, d)))
+
+
+def q_optics_best(spark, d):
+    return compare.best_per_batch(_sensitivity(spark, d)[0], "min_samples", "run", "silhouette")
+
+
+def _target(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").alias("y"))
+
+
+def _comparison(spark, d):
+    def make():
+        spaces, parts = _spaces(spark, d), []
+        runs = _sensitivity(spark, d)[2]
+        for name, points in spaces.items():
+            if name == "PCA":
+                grid = _grid(spark, d)
+            else:
+                grid = cut(kmeans.grid_metrics(points.join(_target(spark, d), "row_id"), kmeans.fit_grid(points, K_RANGE), "y"))
+            best = kmeans.select_k(grid).filter("metric = 'silhouette'").first()["k"]
+            parts.append(grid.filter(F.col("k") == best).select(F.lit(f"k-means {name}").alias("model"), "metric", "value"))
+            for ms in (5, 15):
+                labels = runs.filter((F.col("space") == name) & (F.col("min_samples") == ms)).select("row_id", "cluster")
+                parts.append(cut(pipeline.density_metrics(points, labels, _target(spark, d), f"density {name} ms={ms}")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return cut(out)
+
+    return _once("comparison", spark, d, make)
+
+
+def _methods(spark, d):
+    return _once("methods", spark, d, lambda: pipeline.projection_quality(_high(spark, d), _spaces(spark, d)))
+
+
+def q_side_by_side(spark, d):
+    flat = pca.project(_wide(spark, d)[0], _wide(spark, d)[3])
+    return pca.side_by_side({"PCA": flat, "UMAP": _embedded(spark, d)})
+
+
 # ------------------------------------------------------------------ validation and comparison
 
 
@@ -350,5 +423,22 @@ def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "metric_minmax": lambda s, d: rounded(compare.minmax(_metric_rows(s, d)), ["scaled"]).withColumn("value", F.round("value", 4)),
         "model_compare": lambda s, d: compare.model_table(_metric_rows(s, d), ["mean_price", "mean_discount", "rows"]),
         "best_per_batch": q_best_per_batch,
+        "core_distance": q_core_distance,
+        "optics_reachability": lambda s, d: _optics(s, d)[0],
+        "optics_labels": lambda s, d: _optics(s, d)[1],
+        "optics_summary": lambda s, d: density.run_summary(_wide(s, d)[4], _optics(s, d)[1]),
+        "optics_scatter": q_optics_scatter,
+        "umap_graph": lambda s, d: umap.fuzzy_graph(neighbours.knn(_high(s, d), 14)),
+        "umap_embed": _embedded,
+        "umap_sweep": lambda s, d: umap.sweep(_high(s, d)),
+        "projections_side_by_side": q_side_by_side,
+        "projection_quality": _methods,
+        "projection_winners": lambda s, d: quality.compare_methods(_methods(s, d), "PCA", "UMAP"),
+        "projection_decision": lambda s, d: quality.decide(quality.compare_methods(_methods(s, d), "PCA", "UMAP"), "UMAP", "PCA"),
+        "optics_sensitivity": lambda s, d: _sensitivity(s, d)[0],
+        "optics_sensitivity_plots": lambda s, d: _sensitivity(s, d)[1],
+        "optics_best": q_optics_best,
+        "final_comparison": lambda s, d: compare.model_table(_comparison(s, d), kmeans.GRID_METRICS + ["clusters", "noise_pct", "min_size", "max_size"]),
+        "final_normalised": lambda s, d: pipeline.normalised(_comparison(s, d)),
     }
     return q

@@ -42,8 +42,8 @@ def _long(t: str, cols, ids: str = "") -> str:
     return _union(f"SELECT {ids}'{c}' AS variable, {c}::DOUBLE AS value FROM {t}" for c in cols)
 
 
-FENCE = """f AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
-  g AS (SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM f)"""
+FENCE = """qf AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+  g AS (SELECT q1, q3, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM qf)"""
 
 
 def _zscore(cols) -> str:
@@ -160,7 +160,7 @@ def oracle() -> dict[str, str]:
         "model_matrix": f"WITH {RFM} SELECT row_id, {_rounded(CONT)}, {onehot('c_mktsegment', SEG)} FROM rfm",
         "standardize": f"WITH {z} SELECT row_id, {_rounded(CONT)} FROM z",
         "standardize_check": f"WITH {z} " + _union(f"SELECT '{c}' AS variable, round(avg({c}), 4) + 0.0 AS mean, round(stddev_samp({c}), 4) AS std FROM z" for c in CONT),
-        "inverse_standardize": f"WITH {RFM} SELECT row_id, {_rounded(CONT, 4)} FROM rfm",
+        "inverse_standardize": f"WITH {RFM} SELECT row_id, {_rounded([c for c in CONT if c != 'avg_price'], 4)} FROM rfm",
         # PCA on two columns, closed form
         "pca_eigen2": f"{PCA2} SELECT 1 AS pc, round(l1, 4) AS eigenvalue, round(l1 / (l1 + l2), 6) AS ratio, round(l1 / (l1 + l2), 6) AS cum FROM p UNION ALL SELECT 2, round(l2, 4), round(l2 / (l1 + l2), 6), 1.0 FROM p",
         "pca2_loadings": f"{PCA2} SELECT 'recency' AS variable, 1 AS pc, round(p11, 6) AS loading FROM p UNION ALL SELECT 'n_orders', 1, round(p12, 6) FROM p UNION ALL SELECT 'recency', 2, round(p21, 6) FROM p UNION ALL SELECT 'n_orders', 2, round(p22, 6) FROM p",
@@ -184,6 +184,7 @@ def oracle() -> dict[str, str]:
         "inertia": f"WITH {MOM} SELECT round(sum(w), 6) AS inertia FROM sp",
         "agreement_labels": _agree("t AS (SELECT quality AS a, toxic AS b FROM labels)"),
         "agreement_flags": _agree("t AS (SELECT l_linenumber AS g, l_returnflag AS a, l_linestatus AS b FROM lineitem)", "g").replace("SELECT g, n::BIGINT", "SELECT g AS l_linenumber, n::BIGINT"),
+        "core_distance": f"WITH {DIST} SELECT i AS row_id, round(dh, 6) AS core FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY dh, j) = 4",
         # model comparison
         "metric_minmax": f"WITH {METRICS} SELECT model, metric, round(value, 4) AS value, round((value - min(value) OVER w) / nullif(max(value) OVER w - min(value) OVER w, 0), 6) AS scaled FROM mt WINDOW w AS (PARTITION BY metric)",
         "model_compare": f"WITH {METRICS} SELECT model, round(max(value) FILTER (metric = 'mean_price'), 3) AS mean_price, round(max(value) FILTER (metric = 'mean_discount'), 3) AS mean_discount, round(max(value) FILTER (metric = 'rows'), 3) AS rows FROM mt GROUP BY 1",
