@@ -48,14 +48,14 @@ def _narrowed(long: DataFrame, keys: list[str], probs: Sequence[float], direct_r
         if open_.isEmpty():
             break
         grid = F.percentile_approx("value", F.array(*[F.lit(i / GRID) for i in range(GRID + 1)]), F.lit(10000))
-        sketch = long.join(open_, keys).filter(F.col("value").between(F.col("lo"), F.col("hi"))).groupBy(*keys_q).agg(grid.alias("g"))
+        sketch = long.join(open_, keys).filter(F.col("value").between(F.col("lo"), F.col("hi"))).groupBy(*keys_q).agg(grid.alias("_grid"))
         at = (F.col("h") - F.col("below")) / F.col("inside") * GRID
         first = F.floor(at).cast("int") - 1
         last = F.ceil(at).cast("int") + 3
         ends = open_.join(sketch, keys_q).select(
             *keys_q, "n", "h",
-            F.when(first < 1, F.col("lo")).otherwise(F.get("g", F.greatest(first, F.lit(0)))).alias("lo"),
-            F.when(last > GRID, F.col("hi")).otherwise(F.get("g", F.least(last, F.lit(GRID)))).alias("hi"),
+            F.when(first < 1, F.col("lo")).otherwise(F.get("_grid", F.greatest(first, F.lit(0)))).alias("lo"),
+            F.when(last > GRID, F.col("hi")).otherwise(F.get("_grid", F.least(last, F.lit(GRID)))).alias("hi"),
         )
         counted = long.join(ends, keys).groupBy(*keys_q, "n", "h", "lo", "hi").agg(
             F.sum((F.col("value") < F.col("lo")).cast("bigint")).alias("below"),

@@ -19,7 +19,7 @@ from quarry.session import cut, parallelism
 
 SEED_ROWS = 8192   # rows that the starting centres are drawn from
 CHUNK_ROWS = 4096
-TASK_ROWS = 20_000   # fewer rows than this are not worth a task of their own
+TASK_ROWS = 4_096   # fewer rows than this are not worth a task of their own
 
 
 @dataclass
