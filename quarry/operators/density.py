@@ -214,16 +214,21 @@ def root_tree(tree: DataFrame, start: int) -> DataFrame:
 KEY = "struct<w: double, kind: int, id: bigint>"
 
 
-def path_keys(rooted: DataFrame, cores: DataFrame, start: int) -> DataFrame:
+def path_keys(rooted: DataFrame, cores: DataFrame, start: int, early: DataFrame | None = None) -> DataFrame:
     """``(v, parent, keys)``: the keys on the path from ``start`` that exceed all later ones.
 
-    A key is (weight, kind, id). Kind 0 marks a point that its parent had already let in at a smaller
-    value: reaching its own core distance then is no visit, and goes before visits at that value.
+    A key is (weight, kind, id). Kind 0 marks a point that its parent, or by ``early(v)`` another point,
+    had already let in at a smaller value: reaching its own core distance then is no visit, and goes before
+    visits at that value.
     """
     spark = rooted.sparkSession
     top = spark.createDataFrame([(start,)], "v bigint").select("v", F.lit(None).cast("bigint").alias("parent"), F.array().cast(f"array<{KEY}>").alias("keys"))
     rooted = rooted.join(cores.select(F.col("row_id").alias("parent"), F.col("core").alias("core_p")), "parent")
-    kind = F.when(F.greatest("core_p", "d") < F.col("w"), 0).otherwise(1)
+    before = F.greatest("core_p", "d") < F.col("w")
+    if early is not None:
+        rooted = rooted.join(early.select("v", F.lit(True).alias("early")), "v", "left")
+        before = before | F.coalesce("early", F.lit(False))
+    kind = F.when(before, 0).otherwise(1)
     own = F.array(F.struct("w", kind.alias("kind"), F.col("v").alias("id")))
     state = cut(rooted.select("v", "parent", own.alias("keys")).unionByName(top).withColumn("at", F.col("parent")))
     while not state.filter(F.col("at").isNotNull()).isEmpty():
@@ -235,6 +240,16 @@ def path_keys(rooted: DataFrame, cores: DataFrame, start: int) -> DataFrame:
     return state.select("v", "parent", "keys")
 
 
+def _entries(keys: DataFrame, leaf: DataFrame) -> DataFrame:
+    """``(v, e)``: how a point is entered first, through the tree or as a leaf of a near neighbour."""
+    hung = leaf.join(keys.select(F.col("v").alias("p"), F.col("keys").alias("upper")), "p")
+    edge = F.struct(F.col("a").alias("w"), F.lit(1).alias("kind"), F.col("o").alias("id"))
+    entry = F.concat(F.filter("upper", lambda q: q > edge), F.array(edge))
+    options = hung.select(F.col("o").alias("v"), F.struct(entry.alias("keys"), F.col("p").alias("parent")).alias("e"))
+    own = keys.select("v", F.struct("keys", "parent").alias("e"))
+    return options.unionByName(own).groupBy("v").agg(F.min("e").alias("e"))
+
+
 def reachability(df: DataFrame, min_samples: int = 5, key: str = "row_id", vec: str = "x", edges: DataFrame | None = None) -> DataFrame:
     """``(pos, row_id, reachability, core, predecessor, pred_pos)``: the reachability plot, written once.
 
@@ -252,16 +267,20 @@ def reachability(df: DataFrame, min_samples: int = 5, key: str = "row_id", vec:
         order = Window.partitionBy("x").orderBy("row_id")
         kept = cut(core.withColumn("c", F.row_number().over(order)).filter(F.col("c") <= min_samples).drop("c"))
     start = kept.agg(F.min("row_id")).first()[0]
-    keys = cut(path_keys(root_tree(spanning_tree(kept), start), kept, start))
+    rooted = cut(root_tree(spanning_tree(kept), start))
     cores = core.select(F.col("row_id").alias("p"), F.col("core").alias("core_p"))
     pairs = near.select(F.col("i").alias("o"), F.col("j").alias("p"), "dist").unionByName(near.select(F.col("j").alias("o"), F.col("i").alias("p"), "dist"))
-    leaf = pairs.join(cores, "p").withColumn("a", F.greatest("core_p", "dist"))
-    hung = leaf.join(keys.select(F.col("v").alias("p"), F.col("keys").alias("upper")), "p")
-    edge = F.struct(F.col("a").alias("w"), F.lit(1).alias("kind"), F.col("o").alias("id"))
-    entry = F.concat(F.filter("upper", lambda q: q > edge), F.array(edge))
-    options = hung.select(F.col("o").alias("v"), F.struct(entry.alias("keys"), F.col("p").alias("parent")).alias("e"))
-    own = keys.select("v", F.struct("keys", "parent").alias("e"))
-    best = options.unionByName(own).groupBy("v").agg(F.min("e").alias("e"))
+    leaf = pairs.join(cores, "p").select("o", "p", F.greatest("core_p", "dist").alias("a"))
+    keys = cut(path_keys(rooted, kept, start))
+    best = cut(_entries(keys, leaf))
+    last = lambda c: F.element_at(c, -1)
+    own = keys.filter((F.size("keys") > 0) & (last("keys")["kind"] == 1)).select("v", last("keys")["w"].alias("own_w"))
+    level_reached = F.exists("e.keys", lambda q: q["w"] == F.col("own_w"))
+    early = cut(own.join(best, "v").filter((last(F.col("e.keys"))["w"] < F.col("own_w")) & ~level_reached).select("v"))
+    if not early.isEmpty():
+        # let in by a point other than the tree parent, which only the first pass could tell
+        keys = cut(path_keys(rooted, kept, start, early))
+        best = cut(_entries(keys, leaf))
     if kept is not core:
         lead = best.join(kept.select(F.col("row_id").alias("v"), "x"), "v").groupBy("x").agg(F.min(F.struct("e.keys", "v")).alias("l"))
         rest = core.join(kept.select("row_id"), "row_id", "left_anti").join(lead, "x")
