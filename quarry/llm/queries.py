@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact, packing, token_index
+from quarry.llm import exact, near, packing, tiling, token_index, toxicity
 from quarry.llm.common import documents
 from quarry.session import scratch
 
@@ -20,12 +20,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and item that leaks into it."""
+    return tiling.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decide(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_index, op3_packing, op10_exact_dedup)
+    own = (op1_token_index, op3_packing, op4_decontamination, op6_near_copies, op9_toxicity, op10_exact_dedup)
     return {f.__name__: f for f in own}
 
 
