@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact, near, packing, tiling, token_index, toxicity
+from quarry.llm import exact, licenses, near, packing, pii, resample, substrings, tiling, token_index, toxicity
 from quarry.llm.common import documents
 from quarry.session import scratch
 
@@ -16,6 +16,10 @@ def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index.read(spark, path)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -25,10 +29,25 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii.find(docs, pii.fit(docs))
+
+
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per license notice."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn."""
+    return resample.draw(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -39,7 +58,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_index, op3_packing, op4_decontamination, op6_near_copies, op9_toxicity, op10_exact_dedup)
+    own = (
+        op1_token_index, op2_substring_dedup, op3_packing, op4_decontamination, op5_personal_data, op6_near_copies, op7_licenses,
+        op8_importance_resampling, op9_toxicity, op10_exact_dedup,
+    )
     return {f.__name__: f for f in own}
 
 
