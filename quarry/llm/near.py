@@ -225,10 +225,14 @@ def _index(docs: DataFrame, shared, buckets: int, k: int, percent: int, hot: int
 
 
 def _possible(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Length, positional and suffix filters for pairs of entries of one shingle."""
+    """Length, positional and suffix filters for pairs of entries of one shingle.
+
+    A pair is judged as if the shingle were its first common one, before which nothing is shared. At later ones the bound is
+    only smaller, so a pair that can link passes at its first common shingle and no other pair passes anywhere.
+    """
     n1, n2 = a["n"].astype(np.int64), b["n"].astype(np.int64)
     need = _overlap(n1, n2, percent)
-    out = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - a["i"], n2 - b["i"]) + np.minimum(a["i"], b["i"]) >= need)
+    out = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - a["i"], n2 - b["i"]) >= need)
     return out & (_apart(np.ascontiguousarray(a["signature"]), np.ascontiguousarray(b["signature"])) <= n1 + n2 - 2 * need)
 
 
@@ -405,7 +409,7 @@ def _pairs_between(m: DataFrame, minor: DataFrame, percent: int) -> DataFrame:
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
     pairs = x.join(y, "shingle").where("root <> root2").where((F.col("root2") == F.col("main")) | (F.col("a") < F.col("b")))
     pairs = pairs.where(F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2"))
-    return pairs.where(F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) + F.least("i", "i2") >= need).select("a", "b")
+    return pairs.where(F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= need).select("a", "b")
 
 
 def _by_document(rows: DataFrame, roots: DataFrame) -> DataFrame:
