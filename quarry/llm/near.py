@@ -38,6 +38,10 @@ _BLOCKS = 64
 SMALL_GROUP = 8
 #: Classes that all others of a large group are verified against first.
 PIVOTS = 3
+#: Pairs between components that are verified at once; with more, further stars come first.
+MAX_PAIRS = 1 << 24
+#: Links that one task contracts to stars.
+LINKS_PER_TASK = 1 << 20
 #: Entries of one shingle that meet in one task at most, about; those of more frequent shingles are spread by class.
 HOT_ENTRIES = 1 << 15
 #: Index bytes (before compression) that a bucket is meant to hold.
@@ -90,6 +94,13 @@ def _signature(s: np.ndarray) -> int:
     return int(np.minimum(counts, 255).astype(np.uint8).view(np.uint64)[0])
 
 
+def _parities(s: np.ndarray) -> np.ndarray:
+    """For 512 ranges of hashes whether a set has an odd number of shingles there, as eight words. Where two sets differ in a
+    range, so do their shingles."""
+    odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of the number of shingles in exactly one of two sets."""
     x, y = a.view(np.uint8).reshape(-1, 8).astype(np.int64), b.view(np.uint8).reshape(-1, 8).astype(np.int64)
@@ -124,8 +135,10 @@ def _unpack(body: bytes) -> np.ndarray:
 
 
 def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, class, n) of every text, and rows (block, part, counts) of the frequency sketch of every task."""
-    schema = "doc_id long, class long, n int, block int, part int, counts binary"
+    """Rows (doc_id, class, n, parities) of every text, and rows (block, part, counts) of the frequency sketch of every task."""
+    schema = "doc_id long, class long, n int, parities array<long>, block int, part int, counts binary"
+    names = ["doc_id", "class", "n", "parities", "block", "part", "counts"]
+    words_ = pa.list_(pa.int64())
 
     def scan(batches):
         import zstandard
@@ -133,19 +146,19 @@ def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for rows in slices(batch):
-                found = [(_class(s) if len(s) else None, len(s)) for s in _counted(shingle_sets(rows.column("text"), k), sketch)]
+                found = [(_class(s) if len(s) else None, len(s), _parities(s)) for s in _counted(shingle_sets(rows.column("text"), k), sketch)]
                 n = rows.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([c for c, _ in found], pa.int64()), pa.array([m for _, m in found], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                    ["doc_id", "class", "n", "block", "part", "counts"],
+                    [rows.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], words_), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    names,
                 )
         pack = zstandard.ZstdCompressor(level=3).compress
         if sketch.any():
             part = TaskContext.get().partitionId()
             blocks = [pack(b.tobytes()) for b in sketch.reshape(_BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int32()), pa.array(range(_BLOCKS), pa.int32()), pa.array([part] * _BLOCKS, pa.int32()), pa.array(blocks, pa.binary())],
-                ["doc_id", "class", "n", "block", "part", "counts"],
+                [pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int32()), pa.nulls(_BLOCKS, words_), pa.array(range(_BLOCKS), pa.int32()), pa.array([part] * _BLOCKS, pa.int32()), pa.array(blocks, pa.binary())],
+                names,
             )
 
     return id_and_text(docs).mapInArrow(scan, schema)
@@ -259,7 +272,7 @@ def _meet(index: DataFrame, shared, percent: int, small: int, pivots: int, hot:
                     right.append(at + y)
         first = []
         for at, size in zip(edges[~whole].tolist(), sizes[~whole].tolist()):
-            ranks = np.argsort(mix(e["class"][at : at + size].view(np.uint64)), kind="stable")
+            ranks = np.lexsort((mix(e["class"][at : at + size].view(np.uint64)), e["i"][at : at + size]))  # fewest rarer shingles first
             large.append(np.arange(at, at + size))
             first.append(at + int(ranks[0]))
             for p in ranks[:pivots]:
@@ -332,11 +345,35 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(a, "a").join(b, "b").select("a", "b", "body_a", "body_b").mapInArrow(linked, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for every node of the links (a, b). Nodes are joined to the smallest node of
-    their neighbours until only stars are left; sums per node are made before rows are shuffled."""
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, smallest node reachable) by the links of one task."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if root(x) != x]
+    for at in range(0, len(nodes), 1 << 16):
+        part = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
+
+
+def components(links: DataFrame, per_task: int = LINKS_PER_TASK) -> DataFrame:
+    """(node, root): the smallest node reachable, for every node of the links (a, b) that is not its own root.
+
+    The links of a task are contracted to stars there. Across tasks nodes are joined to the smallest node of their neighbours
+    until only stars are left; sums per node are made before rows are shuffled. ``links`` should be a written table.
+    """
+    tasks = max(1, -(-links.count() // per_task))
+    edges = cut(links.select("a", "b").coalesce(tasks).mapInArrow(_rooted, "a long, b long"))
+    while tasks > 1:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         wide = cut(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
@@ -346,26 +383,23 @@ def components(links: DataFrame) -> DataFrame:
         same = [e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first() for e in (edges, new)]
         edges = new
         if same[0] == same[1]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _crossing(members: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, int, int]:
-    """Members outside the main component of their shingle, one member of the main one, and how many pairs are left."""
-    m = members.join(roots, members["a"] == roots["node"], "left").select("shingle", "a", "n", "i", "signature", F.coalesce("root", "a").alias("root"))
+def _crossing(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of shingles whose classes are in several components, with their own (root) and the largest (main) of these."""
+    m = members.join(roots, members["a"] == roots["node"], "left").select(*members.columns, F.coalesce("root", "a").alias("root"))
     by = m.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = by.groupBy("shingle").agg(F.max(F.struct("c", F.col("root").alias("r"))).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("parts"))
-    main = main.where("parts > 1").select("shingle", F.col("top.r").alias("main"), "all")
-    m = cut(m.join(main, "shingle"))
-    minor = m.where("root <> main")
-    left = minor.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
-    return m, minor, int(left.pairs), int(left.rows)
+    main = by.groupBy("shingle").agg(F.max(F.struct("c", F.col("root").alias("r"))).alias("top"), F.count(F.lit(1)).alias("parts"))
+    return cut(m.join(main.where("parts > 1").select("shingle", F.col("top.r").alias("main")), "shingle"))
 
 
-def near_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int = PERCENT, small: int = SMALL_GROUP, pivots: int = PIVOTS, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_ENTRIES, star_rounds: int = 4) -> DataFrame:
+def near_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int = PERCENT, small: int = SMALL_GROUP, pivots: int = PIVOTS, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_ENTRIES, star_rounds: int = 4, max_pairs: int = MAX_PAIRS, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
     """(doc_id, n_shingles, component_id, class), one row per row of ``docs``."""
     spark = docs.sparkSession
     scanned = cut(_classes_and_counts(docs, k))
-    rows = scanned.where("block is null").select("doc_id", "class", "n")
+    rows, parities = scanned.where("block is null").select("doc_id", "class", "n"), scanned.where("class is not null").select("class", "parities")
     shared = spark.sparkContext.broadcast(_levels(scanned.where("block is not null").select("block", "part", "counts")))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(max(1, -(-total * (101 - percent) // 100 * _ENTRY.itemsize // bucket_bytes)))
@@ -378,38 +412,41 @@ def near_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int =
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(members.select(F.col("a").alias("class"))).distinct()
     reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     texts = cut(_texts_of(docs, reps.where("doc_id is not null").join(wanted, "class", "left_semi")))
-    links = cut(_verify(pairs.distinct(), texts, k, percent))
-    roots = components(links)
-    done, round_ = cut(pairs.distinct()), 0
-    while True:
-        m, minor, left, n = _crossing(members, roots, percent)
-        if not n:
-            break
-        star = round_ < star_rounds and left > 20 * n + 1_000_000
-        if star:  # too many pairs for now: verify members outside against one of the main component first
-            lead = m.where("root = main").groupBy("shingle").agg(F.min_by("a", F.xxhash64("a", F.lit(round_))).alias("b"))
-            new = minor.join(lead, "shingle").select("a", "b")
-        else:
-            new = _pairs_between(m, minor, percent)
-        new = new.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cut(pairs.distinct())
+    links = cut(_verify(pairs, texts, k, percent))
+    roots = components(links, links_per_task)
+    held = members.select(F.col("a").alias("class")).distinct()
+    held = cut(parities.join(held, "class").dropDuplicates(["class"]).select(F.col("class").alias("a"), "parities"))
+    members = cut(members.join(held, "a").select("shingle", "a", "n", "i", "parities"))
+    done = pairs
+    for round_ in range(star_rounds + 1):
+        m = _crossing(members, roots)
+        between = _pairs_between(m, percent)
+        star = round_ < star_rounds and between.count() > max_pairs
+        if star:  # too many pairs for now: verify the classes outside against one of the main component first
+            lead = m.where("root = main").groupBy("shingle").agg(F.min(F.struct("i", F.xxhash64("a", F.lit(round_)).alias("h"), "a")).alias("l"))
+            between = m.where("root <> main").join(lead, "shingle").select("a", F.col("l.a").alias("b"))
+        new = between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = cut(new.join(done, ["a", "b"], "left_anti"))
         links = links.unionByName(cut(_verify(new, texts, k, percent)))
-        roots = components(links)
+        roots = components(links, links_per_task)
         if not star:
             break
-        done, round_ = done.unionByName(new), round_ + 1
+        done = done.unionByName(new)
     return _by_document(rows, roots)
 
 
-def _pairs_between(m: DataFrame, minor: DataFrame, percent: int) -> DataFrame:
+def _pairs_between(m: DataFrame, percent: int) -> DataFrame:
     """All pairs of members of one shingle in different components, of which one is outside the main component, that pass the
-    length and positional filters."""
-    x = minor.select("shingle", "a", "n", "i", "root", "main")
-    y = m.select("shingle", F.col("a").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("root").alias("root2"))
+    length, positional and suffix filters."""
+    x = m.where("root <> main").select("shingle", "a", "n", "i", "root", "main", "parities")
+    y = m.select("shingle", F.col("a").alias("b"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("root").alias("root2"), F.col("parities").alias("parities2"))
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
+    apart = sum((F.bit_count(F.col("parities")[j].bitwiseXOR(F.col("parities2")[j])) for j in range(8)), F.lit(0))
     pairs = x.join(y, "shingle").where("root <> root2").where((F.col("root2") == F.col("main")) | (F.col("a") < F.col("b")))
     pairs = pairs.where(F.lit(100) * F.least("n", "n2") >= F.lit(percent) * F.greatest("n", "n2"))
-    return pairs.where(F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= need).select("a", "b")
+    pairs = pairs.where(F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= need)
+    return pairs.where(apart <= F.col("n") + F.col("n2") - 2 * need).select("a", "b")
 
 
 def _by_document(rows: DataFrame, roots: DataFrame) -> DataFrame:
