@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Texts of one Arrow batch are worked on in slices of about so many bytes, to bound memory next to very long texts.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -467,6 +467,6 @@ def keep_rows(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int = PERCEN
     repeated = found.where("class is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     if repeated.limit(1).count():  # several rows of one id: one of them stays
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        empty = F.trim(F.coalesce(F.col("text"), F.lit(""))) == ""
+        empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
         out = out.where(~empty).groupBy(F.col("doc_id").alias("_keep")).agg(F.min(whole).alias("_row")).select("_row.*").unionByName(out.where(empty))
     return out
