@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.session import cut
 
@@ -22,12 +23,7 @@ def global_position(df: DataFrame, order: Sequence[str | Column], name: str = "p
         .withColumn("_in", F.col("_mid").bitwiseAND(F.lit(low33)))
         .drop("_mid")
     )
-    sizes = ranged.groupBy("_part").count().orderBy("_part").collect()
-    offsets, total = [], 0
-    for part, n in sizes:
-        offsets += [F.lit(int(part)), F.lit(total).cast("bigint")]
-        total += n
-    if not offsets:
-        return ranged.withColumn(name, F.col("_in")).drop("_part", "_in")
-    at = F.create_map(*offsets)
-    return ranged.withColumn(name, at[F.col("_part")] + F.col("_in")).drop("_part", "_in")
+    # One row per partition: its offset is a running sum over the partitions, joined back rather than written into the plan.
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return ranged.join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quarry.functions.kernels import SplitTree, boxes_low_high
 from quarry.session import cut, parallelism
@@ -38,6 +39,7 @@ class Blocks:
     rows: int
     dim: int
     extras: list[str] = field(default_factory=list)
+    extra_width: int = 0  # numbers that the extras hold per row
 
     @property
     def small(self) -> bool:
@@ -45,7 +47,7 @@ class Blocks:
 
     @property
     def fits_broadcast(self) -> bool:
-        return self.rows * (self.dim + 1 + len(self.extras)) * 8 <= BROADCAST_BYTES
+        return self.rows * (self.dim + 1 + self.extra_width) * 8 <= BROADCAST_BYTES
 
 
 def build(df: DataFrame, key: str = "row_id", vec: str = "x", extras: Sequence[str] = (), block_rows: int | None = None, stable: bool = False, spatial: bool | None = None) -> Blocks:
@@ -97,7 +99,10 @@ def build(df: DataFrame, key: str = "row_id", vec: str = "x", extras: Sequence[s
     out = packed.select(
         "bid", F.size("r").alias("n"), F.col("r.id").alias("ids"), F.flatten("r.x").alias("x"), *[F.col(f"r.{e}").alias(e) for e in extras],
     )
-    return Blocks(cut(out), total, n, dim, list(extras))
+    packed_ = cut(out)
+    widths = [F.max(F.size(e) if not isinstance(base.schema[e].dataType, ArrayType) else F.size(F.flatten(e))) / F.max("n") for e in extras]
+    width = sum(math.ceil(v or 0) for v in packed_.agg(*widths).first()) if extras else 0
+    return Blocks(packed_, total, n, dim, list(extras), width)
 
 
 def _matrix(arr: pa.Array, dim: int) -> np.ndarray:

@@ -1,32 +1,43 @@
 """Descriptive statistics. Results are long tables, one row per variable (and group)."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import melt, outside
 from quarry.functions.quantiles import DIRECT_ROWS, quantiles
 from quarry.operators.reshape import lower_triangle
+from quarry.session import cut
 
-# A crosstab turns column values into output columns; more than this is not a table anyone reads.
-MAX_CROSSTAB_COLUMNS = 1000
+#: Fences by group are sent to all tasks only when they are at most so many rows.
+SMALL_TABLE = 100_000
+
+
+def _per_column(df: DataFrame, cols: Sequence[str], aggs: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``(variable, <aggs>...)`` from one aggregate over the columns as they are, without copying rows per column."""
+    one = df.agg(*[make(F.col(c).cast("double")).alias(f"{name}_{i}") for i, c in enumerate(cols) for name, make in aggs.items()])
+    rows = [F.struct(F.lit(c).alias("variable"), *[F.col(f"{name}_{i}").alias(name) for name in aggs]) for i, c in enumerate(cols)]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def _beside(long: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join long rows with a row per group; the rows stay where they are if the groups are few, which is checked."""
+    few = small.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE
+    return long.join(F.broadcast(small) if few else small, list(keys))
 
 
 def center_spread(df: DataFrame, cols: Sequence[str], direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """``(variable, mean, median, std)``; std is the sample one."""
-    moments = melt(df, cols).groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    moments = _per_column(df, cols, {"mean": F.avg, "std": F.stddev_samp})
     med = quantiles(df, cols, [0.5], direct_rows=direct_rows)
     return moments.join(med, "variable").select("variable", "mean", F.col("q0").alias("median"), "std")
 
 
 def summary(df: DataFrame, cols: Sequence[str], decimals: int | None = 2, direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """``(variable, count, mean, std, min, q25, q50, q75, max)`` with exact quartiles."""
-    moments = melt(df, cols).groupBy("variable").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
+    moments = _per_column(df, cols, {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     qs = quantiles(df, cols, [0.25, 0.5, 0.75], direct_rows=direct_rows).select("variable", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
     out = moments.join(qs, "variable")
     show = (lambda c: F.col(c)) if decimals is None else (lambda c: F.round(c, decimals).alias(c))
@@ -49,15 +60,15 @@ def null_report(df: DataFrame, cols: Sequence[str] | None = None, only_positive:
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(variable, mode, count)``: the smallest of the most frequent values, as text in ``mode``.
 
-    Values are counted first, so the final pick sees one row per distinct value.
+    The values of all columns are counted in one pass, so the final pick sees one row per distinct value.
     """
-    out = None
-    for c in cols:
-        counted = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        best = counted.agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col(c).alias("v"))).alias("m"))
-        row = best.select(F.lit(c).alias("variable"), F.col("m.v").cast("string").alias("mode"), (-F.col("m.neg")).alias("count"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    cols = list(cols)
+    columns = [F.col(c) for c in cols]
+    counted = df.groupingSets([[c] for c in columns], *columns).agg(F.count(F.lit(1)).alias("_n"), *[F.grouping(c).alias(f"_g{i}") for i, c in enumerate(cols)])
+    best = lambda i, c: F.min(F.when((F.col(f"_g{i}") == 0) & F.col(c).isNotNull(), F.struct((-F.col("_n")).alias("neg"), F.col(c).alias("v"))))
+    one = counted.agg(*[best(i, c).alias(f"m{i}") for i, c in enumerate(cols)])
+    rows = [F.struct(F.lit(c).alias("variable"), F.col(f"m{i}.v").cast("string").alias("mode"), (-F.col(f"m{i}.neg")).alias("count")) for i, c in enumerate(cols)]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20, by: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +85,8 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20, by: Sequence[s
         F.avg("value").alias("mean"),
     )
     slot = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1, F.lit(bins)).cast("int")
-    counted = long.join(bounds, keys).groupBy(*keys, slot.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    bounds = cut(bounds)
+    counted = _beside(long, bounds, keys).groupBy(*keys, slot.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = bounds.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     width = (F.col("hi") - F.col("lo")) / bins
     return grid.join(counted, [*keys, "bin"], "left").select(
@@ -98,7 +110,10 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), factor
     """Fences plus whiskers (the extreme values still inside) and the number of fliers."""
     keys = [*by, "variable"]
     f = fences(df, cols, by, factor, direct_rows)
-    long = melt(df, cols, by).filter(F.col("value").isNotNull()).join(f.select(*keys, "low", "high"), keys)
+    if not by:
+        return _ungrouped_box(df, cols, f)
+    f = cut(f)
+    long = _beside(melt(df, cols, by).filter(F.col("value").isNotNull()), f.select(*keys, "low", "high"), keys)
     inside = ~outside("value", F.col("low"), F.col("high"))
     ends = long.groupBy(*keys).agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -108,11 +123,27 @@ def box_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), factor
     return f.join(ends, keys)
 
 
+def _ungrouped_box(df: DataFrame, cols: Sequence[str], f: DataFrame) -> DataFrame:
+    """Fences of whole columns are as few as the columns: they go into one aggregate as literals."""
+    found = {r["variable"]: r for r in f.collect()}
+    cols = [c for c in cols if c in found]
+    if not cols:
+        return f.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("whisker_low", "double"), ("whisker_high", "double"), ("fliers", "bigint"))])
+    value = {c: F.col(c).cast("double") for c in cols}
+    out = {c: outside(value[c], F.lit(found[c]["low"]), F.lit(found[c]["high"])) for c in cols}
+    one = df.agg(*[a for i, c in enumerate(cols) for a in (
+        F.min(F.when(~out[c], value[c])).alias(f"a{i}"), F.max(F.when(~out[c], value[c])).alias(f"b{i}"), F.coalesce(F.sum(out[c].cast("bigint")), F.lit(0).cast("bigint")).alias(f"n{i}"))])
+    rows = [F.struct(
+        F.lit(c).alias("variable"), F.lit(found[c]["n"]).cast("bigint").alias("n"), *[F.lit(found[c][k]).cast("double").alias(k) for k in ("q1", "median", "q3", "low", "high")],
+        F.col(f"a{i}").alias("whisker_low"), F.col(f"b{i}").alias("whisker_high"), F.col(f"n{i}").alias("fliers")) for i, c in enumerate(cols)]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def fliers(df: DataFrame, cols: Sequence[str], id_col: str, by: Sequence[str] = (), factor: float = 1.5) -> DataFrame:
     """The rows beyond the fences: ``(id, by..., variable, value)``."""
     keys = [*by, "variable"]
-    f = fences(df, cols, by, factor).select(*keys, "low", "high")
-    return melt(df, cols, [id_col, *by]).join(f, keys).filter(outside("value", F.col("low"), F.col("high"))).select(id_col, *keys, "value")
+    f = cut(fences(df, cols, by, factor).select(*keys, "low", "high"))
+    return _beside(melt(df, cols, [id_col, *by]), f, keys).filter(outside("value", F.col("low"), F.col("high"))).select(id_col, *keys, "value")
 
 
 def box_before_after(before: DataFrame, after: DataFrame, cols: Sequence[str], factor: float = 1.5) -> DataFrame:
@@ -150,12 +181,10 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def crosstab(df: DataFrame, row: str, col: str, levels: Sequence | None = None) -> DataFrame:
-    """Counts with one column per level of ``col`` and a row ``total``."""
+    """Counts with one column per level of ``col`` and a row ``total``. Levels become columns, so they are listed on the
+    driver; :func:`contingency` has the same counts as rows, however many levels there are."""
     if levels is None:
-        found = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(MAX_CROSSTAB_COLUMNS + 1).collect()
-        if len(found) > MAX_CROSSTAB_COLUMNS:
-            raise ValueError(f"{col} has more than {MAX_CROSSTAB_COLUMNS} levels; use contingency() for a long table")
-        levels = sorted(r[0] for r in found)
+        levels = sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
     kept = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
     wide = kept.groupBy(row).pivot(col, list(levels)).agg(F.count(F.lit(1)))
     cells = [F.coalesce(F.col(f"`{lv}`"), F.lit(0).cast("bigint")).alias(str(lv)) for lv in levels]

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,7 +18,8 @@ from quarry.operators.prepare import Scale
 from quarry.operators.validate import sq_gap
 from quarry.session import cut, parallelism
 
-SEED_ROWS = 8192   # rows that the starting centres are drawn from
+SEED_ROUNDS = 4     # passes over all rows that draw candidates for the starting centres
+SEED_DRAWS = 2      # candidates per round and run, in multiples of k
 CHUNK_ROWS = 4096
 TASK_ROWS = 4_096   # fewer rows than this are not worth a task of their own
 
@@ -31,20 +33,88 @@ class KMeansModel:
     iterations: int
 
 
-def _plus_plus(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Greedy distance-weighted seeding on the bounded sample."""
+def _plus_plus(sample: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Greedy distance-weighted seeding on the weighted candidates of one run, and a few steps of k-means on them."""
     tries = 2 + int(np.log(k))
-    centres = [sample[rng.integers(len(sample))]]
+    pick = lambda p, m: np.minimum(np.searchsorted(np.cumsum(p), rng.random(m) * p.sum()), len(p) - 1)
+    centres = [sample[pick(weight, 1)[0]]]
     near = ((sample - centres[0]) ** 2).sum(axis=1)
     for _ in range(k - 1):
-        total = near.sum()
-        picks = np.searchsorted(np.cumsum(near), rng.random(tries) * total) if total > 0 else rng.integers(len(sample), size=tries)
-        picks = np.minimum(picks, len(sample) - 1)
+        mass = near * weight
+        picks = pick(mass, tries) if mass.sum() > 0 else rng.integers(len(sample), size=tries)
         options = [np.minimum(near, ((sample - sample[p]) ** 2).sum(axis=1)) for p in picks]
-        best = int(np.argmin([o.sum() for o in options]))
+        best = int(np.argmin([(o * weight).sum() for o in options]))
         centres.append(sample[picks[best]])
         near = options[best]
-    return np.array(centres)
+    centres = np.array(centres)
+    for _ in range(10):
+        own = ((sample[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for c in range(k):
+            if (mass := weight[own == c]).sum() > 0:
+                centres[c] = (sample[own == c] * mass[:, None]).sum(axis=0) / mass.sum()
+    return centres
+
+
+def _uniform(ids: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in (0, 1) for every id, the same wherever the row is read."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    x = ids.astype(np.uint64)
+    for v in salt:
+        x = (x ^ (np.uint64(v + 1) * h)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(32)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def _draw(points: DataFrame, known: dict[int, np.ndarray], draws: dict[int, int], dim: int, seed: int) -> dict[int, np.ndarray]:
+    """For every run some rows drawn without replacement in proportion to the squared distance from its candidates (evenly
+    while it has none): those with the smallest ``-log(u) / weight``. All rows take part, a task returns as few as are drawn."""
+    names = sorted(draws)
+
+    def run(batches):
+        keep = {m: (np.zeros(0), np.zeros((0, dim))) for m in names}
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            x_all = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            for at in range(0, len(x_all), CHUNK_ROWS):
+                x, own = x_all[at:at + CHUNK_ROWS], ids[at:at + CHUNK_ROWS]
+                sq = (x * x).sum(axis=1)
+                for m in names:
+                    mass = np.ones(len(x))
+                    if len(known[m]):
+                        c = known[m]
+                        mass = np.maximum(((c * c).sum(axis=1)[None, :] - 2.0 * (x @ c.T)).min(axis=1) + sq, 0.0)
+                    with np.errstate(divide="ignore"):
+                        key = np.where(mass > 0, -np.log(_uniform(own, seed, m, len(known[m]))) / mass, np.inf)
+                    n = draws[m]
+                    best = np.argpartition(key, n - 1)[:n] if n < len(key) else np.arange(len(key))
+                    keys, rows = np.concatenate([keep[m][0], key[best]]), np.concatenate([keep[m][1], x[best]])
+                    order = np.argsort(keys, kind="stable")[:n]
+                    keep[m] = keys[order], rows[order]
+        part = TaskContext.get().partitionId()
+        for m in names:
+            keys, rows = keep[m]
+            ok = np.isfinite(keys)
+            if ok.any():
+                yield pa.RecordBatch.from_pydict({"m": pa.array([m] * int(ok.sum()), pa.int32()), "part": pa.array([part] * int(ok.sum()), pa.int32()), "key": pa.array(keys[ok]), "x": list_array(rows[ok])})
+
+    most = max(draws.values())
+    few = F.slice(F.sort_array(F.collect_list(F.struct("key", "x"))), 1, most)
+    found = points.select("id", "x").mapInArrow(run, "m int, part int, key double, x array<double>").groupBy("m", (F.col("part") % 64).alias("part")).agg(few.alias("r"))
+    found = found.select("m", F.explode("r").alias("r")).select("m", "r.*").groupBy("m").agg(few.alias("r"))
+    return {r["m"]: np.array([c["x"] for c in r["r"][: draws[r["m"]]]], dtype=float).reshape(-1, dim) for r in found.collect()}
+
+
+def _seeds(points: DataFrame, runs: dict[int, tuple[int, int]], dim: int, seed: int) -> dict[int, np.ndarray]:
+    """Starting centres of all runs (k, restart): candidates from all rows in a few passes, weighted by the rows nearest to them."""
+    known = {m: np.zeros((0, dim)) for m in runs}
+    for turn in range(1 + SEED_ROUNDS):
+        draws = {m: 1 if turn == 0 else SEED_DRAWS * k for m, (k, _) in runs.items()}
+        for m, rows in _draw(points, known, draws, dim, seed).items():
+            known[m] = np.concatenate([known[m], rows])
+    weights = {m: np.array([n for n, _, _ in parts]) for m, parts in _pass(points, known, dim).items()}
+    return {m: _plus_plus(known[m], weights[m], k, np.random.default_rng([seed, k, r])) for m, (k, r) in runs.items()}
 
 
 def _pass(points: DataFrame, models: dict[int, np.ndarray], dim: int) -> dict[int, list[tuple[int, np.ndarray, float]]]:
@@ -90,20 +160,16 @@ def fit_grid(df: DataFrame, ks: Sequence[int], restarts: int = 10, max_iter: int
 
     ``tol`` is relative to the mean variance of the columns. An emptied centre stays where it was.
     """
-    points = cut(df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("x")))
-    facts = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
-    n, dim = facts["n"], facts["d"]
-    spread = points.agg(*[F.var_pop(F.col("x")[t]).alias(f"v{t}") for t in range(dim)]).first()
-    limit = tol * float(np.mean([spread[t] for t in range(dim)]))
-    every = max(1, n // SEED_ROWS)
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("x"))
+    dim = rows.select(F.max(F.size("x"))).first()[0]
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("x")[t]).alias(f"m{t}") for t in range(dim)], *[F.var_pop(F.col("x")[t]).alias(f"v{t}") for t in range(dim)]).first()
+    n, mean = facts["n"], np.array([facts[f"m{t}"] for t in range(dim)])
+    limit = tol * float(np.mean([facts[f"v{t}"] for t in range(dim)]))
+    # Distances are taken on centred rows, so that an offset of the data costs no digits.
+    points = cut(rows.select("id", F.array(*[F.col("x")[t] - float(mean[t]) for t in range(dim)]).alias("x")))
     points = points.coalesce(max(1, min(points.rdd.getNumPartitions(), n // TASK_ROWS))) if n < TASK_ROWS * parallelism(df.sparkSession) else points
-    drawn = points.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).orderBy("id").toArrow().column("x").combine_chunks()
-    sample = drawn.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-    runs = {}
-    for k in ks:
-        for r in range(restarts):
-            runs[len(runs)] = (k, r, _plus_plus(sample, k, np.random.default_rng([seed, k, r])))
-    centres = {m: c for m, (_, _, c) in runs.items()}
+    runs = dict(enumerate((k, r) for k in ks for r in range(restarts)))
+    centres = _seeds(points, runs, dim, seed)
     active, steps = dict(centres), dict.fromkeys(centres, 0)
     for _ in range(max_iter):
         if not active:
@@ -119,9 +185,9 @@ def fit_grid(df: DataFrame, ks: Sequence[int], restarts: int = 10, max_iter: int
                 active[m] = new
     costs = {m: sum(c for _, _, c in parts) for m, parts in _pass(points, centres, dim).items()}
     best = {}
-    for m, (k, r, _) in runs.items():
+    for m, (k, r) in runs.items():
         if k not in best or costs[m] < best[k].inertia:
-            ordered = centres[m][np.lexsort(centres[m].T[::-1])]
+            ordered = (centres[m] + mean)[np.lexsort(centres[m].T[::-1])]
             best[k] = KMeansModel(k, ordered, costs[m], r, steps[m])
     return best
 
@@ -145,6 +211,7 @@ def lloyd_step(df: DataFrame, centres: np.ndarray, vec: str = "x") -> DataFrame:
     )
 
 
+# The metrics that models are compared by.
 GRID_METRICS = ["inertia", "silhouette", "davies_bouldin", "calinski_harabasz", "ari", "nmi", "dunn"]
 
 

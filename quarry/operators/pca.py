@@ -21,6 +21,11 @@ class PcaModel:
     components: np.ndarray   # p x p, one column per component
     eigenvalues: np.ndarray  # p, sample variances along the components
 
+    @property
+    def rank(self) -> int:
+        """Components that are not zero but for rounding."""
+        return int((self.eigenvalues > 1e-9 * max(float(self.eigenvalues.max(initial=0.0)), 1e-300)).sum())
+
 
 def fit(df: DataFrame, cols: Sequence[str]) -> PcaModel:
     """All ``len(cols)`` components. Signs are fixed by making the largest loading of each one positive."""

@@ -12,10 +12,6 @@ from quarry.functions.columns import as_vector, level_name, outside
 from quarry.functions.quantiles import DIRECT_ROWS, quantiles
 from quarry.operators import describe
 
-# Each level becomes a column, so a nominal column beyond this is a modelling mistake.
-MAX_LEVELS = 10_000
-
-
 class Fence(NamedTuple):
     q1: float
     q3: float
@@ -78,13 +74,11 @@ def drop_outliers(df: DataFrame, fit: dict[str, Fence]) -> DataFrame:
 
 
 def fit_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct values per column, NULLs left out."""
+    """Sorted distinct values per column, NULLs left out. Each becomes a column of :func:`one_hot`, so they are listed on the
+    driver; :func:`one_hot_long` needs no list."""
     out = {}
     for c in cols:
-        found = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
-        out[c] = sorted(found)
+        out[c] = sorted(r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().collect())
     return out
 
 
@@ -105,6 +99,13 @@ def one_hot(df: DataFrame, levels: dict[str, list], keep: Sequence[str] = (), un
     return df.select(*keep, *cells)
 
 
+def one_hot_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """``(keep..., variable, level, value)``: the ones of :func:`one_hot` as rows, for any number of levels. NULLs have none."""
+    cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in cols])
+    rows = df.select(*keep, F.explode(cells).alias("cell")).select(*keep, "cell.variable", "cell.level")
+    return rows.filter(F.col("level").isNotNull()).withColumn("value", F.lit(1.0))
+
+
 def level_columns(levels: dict[str, list]) -> list[str]:
     return [level_name(c, lv) for c, lvls in levels.items() for lv in lvls]
 

@@ -15,6 +15,9 @@ from quarry.operators.blocks import Block, Kernel, columns_batch, list_array
 from quarry.session import cut
 
 
+#: Centres are broadcast up to this size.
+CENTRE_BYTES = 16 << 20
+
 # ---------------------------------------------------------------- metrics linear in the rows
 
 
@@ -29,11 +32,14 @@ def sq_gap(a: str | Column, b: str | Column) -> Column:
 
 
 def cluster_moments(df: DataFrame, label: str = "cluster", vec: str = "x", by: Sequence[str] = (), dim: int | None = None) -> DataFrame:
-    """``(by..., label, n, centre, mean_dist, sum_sq)``: two aggregates with map-side combining."""
-    dim = dim or df.select(F.max(F.size(vec))).first()[0]
+    """``(by..., label, n, centre, mean_dist, sum_sq)``: two aggregates with map-side combining. Rows without a label are left
+    out. The vectors stay where they are as long as the centres are certain to fit a broadcast; else both sides are joined."""
+    df = df.filter(F.col(label).isNotNull())
+    dim = dim or df.select(F.max(F.size(vec))).first()[0] or 0
     keys = [*by, label]
-    centres = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), vector_mean(vec, dim).alias("centre"))
-    gap = df.join(centres, keys).select(*keys, sq_gap(vec, "centre").alias("d2"))
+    centres = cut(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), vector_mean(vec, dim).alias("centre")))
+    few = centres.count() * max(1, dim) * 8 <= CENTRE_BYTES
+    gap = df.join(F.broadcast(centres) if few else centres, keys).select(*keys, sq_gap(vec, "centre").alias("d2"))
     spread = gap.groupBy(*keys).agg(F.avg(F.sqrt("d2")).alias("mean_dist"), F.sum("d2").alias("sum_sq"))
     return centres.join(spread, keys)
 
@@ -53,15 +59,16 @@ def davies_bouldin(moments: DataFrame, by: Sequence[str] = (), label: str = "clu
 
 def calinski_harabasz(moments: DataFrame, by: Sequence[str] = (), dim: int | None = None) -> DataFrame:
     """``(by..., calinski_harabasz)``: between- over within-cluster variance; NULL with fewer than two clusters."""
-    dim = dim or moments.select(F.max(F.size("centre"))).first()[0]
-    n = F.sum("n").alias("n")
-    first = [F.sum(F.col("n") * F.col("centre")[t]).alias(f"a{t}") for t in range(dim)]
-    second = F.sum(F.col("n") * F.aggregate("centre", F.lit(0.0), lambda acc, v: acc + v * v)).alias("q")
-    one = moments.groupBy(*by).agg(n, F.count(F.lit(1)).alias("k"), F.sum("sum_sq").alias("w"), second, *first)
-    mean_sq = sum((F.col(f"a{t}") * F.col(f"a{t}") for t in range(dim)), F.lit(0.0)) / F.col("n")
-    between = F.col("q") - mean_sq
-    value = F.when(F.col("w") > 0, (between / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).otherwise(1.0)
-    return one.select(*by, F.when(F.col("k") >= 2, value).alias("calinski_harabasz"))
+    dim = dim or moments.select(F.max(F.size("centre"))).first()[0] or 0
+    keys = list(by) or ["_all"]
+    moments = moments if by else moments.withColumn("_all", F.lit(0))
+    mean = F.array(*[F.sum(F.col("n") * F.col("centre")[t]) / F.sum("n") for t in range(dim)]).alias("mean")
+    one = moments.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("sum_sq").alias("w"), mean)
+    # Distances to the overall mean, not a difference of two large sums, so that an offset of the data costs no digits.
+    apart = moments.select(*keys, F.col("n").alias("_n"), "centre").join(one.select(*keys, "mean"), keys)
+    between = apart.groupBy(*keys).agg(F.sum(F.col("_n") * sq_gap("centre", "mean")).alias("between"))
+    value = F.when(F.col("w") > 0, (F.col("between") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).otherwise(1.0)
+    return one.join(between, keys).select(*by, F.when(F.col("k") >= 2, value).alias("calinski_harabasz"))
 
 
 def inertia(moments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -129,6 +136,8 @@ def silhouette_groups(df: DataFrame, labels: Sequence[str] = ("cluster",), vec:
     Euclidean silhouette is by definition; only sums per point and cluster leave a task.
     """
     labels = list(labels)
+    for c in labels:  # a row without a label belongs to no cluster
+        df = df.filter(F.col(c).isNotNull())
     groups = cut(df.groupBy(F.col(vec).cast("array<double>").alias("x"), *labels).agg(F.min(F.col(key).cast("bigint")).alias("id"), F.count(F.lit(1)).alias("w")))
     levels, counts = [], []
     for c in labels:

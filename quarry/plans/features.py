@@ -40,9 +40,40 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"), F.col("label").alias("cluster"))
 
 
-def embeddings_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two coordinates, standing in for a projection."""
-    return embeddings(spark, sf_dir).select("row_id", F.slice("x", 1, 2).alias("x"))
+# Fixed linear projections of all coordinates to two, as rules for the weights of coordinate i.
+LOW = (lambda i: ((7 * i) % 13 - 6) / 6.0, lambda i: ((5 * i) % 11 - 5) / 5.0)
+OTHER = (lambda i: ((3 * i) % 7 - 3) / 3.0, lambda i: ((11 * i) % 17 - 8) / 8.0)
+
+
+def embeddings_low(spark: SparkSession, sf_dir: str, rules: tuple = LOW) -> DataFrame:
+    """All coordinates projected linearly to two."""
+    e = embeddings(spark, sf_dir)
+    width = e.select(F.max(F.size("x"))).first()[0] or 0
+    parts = [sum((F.col("x")[i] * F.lit(rule(i)) for i in range(width)), F.lit(0.0)) for rule in rules]
+    return e.select("row_id", F.array(*parts).alias("x"))
+
+
+def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projected embeddings with their label ``y``, cluster columns ``k2``, ``k3``, ``k4`` by half-planes of the projection, and
+    ``marked``: ``k4`` with two ids of every seven as noise (-1)."""
+    low = cut(embeddings_low(spark, sf_dir))
+    e = embeddings(spark, sf_dir).select("row_id", F.col("cluster").alias("y"))
+    u, v = F.col("x")[0], F.col("x")[1]
+    k2, k3 = (u > 0).cast("int"), F.when(u > 0, 0).when(v > 0, 1).otherwise(2)
+    k4 = (u > 0).cast("int") * 2 + (v > 0).cast("int")
+    noise = F.pmod("row_id", F.lit(7)) < 2
+    return low.join(e, "row_id").select("row_id", "x", "y", F.when(noise, -1).otherwise(k4).alias("marked"), k2.alias("k2"), k3.alias("k3"), k4.alias("k4"))
+
+
+def events_with_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` with gaps and, by key, far values in two columns that have none."""
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").cast("double").alias("user_id"),
+        F.when(e % 17 != 0, F.col("value") + F.when(e % 101 == 0, 1e6).otherwise(0.0)).alias("value"),
+        ((e % 50) + F.when(e % 97 == 0, 5000.0).otherwise(0.0)).alias("load"),
+        F.when(e % 23 != 0, F.col("event_type")).alias("event_type"),
+    )
 
 
 def scaled_rfm(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], dict[str, prepare.Scale]]:

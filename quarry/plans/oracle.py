@@ -1,6 +1,8 @@
 """DuckDB SQL twins of the registered queries."""
 from __future__ import annotations
 
+from quarry.plans.features import LOW, OTHER
+
 RFM = """rfm AS (
   SELECT o.row_id, n_orders, total, avg_price, recency, c_acctbal, c_mktsegment FROM (
     SELECT o_custkey AS row_id, count(*)::DOUBLE AS n_orders, sum(o_totalprice) AS total, avg(o_totalprice) AS avg_price,
@@ -9,7 +11,15 @@ RFM = """rfm AS (
 GAPS = """gaps AS (
   SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN value END AS value,
          CASE WHEN event_id % 23 <> 0 THEN event_type END AS event_type FROM events)"""
-EMB = "e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, (embedding::DOUBLE[])[1:2] AS y, label AS cluster FROM embeddings)"
+
+
+def _emb(rules) -> str:
+    """Embeddings with a linear projection of all coordinates (64 in the given tables) by rules for the weights."""
+    low = ", ".join(f"list_dot_product(embedding::DOUBLE[], {[rule(i) for i in range(64)]}::DOUBLE[])" for rule in rules)
+    return f"e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, [{low}] AS y, label AS cluster FROM embeddings)"
+
+
+EMB = _emb(LOW)
 DIST = f"{EMB}, d AS (SELECT a.id AS i, b.id AS j, a.cluster AS ci, b.cluster AS cj, list_distance(a.x, b.x) AS dh, list_distance(a.y, b.y) AS dl FROM e a JOIN e b ON a.id <> b.id)"
 SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 CONT = ["n_orders", "total", "avg_price", "recency", "c_acctbal"]
@@ -160,7 +170,7 @@ def oracle() -> dict[str, str]:
         "model_matrix": f"WITH {RFM} SELECT row_id, {_rounded(CONT)}, {onehot('c_mktsegment', SEG)} FROM rfm",
         "standardize": f"WITH {z} SELECT row_id, {_rounded(CONT)} FROM z",
         "standardize_check": f"WITH {z} " + _union(f"SELECT '{c}' AS variable, round(avg({c}), 4) + 0.0 AS mean, round(stddev_samp({c}), 4) AS std FROM z" for c in CONT),
-        "inverse_standardize": f"WITH {RFM} SELECT row_id, {_rounded([c for c in CONT if c != 'avg_price'], 4)} FROM rfm",
+        "inverse_standardize": f"WITH {RFM} SELECT row_id, {', '.join(f'round({c} + 0.00001234, 4) AS {c}' for c in CONT)} FROM rfm",
         # PCA on two columns, closed form
         "pca_eigen2": f"{PCA2} SELECT 1 AS pc, round(l1, 4) AS eigenvalue, round(l1 / (l1 + l2), 6) AS ratio, round(l1 / (l1 + l2), 6) AS cum FROM p UNION ALL SELECT 2, round(l2, 4), round(l2 / (l1 + l2), 6), 1.0 FROM p",
         "pca2_loadings": f"{PCA2} SELECT 'recency' AS variable, 1 AS pc, round(p11, 6) AS loading FROM p UNION ALL SELECT 'n_orders', 1, round(p12, 6) FROM p UNION ALL SELECT 'recency', 2, round(p21, 6) FROM p UNION ALL SELECT 'n_orders', 2, round(p22, 6) FROM p",
@@ -190,11 +200,15 @@ def oracle() -> dict[str, str]:
         "model_compare": f"WITH {METRICS} SELECT model, round(max(value) FILTER (metric = 'mean_price'), 3) AS mean_price, round(max(value) FILTER (metric = 'mean_discount'), 3) AS mean_discount, round(max(value) FILTER (metric = 'rows'), 3) AS rows FROM mt GROUP BY 1",
         "best_per_batch": "WITH r AS (SELECT o_orderstatus AS batch, o_orderpriority AS run, avg(o_totalprice) AS score FROM orders GROUP BY ALL) SELECT batch, run, round(score, 4) AS score FROM r QUALIFY row_number() OVER (PARTITION BY batch ORDER BY score DESC NULLS LAST, run) = 1",
     }
-    compare = f"""WITH {DIST}, {JACC}, {SPEAR},
-      pr2 AS (SELECT 'jaccard' AS metric, round(avg(len(list_intersect(h, l)) / len(list_distinct(list_concat(h, l)))), 6) AS low FROM nh JOIN nl USING (i)
-        UNION ALL SELECT 'spearman', round(corr(rh, rl), 6) FROM rr
-        UNION ALL SELECT 'trustworthiness', trustworthiness FROM ({_trust("dl", "dh", "trustworthiness")})
-        UNION ALL SELECT 'continuity', continuity FROM ({_trust("dh", "dl", "continuity")}))"""
-    out["projection_compare"] = compare + " SELECT metric, low, 1.0::DOUBLE AS same, round(1.0::DOUBLE - low, 6) AS delta, CASE WHEN low >= 1.0 THEN 'low' ELSE 'same' END AS winner FROM pr2"
-    out["projection_decide"] = compare + " SELECT count(*) FILTER (low < 1.0) AS wins, count(*) AS metrics, CASE WHEN count(*) FILTER (low < 1.0) >= 3 THEN 'same' ELSE 'low' END AS decision FROM pr2"
+    def metrics(name, dist):
+        swap = lambda q: q.replace(DIST, dist)
+        return f"""{name} AS (WITH {dist}, {JACC}, {SPEAR}
+          SELECT 'jaccard' AS metric, round(avg(len(list_intersect(h, l)) / len(list_distinct(list_concat(h, l)))), 6) AS {name} FROM nh JOIN nl USING (i)
+          UNION ALL SELECT 'spearman', round(corr(rh, rl), 6) FROM rr
+          UNION ALL SELECT 'trustworthiness', trustworthiness FROM ({swap(_trust("dl", "dh", "trustworthiness"))})
+          UNION ALL SELECT 'continuity', continuity FROM ({swap(_trust("dh", "dl", "continuity"))}))"""
+
+    both = f"WITH {metrics('low', DIST)}, {metrics('other', DIST.replace(EMB, _emb(OTHER)))}, c AS (SELECT metric, low, other, CASE WHEN low >= other THEN 'low' ELSE 'other' END AS winner FROM low JOIN other USING (metric))"
+    out["projection_compare"] = both + " SELECT metric, low, other, round(other - low, 6) AS delta, winner FROM c"
+    out["projection_decide"] = both + " SELECT count(*) FILTER (winner = 'other') AS wins, count(*) AS metrics, CASE WHEN count(*) FILTER (winner = 'other') >= 3 THEN 'other' ELSE 'low' END AS decision FROM c"
     return out

@@ -25,11 +25,15 @@ def build_session(app: str = "quarry", master: str | None = None, **conf: str) -
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is named."""
+    """The shared folder named by the cluster. A temporary one only on a local master: elsewhere executors would write to it
+    what nobody else can read, so a missing setting is an error."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quarry-"))
+    return named or sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -50,5 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that :func:`cut` wrote, once nothing reads it any more."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/quarry/" in folder:
+            where = jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
