@@ -280,8 +280,8 @@ def _meet(index: DataFrame, shared, percent: int, small: int, pivots: int, hot:
                 left.append(np.full(size - 1, at + p))
                 right.append(others)
         out = []
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        if len(a):
             ok = np.concatenate([_possible(e[a[t : t + 100_000]], e[b[t : t + 100_000]], percent) for t in range(0, len(a), 100_000)])
             a, b = e["class"][a[ok]], e["class"][b[ok]]
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)

@@ -72,5 +72,33 @@ WINDOW w AS (PARTITION BY norm)
 """
 
 
+#: Windows of 100 bytes by their first place; removed ones joined to spans, what lies between them put together again.
+OP2_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+  w AS (SELECT doc_id, s, t[s + 1 : s + 100] AS g FROM (SELECT doc_id, t, unnest(range(0, octet_length(t) - 99)) AS s FROM b)),
+  gone AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+  run AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM (
+    SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS new FROM gone)),
+  span AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS e FROM run GROUP BY doc_id, k),
+  kept AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS f, a AS u FROM span UNION ALL
+    SELECT doc_id, coalesce((SELECT max(e) FROM span WHERE span.doc_id = b.doc_id), 0), octet_length(t) FROM b),
+  joined AS (SELECT doc_id, string_agg(hex(t[f + 1 : u]), '' ORDER BY f, u) AS h FROM kept JOIN b USING (doc_id) GROUP BY 1)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM b JOIN joined USING (doc_id) LEFT JOIN (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY 1) USING (doc_id)
+"""
+
+#: All pairs that share a shingle, counted, and the transitive closure of those that reach the threshold.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+  n AS (SELECT doc_id, len(s) AS n FROM s), g AS (SELECT doc_id, unnest(s) AS g FROM s),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+  l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+  both_ AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+  r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT both_.y, r.root FROM r JOIN both_ ON both_.x = r.doc_id)
+SELECT doc_id, any_value(n)::BIGINT AS n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_near_copies": OP6_SQL, "op10_exact_dedup": OP10_SQL}

@@ -73,7 +73,7 @@ def test_edge_cases(spark, edge, none):
     assert (None, 0, None) in got and near.near_components(edge).count() == edge.count()
     assert near.near_components(none).count() == 0
     kept = near.keep_rows(edge)
-    assert kept.columns == edge.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id = 9").count() == 1 and kept.where("doc_id in (0, 1, 2)").count() == 3
+    assert kept.columns == edge.columns and kept.where("doc_id = 3").count() == 1 and kept.where("doc_id in (8, 9)").count() == 1 and kept.where("doc_id in (0, 1, 2)").count() == 3
     assert near.keep_rows(none).count() == 0
 
 
