@@ -36,8 +36,3 @@ def melt(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = (), name: str
 def as_vector(cols: Sequence[str]) -> Column:
     """Columns packed in order into ``array<double>``."""
     return F.array(*[F.col(c).cast("double") for c in cols])
-
-
-def param_rows(params: dict[str, dict[str, Column]], key: str = "variable") -> Column:
-    """``inline`` over one struct per key: turns a one-row aggregate into a long table."""
-    return F.inline(F.array(*[F.struct(F.lit(k).alias(key), *[c.alias(a) for a, c in v.items()]) for k, v in params.items()]))

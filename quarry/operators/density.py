@@ -271,16 +271,19 @@ def reachability(df: DataFrame, min_samples: int = 5, key: str = "row_id", vec:
     cores = core.select(F.col("row_id").alias("p"), F.col("core").alias("core_p"))
     pairs = near.select(F.col("i").alias("o"), F.col("j").alias("p"), "dist").unionByName(near.select(F.col("j").alias("o"), F.col("i").alias("p"), "dist"))
     leaf = pairs.join(cores, "p").select("o", "p", F.greatest("core_p", "dist").alias("a"))
-    keys = cut(path_keys(rooted, kept, start))
-    best = cut(_entries(keys, leaf))
-    last = lambda c: F.element_at(c, -1)
-    own = keys.filter((F.size("keys") > 0) & (last("keys")["kind"] == 1)).select("v", last("keys")["w"].alias("own_w"))
-    level_reached = F.exists("e.keys", lambda q: q["w"] == F.col("own_w"))
-    early = cut(own.join(best, "v").filter((last(F.col("e.keys"))["w"] < F.col("own_w")) & ~level_reached).select("v"))
-    if not early.isEmpty():
-        # let in by a point other than the tree parent, which only the first pass could tell
+    early, last = None, lambda c: F.element_at(c, -1)
+    while True:
         keys = cut(path_keys(rooted, kept, start, early))
         best = cut(_entries(keys, leaf))
+        # let in by a point other than the tree parent, which only the pass before could tell; each pass may show further ones
+        own = keys.filter((F.size("keys") > 0) & (last("keys")["kind"] == 1)).select("v", last("keys")["w"].alias("own_w"))
+        level_reached = F.exists("e.keys", lambda q: q["w"] == F.col("own_w"))
+        more = cut(own.join(best, "v").filter((last(F.col("e.keys"))["w"] < F.col("own_w")) & ~level_reached).select("v"))
+        if early is not None:
+            more = more.join(early, "v", "left_anti")
+        if more.isEmpty():
+            break
+        early = more if early is None else cut(early.unionByName(more))
     if kept is not core:
         lead = best.join(kept.select(F.col("row_id").alias("v"), "x"), "v").groupBy("x").agg(F.min(F.struct("e.keys", "v")).alias("l"))
         rest = core.join(kept.select("row_id"), "row_id", "left_anti").join(lead, "x")

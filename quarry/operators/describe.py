@@ -188,7 +188,7 @@ def crosstab(df: DataFrame, row: str, col: str, levels: Sequence | None = None)
     kept = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
     wide = kept.groupBy(row).pivot(col, list(levels)).agg(F.count(F.lit(1)))
     cells = [F.coalesce(F.col(f"`{lv}`"), F.lit(0).cast("bigint")).alias(str(lv)) for lv in levels]
-    total = sum((F.coalesce(F.col(f"`{lv}`"), F.lit(0).cast("bigint")) for lv in levels), F.lit(0).cast("bigint"))
+    total = F.aggregate(F.array(*cells), F.lit(0).cast("bigint"), lambda acc, v: acc + v) if cells else F.lit(0).cast("bigint")
     return wide.select(row, *cells, total.alias("total")).orderBy(row)
 
 

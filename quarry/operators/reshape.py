@@ -23,12 +23,6 @@ def lower_triangle(df: DataFrame, row_pos: str = "pos_a", col_pos: str = "pos_b"
     return df.filter(F.col(row_pos) > F.col(col_pos))
 
 
-def display_wide(df: DataFrame, row: str | Sequence[str], col: str, value: str, levels: Sequence) -> DataFrame:
-    """Long to wide for a small result; ``levels`` fixes the column order."""
-    rows = [row] if isinstance(row, str) else list(row)
-    return df.groupBy(*rows).pivot(col, list(levels)).agg(F.first(value))
-
-
 def merge_records(*frames: DataFrame) -> DataFrame:
     """Stack metric records whose columns differ; a missing metric is NULL."""
     out = frames[0]

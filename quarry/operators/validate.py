@@ -17,6 +17,8 @@ from quarry.session import cut
 
 #: Centres are broadcast up to this size.
 CENTRE_BYTES = 16 << 20
+#: Clusters whose partners one task looks for.
+CLUSTERS_PER_TASK = 512
 
 # ---------------------------------------------------------------- metrics linear in the rows
 
@@ -47,14 +49,19 @@ def cluster_moments(df: DataFrame, label: str = "cluster", vec: str = "x", by: S
 def davies_bouldin(moments: DataFrame, by: Sequence[str] = (), label: str = "cluster") -> DataFrame:
     """``(by..., davies_bouldin)`` from :func:`cluster_moments`; NULL with fewer than two clusters.
 
-    The clusters of a model form one array (as long as the model, not the data).
+    Each cluster looks for its worst partner. The clusters are dealt over tasks, each of which sees all centres of its models,
+    so that models with very many clusters are not the work of one task.
     """
-    packed = moments.groupBy(*by).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("mean_dist").alias("s"), F.col("centre").alias("c"))).alias("m"))
-    gap = lambda a, b: F.sqrt(sq_gap(a["c"], b["c"]))
-    ratio = lambda a, b: F.when(gap(a, b) > 0, (a["s"] + b["s"]) / gap(a, b)).otherwise(0.0)
-    worst = F.transform("m", lambda a: F.array_max(F.transform(F.filter("m", lambda b: b["l"] != a["l"]), lambda b: ratio(a, b))))
-    total = F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v)
-    return packed.select(*by, F.when(F.size("m") >= 2, total / F.size("m")).alias("davies_bouldin"))
+    keys = list(by) or ["_all"]
+    m = cut((moments if by else moments.withColumn("_all", F.lit(0))).select(*keys, F.col(label).alias("_a"), F.col("mean_dist").alias("_s"), F.col("centre").alias("_c")))
+    parts = max(1, -(-m.count() // CLUSTERS_PER_TASK))
+    own = m.withColumn("_part", F.pmod(F.xxhash64("_a"), F.lit(parts)).cast("int"))
+    other = m.select(*keys, F.col("_a").alias("_b"), F.col("_s").alias("_s2"), F.col("_c").alias("_c2"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    gap = F.sqrt(sq_gap("_c", "_c2"))
+    met = own.join(other, [*keys, "_part"]).where(F.col("_a") != F.col("_b")).select(*keys, "_a", (F.col("_s") + F.col("_s2")).alias("_sum"), gap.alias("_gap"))
+    worst = met.groupBy(*keys, "_a").agg(F.max(F.when(F.col("_gap") > 0, F.col("_sum") / F.col("_gap")).otherwise(0.0)).alias("_worst"))
+    mean = worst.groupBy(*keys).agg(F.avg("_worst").alias("davies_bouldin"))
+    return m.select(*keys).distinct().join(mean, keys, "left").select(*by, "davies_bouldin")
 
 
 def calinski_harabasz(moments: DataFrame, by: Sequence[str] = (), dim: int | None = None) -> DataFrame:

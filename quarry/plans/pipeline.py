@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import compare, density, kmeans, neighbours, pca, prepare, quality, reshape, umap, validate
+from quarry.operators import compare, density, kmeans, neighbours, prepare, quality, reshape, validate
 from quarry.session import cut
 
 
@@ -78,35 +78,7 @@ def density_metrics(points: DataFrame, labels: DataFrame, target: DataFrame | No
     return long.unionByName(more.filter(~F.col("metric").isin("inertia", "silhouette")))
 
 
-def compare_models(spaces: dict[str, DataFrame], target: DataFrame | None, k_range: Sequence[int] = range(2, 13), min_samples: Sequence[int] = (5, 15)) -> DataFrame:
-    """Long ``(model, metric, value)``: per space ``(row_id, x)`` the k-means grid's best silhouette and one
-    density run per ``min_samples``. ``target`` is ``(row_id, y)``."""
-    parts = []
-    for name, points in spaces.items():
-        models = kmeans.fit_grid(points, k_range)
-        labelled = points.join(target, "row_id") if target is not None else points
-        grid = cut(kmeans.grid_metrics(labelled, models, "y" if target is not None else None))
-        best = kmeans.select_k(grid).filter("metric = 'silhouette'").first()["k"]
-        parts.append(grid.filter(F.col("k") == best).select(F.lit(f"k-means {name}").alias("model"), "metric", "value"))
-        edges = cut(neighbours.knn(points, max(min_samples) - 1))
-        for ms in min_samples:
-            _, labels = density.optics(points, ms, edges=edges)
-            parts.append(cut(density_metrics(points, labels, target, f"density {name} ms={ms}")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def normalised(metrics: DataFrame) -> DataFrame:
     """Min-max scaled quality metrics across models, for a grouped bar chart."""
     kept = metrics.filter(F.col("metric").isin("silhouette", "davies_bouldin", "calinski_harabasz", "ari", "nmi", "dunn"))
     return compare.minmax(kept)
-
-
-def two_spaces(prepared: Prepared, n_neighbors: int = 15, min_dist: float = 0.1) -> dict[str, DataFrame]:
-    """The scaled table in two dimensions by PCA and by the neighbour graph, as ``(row_id, x)``."""
-    model = pca.fit(prepared.scaled, prepared.columns)
-    flat = cut(pca.as_points(pca.project(prepared.scaled, model)))
-    high = prepare.assemble(prepared.scaled, prepared.columns)
-    return {"PCA": flat, "UMAP": cut(pca.as_points(umap.embed(high, n_neighbors, min_dist)))}

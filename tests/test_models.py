@@ -37,14 +37,15 @@ def test_pca_against_numpy(spark):
 
 
 def test_published_scree_table(spark):
-    # fixed values: eigenvalues of the first two components and published counts of a 22-column study
-    rest = [1.60, 1.55, 1.40, 1.30, 1.20, 1.15, 1.10, 1.05, 0.90]
-    total = (4.372 + 2.147) / 0.295
-    eig = np.array([4.372, 2.147, *rest])
-    eig = np.append(eig, [(total - eig.sum()) / 4] * 4)
-    v = pca.variance_table(spark, pca.PcaModel([], np.zeros(0), np.zeros((0, 0)), eig))
-    assert pca.kaiser(v).first()["components"] == int((eig > 1).sum())
-    assert v.orderBy("pc").collect()[1]["cum"] == pytest.approx(0.295)
+    # The published eigenvalues of 22 standardised columns, and what the study reads from them.
+    eig = [4.372, 2.147, 1.744, 1.569, 1.447, 1.303, 1.193, 1.134, 1.040, 1.010, 0.898, 0.839]
+    cumulated = [19.8, 29.5, 37.4, 44.5, 51.1, 57.0, 62.4, 67.5, 72.2, 76.8, 80.9, 84.7]
+    total = eig[0] / 0.198  # the ten components that are not listed share the rest
+    rest = [(total - sum(eig)) / 10] * 10
+    v = pca.variance_table(spark, pca.PcaModel([], np.zeros(0), np.zeros((0, 0)), np.array(eig + rest)))
+    assert pca.kaiser(v).first()["components"] == 10
+    assert pca.components_for(v).first()["components"] == 11
+    assert [r["cum"] * 100 for r in v.orderBy("pc").collect()[:12]] == pytest.approx(cumulated, abs=0.2)
 
 
 def test_kmeans_recovers_planted_groups(spark):
