@@ -1,9 +1,10 @@
 """Exact copies by an extendible-hash index on shared files, in DataFrame operations only.
 
-Every distinct text becomes one index entry: a 64-bit key, its SHA-256, the row that stays and the number of rows. A
-directory maps the leading bits of a key to a bucket. It starts with one bucket and doubles as long as a bucket holds
-more entries than its capacity, so only overfull buckets get longer prefixes. Tasks own ranges of keys; in a bucket the
-entries of one key form a chain, told apart by their bytes.
+Every row has a 64-bit key, a hash of its text. A directory maps the leading bits of a key to a bucket. It starts with one
+bucket and doubles as long as a bucket holds more keys than its capacity, so only overfull buckets get longer prefixes. Rows
+go to the task of their bucket, copies summed beforehand in shares of the tasks. There the texts of one key form a chain that
+is told apart by bytes: each text of the chain becomes an index entry with its SHA-256, the row that stays and the number of
+rows. Rows look up their entry by bucket, key and SHA-256.
 
 Texts are equal when identical after every run of white space (space, tab to carriage return) became one space. NULL
 text counts as empty. Rows with equal text and equal doc_id are copies like others: one of them stays. A NULL doc_id
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import id_and_text
 from quarry.session import cut
 
-#: Entries a bucket may hold before it is split.
-CAPACITY = 1 << 20
+#: Keys a bucket may hold before it is split: some tens of MB of texts.
+CAPACITY = 1 << 12
+#: Rows that one text sends to its bucket at most; each sums the copies of a share of the tasks.
+SHARES = 16
 #: Bits added to prefixes per look at the counts; a look returns at most 2^8 counts for each bucket still overfull.
 STEP = 8
 
@@ -27,35 +30,46 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, text_sha256, norm)."""
+def key_of(norm: Column) -> Column:
+    return F.xxhash64(norm)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, norm)."""
     norm = id_and_text(docs).select("doc_id", normalised(F.col("text")).alias("norm"))
-    return norm.select("doc_id", F.xxhash64("norm").alias("key"), F.sha2(F.col("norm"), 256).alias("text_sha256"), "norm")
+    return norm.select("doc_id", key_of(F.col("norm")).alias("key"), "norm")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text_sha256)."""
+    return _texts(docs).select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"))
 
 
-def entries(docs: DataFrame) -> DataFrame:
-    """(key, text_sha256, keep_id, group_size): texts are grouped by their bytes, first within each task, so that copies
-    meet as one row per task however many there are."""
-    rows = keyed(docs).groupBy("key", "text_sha256", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.drop("norm")
+def entries(docs: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
+    """(bucket, key, text_sha256, keep_id, group_size): rows are routed by bucket, and the chain of each key is told apart by
+    bytes in the bucket's task. Copies are summed within tasks and shares of tasks before, however many there are."""
+    sums = [F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")]
+    rows = with_bucket(_texts(docs), buckets).select("bucket", "key", "norm", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), (F.spark_partition_id() % SHARES).alias("share"))
+    shared = rows.groupBy("bucket", "key", "norm", "share").agg(*sums).drop("share")
+    chains = shared.repartition("bucket").groupBy("bucket", "key", "norm").agg(*sums)
+    return chains.select("bucket", "key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
 
 
 def _prefix(depth: int) -> Column:
     return F.shiftrightunsigned(F.col("key"), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(index: DataFrame, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """The buckets as (depth, prefix): the shortest prefixes whose buckets hold at most ``capacity`` entries.
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> list[tuple[int, int]]:
+    """The buckets as (depth, prefix): the shortest prefixes whose buckets hold at most ``capacity`` of the (distinct) keys.
 
-    Only counts by prefix reach the driver, for overfull buckets alone. Where all 64 bits are equal the chain stays
-    longer than the capacity.
+    Only counts by prefix reach the driver, for overfull buckets alone. A chain of texts with one key is never split.
     """
     leaves, depth, full = [], 0, {0: None}
-    if index.count() <= capacity:
+    if keys.count() <= capacity:
         return [(0, 0)]
     while full:
         deeper = min(depth + STEP, 64)
-        rows = index.select(_prefix(depth).alias("above"), _prefix(deeper).alias("prefix"))
+        rows = keys.select(_prefix(depth).alias("above"), _prefix(deeper).alias("prefix"))
         if depth:
             rows = rows.where(F.col("above").isin(list(full)))
         counts = {r.prefix: r.n for r in rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -76,33 +90,34 @@ def directory(index: DataFrame, capacity: int = CAPACITY) -> list[tuple[int, int
     return leaves
 
 
-def with_bucket(index: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
+def with_bucket(rows: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
     """Adds ``bucket``: the first key of the bucket's range, in unsigned order moved to signed."""
-    out, bucket = index, None
+    bucket = None
     for depth in sorted({d for d, _ in buckets}):
         prefixes = [p for d, p in buckets if d == depth]
         first = F.shiftleft(_prefix(depth), 64 - depth) if depth else F.lit(0).cast("long")
         here = _prefix(depth).isin(prefixes) if depth else F.lit(True)
         bucket = F.when(here, first) if bucket is None else bucket.when(here, first)
-    return out.withColumn("bucket", bucket)
+    return rows.withColumn("bucket", bucket)
 
 
-def build(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """The index as a table in the shared folder, sorted by key within its files, and its directory."""
-    found = cut(entries(docs))
-    buckets = directory(found, capacity)
-    return cut(with_bucket(found, buckets).repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "text_sha256")), buckets
+def build(docs: DataFrame, capacity: int = CAPACITY, rows: DataFrame | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The index as a table in the shared folder, each bucket in one file and sorted by key, and its directory. ``rows`` are
+    those of :func:`keyed`, where they are written already."""
+    buckets = directory(cut((_texts(docs) if rows is None else rows).select("key").distinct()), capacity)
+    return cut(entries(docs, buckets).sortWithinPartitions("bucket", "key", "text_sha256")), buckets
 
 
 def decide(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``; copies of a (doc_id, text) pair keep one."""
-    index, buckets = build(docs, capacity)
-    pairs = keyed(docs).groupBy("key", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    rows = cut(keyed(docs))
+    index, buckets = build(docs, capacity, rows)
+    pairs = with_bucket(rows, buckets).groupBy("bucket", "key", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     return _decided(pairs, index)
 
 
 def _decided(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    rows = pairs.join(index.select("key", "text_sha256", "keep_id", "group_size"), ["key", "text_sha256"])
+    rows = pairs.join(index, ["bucket", "key", "text_sha256"])
     rows = rows.select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
@@ -127,5 +142,5 @@ def keep_rows(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def lookup(index: DataFrame, buckets: list[tuple[int, int]], texts: DataFrame) -> DataFrame:
     """Rows of ``texts`` (doc_id, text) with the keep_id and group_size of the index entry with equal text, NULL without."""
-    asked = with_bucket(keyed(texts).drop("norm"), buckets)
+    asked = with_bucket(keyed(texts), buckets)
     return asked.join(index.select("bucket", "key", "text_sha256", "keep_id", "group_size"), ["bucket", "key", "text_sha256"], "left").select("doc_id", "keep_id", "group_size", "text_sha256")

@@ -49,3 +49,19 @@ def test_one_hot_text(spark):
     got = exact.decide(docs)
     assert got.where("group_size = 1667").count() == 1667 and got.where("kept").count() == 5000 - 1666
     assert exact.keep_rows(docs.union(docs)).count() == 5000 - 1666
+
+
+def test_buckets_route_and_decide(spark, monkeypatch):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t "), (F.col("id") % 15000).cast("string")).alias("text")).repartition(6)
+    index, buckets = exact.build(docs)
+    assert len(buckets) >= 4  # at the capacity of the query
+    files = index.withColumn("file", F.input_file_name()).groupBy("bucket").agg(F.countDistinct("file").alias("n"), F.count(F.lit(1)).alias("size")).collect()
+    assert len(files) > 3 and all(r.n == 1 and r.size <= exact.CAPACITY for r in files)
+    # Chains: 15,000 texts under 100 keys.
+    monkeypatch.setattr(exact, "key_of", lambda norm: F.xxhash64(F.substring(norm, -2, 2)))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert exact.directory(exact.keyed(docs).select("key").distinct(), 5) and sorted(map(tuple, exact.decide(docs, capacity=5).collect()), key=str) == brute(rows)
+    # A row whose directory leads elsewhere finds no entry.
+    other = [(d, p ^ 1) for d, p in buckets]
+    asked = docs.limit(50)
+    assert exact.lookup(index, other, asked).where("keep_id is not null").count() == 0
