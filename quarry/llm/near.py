@@ -134,10 +134,15 @@ def _unpack(body: bytes) -> np.ndarray:
     return out
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key): doc_id and a hash of the text tell rows apart where an id is NULL or stands on several texts."""
+    return id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
+
+
 def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
-    """Rows (doc_id, class, n, parities) of every text, and rows (block, part, counts) of the frequency sketch of every task."""
-    schema = "doc_id long, class long, n int, parities array<long>, block int, part int, counts binary"
-    names = ["doc_id", "class", "n", "parities", "block", "part", "counts"]
+    """Rows (doc_id, text_key, class, n, parities) of every text, and rows (block, part, counts) of the frequency sketch of every task."""
+    schema = "doc_id long, text_key long, class long, n int, parities array<long>, block int, part int, counts binary"
+    names = ["doc_id", "text_key", "class", "n", "parities", "block", "part", "counts"]
     words_ = pa.list_(pa.int64())
 
     def scan(batches):
@@ -149,7 +154,7 @@ def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
                 found = [(_class(s) if len(s) else None, len(s), _parities(s)) for s in _counted(shingle_sets(rows.column("text"), k), sketch)]
                 n = rows.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], words_), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                    [rows.column("doc_id"), rows.column("text_key"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], words_), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                     names,
                 )
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -157,11 +162,11 @@ def _classes_and_counts(docs: DataFrame, k: int) -> DataFrame:
             part = TaskContext.get().partitionId()
             blocks = [pack(b.tobytes()) for b in sketch.reshape(_BLOCKS, -1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int32()), pa.nulls(_BLOCKS, words_), pa.array(range(_BLOCKS), pa.int32()), pa.array([part] * _BLOCKS, pa.int32()), pa.array(blocks, pa.binary())],
+                [*[pa.nulls(_BLOCKS, pa.int64())] * 3, pa.nulls(_BLOCKS, pa.int32()), pa.nulls(_BLOCKS, words_), pa.array(range(_BLOCKS), pa.int32()), pa.array([part] * _BLOCKS, pa.int32()), pa.array(blocks, pa.binary())],
                 names,
             )
 
-    return id_and_text(docs).mapInArrow(scan, schema)
+    return _keyed(docs).mapInArrow(scan, schema)
 
 
 def _counted(sets: Iterator[np.ndarray], sketch: np.ndarray) -> Iterator[np.ndarray]:
@@ -396,10 +401,11 @@ def _crossing(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int = PERCENT, small: int = SMALL_GROUP, pivots: int = PIVOTS, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_ENTRIES, star_rounds: int = 4, max_pairs: int = MAX_PAIRS, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class), one row per row of ``docs``."""
+    """(doc_id, n_shingles, component_id, class, root, text_key), one row per row of ``docs``; ``root`` names a component, NULL
+    without words."""
     spark = docs.sparkSession
     scanned = cut(_classes_and_counts(docs, k))
-    rows, parities = scanned.where("block is null").select("doc_id", "class", "n"), scanned.where("class is not null").select("class", "parities")
+    rows, parities = scanned.where("block is null").select("doc_id", "text_key", "class", "n"), scanned.where("class is not null").select("class", "parities")
     shared = spark.sparkContext.broadcast(_levels(scanned.where("block is not null").select("block", "part", "counts")))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(max(1, -(-total * (101 - percent) // 100 * _ENTRY.itemsize // bucket_bytes)))
@@ -454,19 +460,24 @@ def _by_document(rows: DataFrame, roots: DataFrame) -> DataFrame:
     known = classes.join(roots, classes["class"] == roots["node"], "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     known = cut(known)
     smallest = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = known.join(smallest, "root").select("class", "component_id")
+    of_class = known.join(smallest, "root").select("class", "component_id", "root")
     out = rows.join(of_class, "class", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class", "root", "text_key")
 
 
 def keep_rows(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component (that of the smallest doc_id), with all its columns; rows without words all stay."""
+    """One row of each component (that of the smallest doc_id, NULL last), with all its columns; rows without words all stay."""
     found = cut(near_components(docs, k, percent))
-    kept = found.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    repeated = found.where("class is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    if repeated.limit(1).count():  # several rows of one id: one of them stays
-        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        out = out.where(~empty).groupBy(F.col("doc_id").alias("_keep")).agg(F.min(whole).alias("_row")).select("_row.*").unionByName(out.where(empty))
-    return out
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("class").isNotNull()).alias("words"))
+    if not ids.where("words and (c > 1 or doc_id is null)").limit(1).count():
+        kept = found.where("class is null or doc_id = component_id").select(F.col("doc_id").alias("_keep"))
+        return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    # An id alone does not tell the rows apart: its text does, and of equal texts with one id any row is as good.
+    kept = found.where("class is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row"))
+    kept = kept.select(F.col("row.doc_id").alias("_keep"), F.col("row.text_key").alias("_key"))
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    empty = ~F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(~empty).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")) & (key == F.col("_key")), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    one = rows.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_key"), whole)
+    return one.groupBy("_id", "_key").agg(F.min("_row").alias("_row")).select("_row.*").unionByName(docs.where(empty))

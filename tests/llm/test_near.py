@@ -77,6 +77,18 @@ def test_edge_cases(spark, edge, none):
     assert near.keep_rows(none).count() == 0
 
 
+A, B, C = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+
+
+def test_kept_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, A), (None, B), (None, ""), (None, " "), (7, C), (7, "other words"), (7, ""), (3, "other  words"), (9, "x y"), (9, "x y"), (9, "X  y"), (2, "x y z")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(4)
+    kept = near.keep_rows(docs)
+    got = [r.n for r in kept.collect()]
+    assert kept.columns == docs.columns and len(got) == 9
+    assert set(got) - {8, 9, 10} == {0, 1, 2, 3, 4, 6, 7, 11}
+
+
 def test_components(spark):
     links = spark.range(1, 300).select(F.col("id").alias("a"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(F.col("id") - 1).alias("b")).repartition(7)
     for per_task in (20, 1000):
