@@ -302,7 +302,8 @@ def _meet(index: DataFrame, shared, percent: int, small: int, pivots: int, hot:
 
 
 def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(class, body): the compressed text of one row of each class that is verified. ``reps`` is (class, doc_id)."""
+    """(class, body): the compressed text of one row of each class that is verified. ``reps`` is (class, doc_id, text_key, n),
+    a row that stands n times."""
 
     def packed(batches):
         import zstandard
@@ -310,10 +311,12 @@ def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for rows in slices(batch):
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([pack(t.encode()) for t in rows.column("text").to_pylist()], pa.binary())], ["doc_id", "body"])
+                bodies = [pack(t.encode()) for t in rows.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(bodies, pa.binary())], ["id", "key", "body"])
 
-    bodies = id_and_text(docs).where("doc_id is not null").mapInArrow(packed, "doc_id long, body binary")
-    return bodies.join(reps, "doc_id").select("class", "body")
+    bodies = _keyed(docs).mapInArrow(packed, "id long, key long, body binary")
+    out = bodies.join(reps, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("class", "body")
+    return out.dropDuplicates(["class"]) if reps.where("n > 1").limit(1).count() else out
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -416,8 +419,9 @@ def near_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int =
     top = heads.groupBy("shingle").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
     pairs = pairs.unionByName(heads.join(top, "shingle").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(members.select(F.col("a").alias("class"))).distinct()
-    reps = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    texts = cut(_texts_of(docs, reps.where("doc_id is not null").join(wanted, "class", "left_semi")))
+    reps = rows.where("class is not null").groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    reps = reps.groupBy("class").agg(F.min(F.struct("n", "doc_id", "text_key")).alias("row")).select("class", "row.doc_id", "row.text_key", "row.n")
+    texts = cut(_texts_of(docs, cut(reps.join(wanted, "class", "left_semi"))))
     pairs = cut(pairs.distinct())
     links = cut(_verify(pairs, texts, k, percent))
     roots = components(links, links_per_task)

@@ -89,6 +89,25 @@ def test_kept_rows_with_null_and_repeated_ids(spark):
     assert set(got) - {8, 9, 10} == {0, 1, 2, 3, 4, 6, 7, 11}
 
 
+@pytest.mark.parametrize("options", [{}, FORCED])
+def test_links_with_null_and_repeated_ids(spark, options):
+    texts = [t for _, t in variants(5, 60)]
+    texts += [A, A, A + " tail", B, B + " tail", C, C + " tail"]
+    ids = [None if n % 3 == 0 else n % 7 for n in range(len(texts) - 7)] + [None, None, 100, None, None, 1, 2]
+    rows = list(enumerate(texts))
+    root = {i: c for i, _, c in brute(rows)}
+    least = {}
+    for (i, _), d in zip(rows, ids):
+        least[root[i]] = min((x for x in (d, least.get(root[i])) if x is not None), default=None)
+    want = Counter((d, n, least[c]) for (i, n, c), d in ((r, ids[r[0]]) for r in brute(rows)))
+    docs = spark.createDataFrame([(d, t) for d, t in zip(ids, texts)], "doc_id long, text string").repartition(4)
+    found = near.near_components(docs, **options)
+    got = found.collect()
+    assert Counter(tuple(r)[:3] for r in got) == want and len({r.root for r in got}) == len(set(root.values()))
+    if not options:
+        assert near.keep_rows(docs).count() == len(set(root.values()))
+
+
 def test_components(spark):
     links = spark.range(1, 300).select(F.col("id").alias("a"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(F.col("id") - 1).alias("b")).repartition(7)
     for per_task in (20, 1000):
