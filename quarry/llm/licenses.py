@@ -4,7 +4,7 @@ Tokens are lower-cased (A-Z) runs of letters and digits. Where two neighbouring
 stretch of the text in which the template would lie is aligned with it: words that are unique in both are anchors, the longest
 increasing subsequence of anchors is kept, equal neighbours of anchors join them, and the gaps between anchors are aligned
 the same way. The share of the template's tokens that are aligned is its coverage. Of overlapping notices the one with more
-aligned tokens counts.
+aligned tokens counts, of equal ones the shorter stretch.
 
 NULL and empty texts hold no notice, repeated rows give repeated results, and a notice that stands several times is counted
 each time. Other columns are not read.
@@ -116,24 +116,29 @@ class Templates:
         for i in seeds.tolist():
             for t, j in self.pairs[int(tokens[i]) * size + int(tokens[i + 1])]:
                 starts.setdefault(t, set()).add(i - j)
-        found = []
+        found = set()
         for t, own in starts.items():
             template = self.tokens[t]
-            n, slack, last = len(template), len(template) // 4 + 2, None
+            n, slack, groups = len(template), len(template) // 4 + 2, []
             need, counts = coverage * n, Counter(template)
             for start in sorted(own):
-                if last is not None and start - last <= slack // 2:
-                    continue
-                last = start
-                a, b = max(0, start - slack), min(len(tokens), start + n + slack)
-                here = tokens[a:b].tolist()
-                if sum(min(c, counts[w]) for w, c in Counter(here).items() if w in counts) < need:
-                    continue  # no alignment can reach the coverage
-                pairs = align(here, template)
-                if len(pairs) >= need:
-                    found.append((len(pairs), len(pairs) / n, a + pairs[0][0], a + pairs[-1][0] + 1, self.names[t]))
+                if groups and start - groups[-1][0] <= slack // 2:
+                    groups[-1].append(start)
+                else:
+                    groups.append([start])
+            for group in groups:
+                # The wide window finds edited copies; where it reaches into copies before and after, the narrow ones do.
+                windows = {(group[0] - slack, group[0] + n + slack), (group[0], group[-1] + n), *((start, start + n) for start in group)}
+                for a, b in windows:
+                    a, b = max(0, a), min(len(tokens), b)
+                    here = tokens[a:b].tolist()
+                    if sum(min(c, counts[w]) for w, c in Counter(here).items() if w in counts) < need:
+                        continue  # no alignment can reach the coverage
+                    pairs = align(here, template)
+                    if len(pairs) >= need:
+                        found.add((len(pairs), len(pairs) / n, a + pairs[0][0], a + pairs[-1][0] + 1, self.names[t]))
         out, taken = [], []
-        for matched, share, a, b, name in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
+        for matched, share, a, b, name in sorted(found, key=lambda f: (-f[0], -f[1], f[3] - f[2], f[2], f[4])):
             if all(b <= s or e <= a for s, e in taken):
                 taken.append((a, b))
                 out.append((name, share, matched, a, b))

@@ -2,6 +2,8 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarry.llm import licenses
@@ -42,3 +44,21 @@ def test_edited_and_repeated_notices(spark, edge, none):
     got = [(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "first_token").collect()]
     assert got == [(1, "Apache-2.0"), (1, "Apache-2.0"), (2, "Apache-2.0"), (4, "CC-BY-4.0"), (4, "CC-BY-NC-4.0"), (5, "MIT")]
     assert licenses.scan(edge).count() == 0 and licenses.scan(none).count() == 0
+
+
+def test_many_adjacent_copies():
+    known = licenses.Templates(licenses.TEMPLATES)
+
+    def found(text):
+        tokens = known.coded(licenses.token_hashes(pa.array([text]))[0])
+        pair = np.where((tokens[:-1] >= 0) & (tokens[1:] >= 0), tokens[:-1] * len(known.vocabulary) + tokens[1:], -1)
+        return known.notices(tokens, np.flatnonzero(np.isin(pair, known.pair_codes)), licenses.COVERAGE)
+
+    for name, own in licenses.TEMPLATES.items():
+        for template in own:
+            for k in (3, 4, 7):
+                got = found(" ".join([template] * k))
+                assert [g[0] for g in got] == [name] * k and all(g[2] == g[4] - g[3] for g in got), template
+    words = "Licensed under the Apache License, Version 2.0.".split()
+    for edited in (["x", *words], [*words[:4], "x", *words[4:]], words[:3] + words[4:]):  # a word more, before and within, and one less
+        assert [g[0] for g in found(" ".join(edited * 5))] == ["Apache-2.0"] * 5, edited
