@@ -142,25 +142,7 @@ class Encoder:
         del of_row, cut, kind
         hashes = span_hashes(data, starts, ends)
         hashes[hashes == 0] = 1
-        slot = self._find(hashes)
-        missing = np.flatnonzero(self.keys[slot] == 0)
-        if len(missing):
-            new, first = np.unique(hashes[missing], return_index=True)
-            if 2 * (self.taken + len(new)) > SLOTS and self.taken:
-                self._forget()
-                new, first = np.unique(hashes, return_index=True)
-                missing = np.arange(len(hashes))
-            if 2 * len(new) > SLOTS:
-                raise ValueError("more distinct words in a batch than the table holds")
-            raw, at = data.tobytes(), missing[first]
-            gc.disable()  # the lists below hold no cycles
-            try:
-                words = [raw[s:e].decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-                self._learn(new, self._new(words))
-            finally:
-                gc.enable()
-            slot = self._find(hashes)
-        sizes = self.lengths[slot].astype(np.int64)
+        sizes, flat = self._ids_of(data, starts, ends, hashes)
         per_row = np.bincount(rows, weights=sizes, minlength=n).astype(np.int64) if n else np.zeros(0, np.int64)
         strange = np.flatnonzero(~plain)
         special = self.whole(texts.take(pa.array(strange)).fill_null("").to_pylist()) if len(strange) else []
@@ -168,18 +150,50 @@ class Encoder:
             per_row[i] = len(ids) // 2
         out_offsets = np.concatenate([[0], np.cumsum(per_row)])
         ids = np.empty(int(out_offsets[-1]), np.uint16)
-        if len(slot):
+        if len(sizes):
             inside = np.cumsum(sizes) - sizes  # place among the ids of plain rows
             before = np.where(plain, 0, per_row)
             shift = (np.cumsum(before) - before)[rows]
             total = int(sizes.sum())
             step = np.arange(total) - np.repeat(inside, sizes)
-            flat = self.pool[np.repeat(self.starts[slot].astype(np.int64), sizes) + step]
             ids[np.arange(total) + np.repeat(shift, sizes)] = flat
         for i, x in zip(strange.tolist(), special):
             ids[out_offsets[i] : out_offsets[i + 1]] = np.frombuffer(x, "<u2")
         return ids, out_offsets
 
+    def _ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them. Words are worked on in parts that an empty table can hold, even if all
+        words of a part are new; all but very long texts are one part."""
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+        for at in range(0, len(hashes), SLOTS // 2):
+            part = slice(at, at + SLOTS // 2)
+            slot = self._known(data, starts[part], ends[part], hashes[part])
+            n = self.lengths[slot].astype(np.int64)
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            sizes.append(n)
+            flat.append(self.pool[np.repeat(self.starts[slot].astype(np.int64), n) + step])
+        return (sizes[1], flat[1]) if len(sizes) == 2 else (np.concatenate(sizes), np.concatenate(flat))
+
+    def _known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The slots of at most SLOTS / 2 words, of which new ones are encoded first."""
+        slot = self._find(hashes)
+        missing = np.flatnonzero(self.keys[slot] == 0)
+        if not len(missing):
+            return slot
+        new, first = np.unique(hashes[missing], return_index=True)
+        if 2 * (self.taken + len(new)) > SLOTS and self.taken:
+            self._forget()
+            new, first = np.unique(hashes, return_index=True)
+            missing = np.arange(len(hashes))
+        raw, at = data.tobytes(), missing[first]
+        gc.disable()  # the lists below hold no cycles
+        try:
+            words = [raw[s:e].decode("utf-8") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+            self._learn(new, self._new(words))
+        finally:
+            gc.enable()
+        return self._find(hashes)
+
     def _plain(self, data: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows for which the places between words are sure."""
         n = len(offsets) - 1

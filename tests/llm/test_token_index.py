@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quarry.llm import token_index
+from quarry.llm import token_index, tokens
 from quarry.llm.common import documents
 from quarry.llm.tokens import BYTE_BPE, WORD_BPE, Encoder
 from quarry.session import scratch
@@ -32,6 +32,17 @@ def test_same_ids_as_whole_texts(spark, name):
     assert offsets[-1] == offsets[-2]
 
 
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_more_new_words_than_the_table_holds(name, monkeypatch):
+    monkeypatch.setattr(tokens, "SLOTS", 64)
+    texts = ["a b", " ".join(f"w{i}x {i * 7919}" for i in range(500)), "", "it's  odd", " ".join(f"{i} word" for i in range(400)), "a b c"]
+    encoder = Encoder(name)
+    for batch in (texts, texts[::-1]):
+        ids, offsets = encoder.encode(pa.array(batch))
+        for i, e in enumerate(reference(name).encode_batch(batch, add_special_tokens=False)):
+            assert ids[offsets[i] : offsets[i + 1]].tolist() == e.ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 511, 512, 513, 5000])
 def test_wavelet_matrix(n):
     ids = np.random.default_rng(n).integers(0, 50, n).astype(np.uint16)
