@@ -108,3 +108,24 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     finish[edges - 1] = inside[1:-1][edges - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(finish) + 1
     return low, starts, ends, np.searchsorted(starts, offsets)
+
+
+def byte_blocks(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of consecutive blocks of a buffer of about ``limit`` bytes. A row that is longer goes on in the
+    next block; it is cut before a separator (``separators`` says which bytes are), so that no word is torn."""
+    a, n = 0, len(data)
+    while a < n:
+        b = min(n, a + limit)
+        if b < n:
+            at, to = b, int(offsets[np.searchsorted(offsets, b)])  # the next row begins there
+            b = to
+            while at < to:
+                found = np.flatnonzero(separators[data[at : min(to, at + (1 << 16))]])
+                if len(found):
+                    b = at + int(found[0])
+                    break
+                at += 1 << 16
+        first = int(np.searchsorted(offsets, a, side="right")) - 1
+        last = int(np.searchsorted(offsets, b, side="left"))
+        yield first, data[a:b], np.clip(offsets[first : last + 1], a, b) - a
+        a = b

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact, licenses, near, packing, pii, resample, substrings, tiling, token_index, toxicity
+from quarry.llm import exact, language, lexical, licenses, near, packing, pii, resample, substrings, tiling, token_index, toxicity, whiten
 from quarry.llm.common import documents
 from quarry.session import scratch
 
@@ -57,10 +57,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.decide(documents(spark, sf_dir))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predict(docs, language.fit(docs))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_token_index, op2_substring_dedup, op3_packing, op4_decontamination, op5_personal_data, op6_near_copies, op7_licenses,
-        op8_importance_resampling, op9_toxicity, op10_exact_dedup,
+        op8_importance_resampling, op9_toxicity, op10_exact_dedup, op11_language, op12_whitening, op13_lexical_search,
     )
     return {f.__name__: f for f in own}
 
@@ -99,6 +112,20 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
 SELECT doc_id, any_value(n)::BIGINT AS n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id
 """
 
+#: Postings of all documents, joined with those of the items.
+OP13_SQL = r"""
+WITH t AS (SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+    UNION ALL SELECT 'i', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM benchmark),
+  p AS (SELECT side, id, term, count(*) AS tf FROM t GROUP BY ALL),
+  d AS (SELECT id, sum(tf)::BIGINT AS n FROM p WHERE side = 'd' GROUP BY id),
+  c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM d),
+  w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c WHERE side = 'd' GROUP BY term),
+  s AS (SELECT i.id AS item_id, p.id AS doc_id, sum(i.tf * w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+    FROM p JOIN p AS i ON i.term = p.term AND i.side = 'i' AND p.side = 'd' JOIN w ON w.term = p.term JOIN d ON d.id = p.id, c GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op6_near_copies": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_near_copies": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op13_lexical_search": OP13_SQL}
