@@ -1,23 +1,28 @@
 """Density clustering by reachability: exact core distances, ordering, reachability plot and xi clusters.
 
-The ordering is a sequential walk by definition: always visit the point with the smallest reachability
-next. It is computed here without walking. The walk over core points is the visiting order of a minimum
-spanning tree of mutual reachability, and a point's place in it is given by the keys of the tree path from
-the start: keep, from the start on, each key larger than all keys after it. Visiting order is the
-lexicographic order of these key lists. A point that is entered before its own neighbourhood is dense
-enough hangs on one of its near neighbours as a leaf, and its list follows from that neighbour's list.
-
-So the work is: nearest neighbours, a spanning tree by rounds of component merging, an Euler tour to root
-it, path doubling to collect the key lists, one range sort.
+The ordering is a sequential walk by definition: always visit the point with the smallest reachability next, the smallest key
+on ties. Two facts make it a job for Spark.
+
+Few edges can ever be used. An edge that enters a point at no less than its own core distance belongs to some minimum spanning
+tree of mutual reachability, so it is a lightest edge leaving some component while components are merged round by round; all
+that tie for lightest are kept. Any other edge comes from a point nearer than the core distance, one of the nearest neighbours.
+
+The order is a property of paths. Give every step into a point the weight (reachability, key) and keep, along a path, each weight
+larger than all after it. Points are visited in the lexicographic order of the smallest such list over all paths. Every
+point starts with a path of its own, (infinity, key), the start of a new region. Then, in turns, all lists are computed along the
+chosen predecessors by pointer doubling, and every point chooses the predecessor with the smallest list, until nothing changes.
+One range sort gives the order. Up to a bounded number of edges a single task walks over them instead.
 """
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,10 +31,11 @@ from quarry.functions.ranking import global_position
 from quarry.functions.xi import scan_chunk, stitch
 from quarry.operators import blocks, describe, neighbours, validate
 from quarry.operators.blocks import Block, Blocks, Kernel, columns_batch
-from quarry.session import cut
+from quarry.session import cut, drop
 
 DRIVER_COMPONENTS = 4096  # merged on the driver up to this many components, by joins beyond
 DOUBLINGS = 3             # pointer doublings between two writes
+WALK_EDGES = 2_000_000    # edges that one task walks over; lists of weights beyond
 CHUNK = 100_000           # points of the reachability plot that one task scans
 
 
@@ -38,54 +44,93 @@ def core_distances(edges: DataFrame, min_samples: int) -> DataFrame:
     return edges.filter(F.col("rank") == min_samples - 1).select(F.col("i").alias("row_id"), F.col("dist").alias("core"))
 
 
-# ---------------------------------------------------------------- spanning tree
+# ---------------------------------------------------------------- spanning trees
+
+
+def _weights(q: Block, rows: np.ndarray, d: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of some query points to a data block, and mutual reachability with infinity inside a component."""
+    dist = np.sqrt(sq_dist(q.x[rows], d.x))
+    w = np.maximum(np.maximum(dist, q.core[rows, None]), d.core[None, :])
+    w[q.comp[rows, None] == d.comp[None, :]] = np.inf
+    return dist, w
+
+
+def _within(q: Block, d: Block, bound: np.ndarray) -> np.ndarray:
+    """Query points that may have an edge of at most ``bound`` to another component in the block."""
+    near = np.maximum(np.sqrt(box_low(q.x, d.x.min(axis=0), d.x.max(axis=0))) * (1 - 1e-12), q.core)
+    look = near <= bound
+    if d.comp.min() == d.comp.max():
+        look &= q.comp != d.comp[0]
+    return np.nonzero(look)[0]
 
 
 class _Foreign(Kernel):
-    """Per point the lightest edge to another component, the smaller id on ties."""
+    """Per component of a block the lightest edge to another component, the smaller ids on ties, and how many are as light."""
 
-    schema = "i bigint, j bigint, ci bigint, cj bigint, w double, d double"
+    schema = "i bigint, j bigint, ci bigint, cj bigint, w double, d double, many bigint"
 
     def start(self, q: Block):
         n = len(q.ids)
-        return np.full(n, np.inf), np.full(n, np.inf), np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+        return np.full(n, np.inf), np.full(n, np.inf), np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
 
     def feed(self, state, q: Block, d: Block):
-        best, gap, who, comp = state
-        near = np.maximum(np.sqrt(box_low(q.x, d.x.min(axis=0), d.x.max(axis=0))) * (1 - 1e-12), q.core)
-        look = near <= np.minimum(best, q.bound)
-        if d.comp.min() == d.comp.max():
-            look &= q.comp != d.comp[0]
-        rows = np.nonzero(look)[0]
+        best, gap, who, comp, many = state
+        rows = _within(q, d, np.minimum(best, q.bound))
         if len(rows):
-            dist = np.sqrt(sq_dist(q.x[rows], d.x))
-            w = np.maximum(np.maximum(dist, q.core[rows, None]), d.core[None, :])
-            w[q.comp[rows, None] == d.comp[None, :]] = np.inf
+            dist, w = _weights(q, rows, d)
+            w[w > q.bound[rows, None]] = np.inf
             low = w.min(axis=1)
             at = np.argmin(w, axis=1)
-            length, ids = dist[np.arange(len(rows)), at], d.ids[at]
-            better = (low < best[rows]) | ((low == best[rows]) & np.isfinite(low) & (ids < who[rows]))
-            hit = rows[better]
-            best[hit], gap[hit], who[hit], comp[hit] = low[better], length[better], ids[better], d.comp[at[better]]
-        return best, gap, who, comp
+            ids, count = d.ids[at], (w == low[:, None]).sum(axis=1)
+            lower, same = low < best[rows], (low == best[rows]) & np.isfinite(low)
+            many[rows[lower]] = 0
+            many[rows[lower | same]] += count[lower | same]
+            hit = lower | (same & (ids < who[rows]))
+            best[rows[hit]], gap[rows[hit]], who[rows[hit]], comp[rows[hit]] = low[hit], dist[hit, at[hit]], ids[hit], d.comp[at[hit]]
+        return best, gap, who, comp, many
 
     def finish(self, state, q: Block):
-        best, gap, who, comp = state
+        best, gap, who, comp, many = state
         ok = np.nonzero(np.isfinite(best))[0]
         if not len(ok):
             return None
-        # only the lightest edge of each component leaves the task
         lo, hi = np.minimum(q.ids[ok], who[ok]), np.maximum(q.ids[ok], who[ok])
         order = np.lexsort((hi, lo, best[ok], q.comp[ok]))
-        first = order[np.concatenate([[True], np.diff(q.comp[ok][order]) != 0])]
-        pick = ok[first]
-        return columns_batch(i=q.ids[pick], j=who[pick], ci=q.comp[pick], cj=comp[pick], w=best[pick], d=gap[pick])
+        first = np.flatnonzero(np.append(True, np.diff(q.comp[ok][order]) != 0))
+        pick = ok[order[first]]
+        own = np.repeat(best[pick], np.diff(np.append(first, len(order))))
+        count = np.add.reduceat(np.where(best[ok][order] == own, many[ok][order], 0), first)
+        return columns_batch(i=q.ids[pick], j=who[pick], ci=q.comp[pick], cj=comp[pick], w=best[pick], d=gap[pick], many=count)
+
+
+class _Tied(Kernel):
+    """All edges to other components of exactly a point's bound."""
+
+    schema = "i bigint, j bigint, w double, d double"
+
+    def start(self, q: Block):
+        return []
+
+    def feed(self, state, q: Block, d: Block):
+        rows = _within(q, d, q.bound)
+        if len(rows):
+            dist, w = _weights(q, rows, d)
+            r, c = np.nonzero(w == q.bound[rows, None])
+            state.append((q.ids[rows[r]], d.ids[c], w[r, c], dist[r, c]))
+        return state
+
+    def finish(self, state, q: Block):
+        if not state:
+            return None
+        i, j, w, dist = (np.concatenate(v) for v in zip(*state))
+        return columns_batch(i=np.minimum(i, j), j=np.maximum(i, j), w=w, d=dist)
 
 
 def _lightest(found: DataFrame) -> DataFrame:
-    """One edge per component by one total order of all edges: weight, smaller end, larger end."""
-    key = F.struct("w", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "cj", "d")
-    return found.groupBy("ci").agg(F.min(key).alias("k")).select("ci", "k.*")
+    """One edge per component by one total order of all edges (weight, smaller end, larger end), and how many are as light."""
+    key = F.struct(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "cj", "d")
+    by_weight = found.groupBy("ci", "w").agg(F.min(key).alias("k"), F.sum("many").alias("many"))
+    return by_weight.groupBy("ci").agg(F.min(F.struct("w", "k", "many")).alias("e")).select("ci", "e.k.*", "e.w", "e.many")
 
 
 def _follow(parent: dict[int, int]) -> dict[int, int]:
@@ -116,9 +161,10 @@ def _roots(picked: DataFrame) -> tuple[DataFrame, int]:
             return links, links.select("root").distinct().count()
 
 
-def spanning_tree(points: DataFrame, driver_limit: int = DRIVER_COMPONENTS) -> DataFrame:
-    """``(i, j, w, d)``: minimum spanning tree of mutual reachability ``max(core_i, core_j, dist)`` over
-    ``points(row_id, x, core)``. Each round every component takes its lightest outgoing edge."""
+def spanning_edges(points: DataFrame, max_eps: float = math.inf, driver_limit: int = DRIVER_COMPONENTS) -> DataFrame:
+    """``(i, j, w, d)``, ``i < j``: every edge of every minimum spanning forest of mutual reachability ``max(core_i, core_j, dist)``
+    over ``points(row_id, x, core)``, edges beyond ``max_eps`` left out. Each round every component takes its lightest outgoing
+    edge to merge along, and hands on all that are as light: as many rows as points, and one for each further tied pair."""
     spark = points.sparkSession
     b = blocks.build(points, "row_id", "x", ["core"], stable=True)
     members = b.df.select("bid", F.explode("ids").alias("id"))
@@ -126,175 +172,192 @@ def spanning_tree(points: DataFrame, driver_limit: int = DRIVER_COMPONENTS) -> D
     components, edges = b.rows, None
     box = cut(blocks.boxes(b, b.df.select("bid", F.array_min("core").alias("low_core")), ["low_core"])) if not b.small else None
     while components > 1:
-        picked = _lightest(_search(b, box, state))
-        if components <= driver_limit:
-            rows = picked.collect()
-            fresh = spark.createDataFrame(sorted({(r["lo"], r["hi"], r["w"], r["d"]) for r in rows}), "i bigint, j bigint, w double, d double")
-            root = _follow({r["ci"]: r["cj"] for r in rows})
+        picked = cut(_lightest(_search(b, box, state, max_eps)))
+        parents, most = picked.agg(F.count(F.lit(1)), F.max("many")).first()
+        if not parents:
+            break
+        fresh = picked.select(F.col("lo").alias("i"), F.col("hi").alias("j"), "w", "d") if most == 1 else _tied(b, box, state, picked)
+        edges = fresh if edges is None else edges.unionByName(fresh)
+        if parents <= driver_limit:
+            root = _follow({r["ci"]: r["cj"] for r in picked.collect()})
             roots, components = spark.createDataFrame(list(root.items()), "comp bigint, root bigint"), len(set(root.values()))
         else:
-            picked = cut(picked)
-            fresh = picked.select(F.col("lo").alias("i"), F.col("hi").alias("j"), "w", "d").distinct()
             roots, components = _roots(picked)
-        edges = fresh if edges is None else edges.unionByName(fresh)
-        if components > 1:
-            state = cut(state.join(roots, "comp").select("bid", "id", F.col("root").alias("comp")))
+        if components > 1:  # a component without an edge within max_eps is in no pair, and stays as it is
+            state = cut(state.join(roots, "comp", "left").select("bid", "id", F.coalesce("root", "comp").alias("comp")))
     if edges is None:
         return spark.createDataFrame([], "i bigint, j bigint, w double, d double")
     return cut(edges.distinct())
 
 
-def _search(b: Blocks, box: DataFrame | None, state: DataFrame) -> DataFrame:
-    spark = state.sparkSession
+def _tied(b: Blocks, box: DataFrame | None, state: DataFrame, picked: DataFrame) -> DataFrame:
+    """The edges of the components' lightest weight: found again block by block, since there may be many."""
+    limits = state.join(picked.select(F.col("ci").alias("comp"), F.col("w").alias("bound")), "comp", "left")
+    return cut(_sweep(b, box, limits.select("bid", "id", "comp", F.coalesce("bound", F.lit(-1.0)).alias("bound")), _Tied()))
 
-    def arrays(bound):
-        rows = F.sort_array(F.collect_list(F.struct("id", "comp", bound.alias("bound"))))
-        return lambda s: s.groupBy("bid").agg(rows.alias("r"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.max(bound).alias("b_hi")).select(
-            "bid", F.col("r.comp").alias("comp"), F.col("r.bound").alias("bound"), "c_lo", "c_hi", "b_hi")
 
-    free = arrays(F.lit(float("inf")))(state)
+def _search(b: Blocks, box: DataFrame | None, state: DataFrame, max_eps: float) -> DataFrame:
+    """The lightest edges within ``max_eps``. Where boxes are known, a first look at the nearest block bounds each component."""
+    free = state.withColumn("bound", F.lit(float(max_eps)))
     if box is None:
-        links = blocks.all_links(spark, b.count, b.count)
-        return blocks.sweep(b, b, links, _Foreign(), free.select("bid", "comp", "bound"), free.select("bid", "comp"))
-    free = cut(free)
-    facts = box.join(free.select("bid", "c_lo", "c_hi"), "bid")
-
-    def mixed(q, d):
-        same = (q.facts["c_lo"][:, None] == d.facts["c_hi"][None, :]) & (q.facts["c_hi"][:, None] == d.facts["c_lo"][None, :])
-        return ~same
-
-    def first(q, d, low, high):
-        away = np.where(mixed(q, d), low, np.inf)
-        return np.isfinite(away) & (away <= away.min(axis=1, keepdims=True))
-
-    start = blocks.pruned_links(facts, facts, b.count, b.count, first, ["c_lo", "c_hi", "low_core"])
-    rough = cut(_lightest(blocks.sweep(b, b, start, _Foreign(), free.select("bid", "comp", "bound"), free.select("bid", "comp"))))
-    limits = state.join(rough.select(F.col("ci").alias("comp"), F.col("w").alias("limit")), "comp", "left")
-    bound = cut(arrays(F.coalesce("limit", F.lit(float("inf"))))(limits))
-    facts = box.join(bound.select("bid", "c_lo", "c_hi", "b_hi"), "bid")
+        return _sweep(b, None, free, _Foreign())
+    rough = _lightest(_sweep(b, box, free, _Foreign(), first=True)).select(F.col("ci").alias("comp"), F.col("w").alias("limit"))
+    bound = F.least(F.coalesce("limit", F.lit(math.inf)), F.lit(float(max_eps)))
+    return _sweep(b, box, cut(state.join(rough, "comp", "left").select("bid", "id", "comp", bound.alias("bound"))), _Foreign())
+
+
+def _sweep(b: Blocks, box: DataFrame | None, state: DataFrame, kernel: Kernel, first: bool = False) -> DataFrame:
+    """``kernel`` over the block pairs that can hold an edge of at most ``bound(bid, id, comp, bound)`` between two components; with
+    ``first`` only over the nearest such block of each."""
+    rows = F.sort_array(F.collect_list(F.struct("id", "comp", "bound")))
+    packed = state.groupBy("bid").agg(rows.alias("r"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.max("bound").alias("b_hi"))
+    packed = cut(packed.select("bid", F.col("r.comp").alias("comp"), F.col("r.bound").alias("bound"), "c_lo", "c_hi", "b_hi"))
+    if box is None:
+        links = blocks.all_links(state.sparkSession, b.count, b.count)
+    else:
+        facts = box.join(packed.select("bid", "c_lo", "c_hi", "b_hi"), "bid")
 
-    def can_beat(q, d, low, high):
-        reach = np.maximum(np.maximum(np.sqrt(low) * (1 - 1e-12), q.facts["low_core"][:, None]), d.facts["low_core"][None, :])
-        return mixed(q, d) & (reach <= q.facts["b_hi"][:, None])
+        def can_beat(q, d, low, high):
+            one = (q.facts["c_lo"][:, None] == d.facts["c_hi"][None, :]) & (q.facts["c_hi"][:, None] == d.facts["c_lo"][None, :])
+            if first:
+                away = np.where(one, np.inf, low)
+                return np.isfinite(away) & (away <= away.min(axis=1, keepdims=True))
+            reach = np.maximum(np.maximum(np.sqrt(low) * (1 - 1e-12), q.facts["low_core"][:, None]), d.facts["low_core"][None, :])
+            return ~one & (reach <= q.facts["b_hi"][:, None])
 
-    links = blocks.pruned_links(facts, facts, b.count, b.count, can_beat, ["c_lo", "c_hi", "b_hi", "low_core"])
-    return blocks.sweep(b, b, links, _Foreign(), bound.select("bid", "comp", "bound"), bound.select("bid", "comp"))
+        links = blocks.pruned_links(facts, facts, b.count, b.count, can_beat, ["c_lo", "c_hi", "b_hi", "low_core"])
+    return blocks.sweep(b, b, links, kernel, packed.select("bid", "comp", "bound"), packed.select("bid", "comp"))
 
 
 # ---------------------------------------------------------------- visiting order
 
 
-def root_tree(tree: DataFrame, start: int) -> DataFrame:
-    """``(v, parent, w, d)``: the tree directed away from ``start``.
-
-    The tour of a tree uses each edge once in either direction; the direction used first leads down. How
-    far an edge is from the tour's end is found by pointer doubling.
-    """
-    both = tree.select(F.col("i").alias("a"), F.col("j").alias("b"), "w", "d").unionByName(tree.select(F.col("j").alias("a"), F.col("i").alias("b"), "w", "d"))
-    ring = Window.partitionBy("a").orderBy("b")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = F.lead("b").over(ring)
-    last = (F.col("a") == start) & after.isNull()
-    # arriving at a from b, the tour leaves towards a's next neighbour
-    step = both.select(
-        F.col("b").alias("u"), F.col("a").alias("v"), "w", "d",
-        F.when(~last, F.col("a")).alias("su"), F.when(~last, F.coalesce(after, F.first("b").over(whole))).alias("sv"),
+KEY = "struct<w: double, id: bigint>"
+
+
+def _walked(batches):
+    """The walk itself over the edges of one task, ``(q, v, w)`` with a row without ``q`` for every point."""
+    parts = [[np.asarray(b.column(0).fill_null(0)), np.asarray(b.column(0).is_null()), np.asarray(b.column(1)), np.asarray(b.column(2))] for b in batches]
+    if not parts:
+        return
+    q, none, v, w = (np.concatenate(c) for c in zip(*parts))
+    ids = np.sort(v[none])
+    q, v, w = np.searchsorted(ids, q[~none]), np.searchsorted(ids, v[~none]), w[~none]
+    order = np.argsort(q, kind="stable")
+    at = np.searchsorted(q[order], np.arange(len(ids) + 1)).tolist()
+    to, cost = v[order].tolist(), w[order].tolist()
+    n = len(ids)
+    reach, pred, pos, visited, heap, fresh = [math.inf] * n, [-1] * n, [-1] * n, [], [], 0
+    while len(visited) < n:
+        p = -1
+        while heap and p < 0:
+            r, p = heapq.heappop(heap)
+            p = p if pos[p] < 0 and r == reach[p] else -1
+        while p < 0:
+            p, fresh = (fresh if pos[fresh] < 0 else -1), fresh + 1
+        pos[p] = len(visited)
+        visited.append(p)
+        for e in range(at[p], at[p + 1]):
+            o, c = to[e], cost[e]
+            if pos[o] < 0 and c < reach[o]:
+                reach[o], pred[o] = c, p
+                heapq.heappush(heap, (c, o))
+    pred = np.array(pred)[visited]
+    known = pred >= 0
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(range(n), pa.int64()), pa.array(ids[visited]), pa.array(np.array(reach)[visited], mask=~known), pa.array(ids[pred], mask=~known), pa.array(np.array(pos)[pred], pa.int64(), mask=~known)],
+        ["pos", "row_id", "reachability", "predecessor", "pred_pos"],
     )
-    tour = cut(step.withColumn("left", F.when(F.col("su").isNull(), 0).otherwise(1).cast("bigint")))
-    rounds = math.ceil(math.log2(max(2, tour.count())))
-    for done in range(0, rounds, DOUBLINGS):
-        for _ in range(min(DOUBLINGS, rounds - done)):
-            nxt = tour.select(F.col("u").alias("su"), F.col("v").alias("sv"), F.col("su").alias("nu"), F.col("sv").alias("nv"), F.col("left").alias("more"))
-            tour = tour.join(nxt, ["su", "sv"], "left").select("u", "v", "w", "d", F.col("nu").alias("su"), F.col("nv").alias("sv"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
-        tour = cut(tour)
-    down = tour.groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.max(F.struct("left", "u", "v", "w", "d")).alias("e"))
-    return down.select(F.col("e.v").alias("v"), F.col("e.u").alias("parent"), F.col("e.w").alias("w"), F.col("e.d").alias("d"))
 
 
-KEY = "struct<w: double, kind: int, id: bigint>"
-
-
-def path_keys(rooted: DataFrame, cores: DataFrame, start: int, early: DataFrame | None = None) -> DataFrame:
-    """``(v, parent, keys)``: the keys on the path from ``start`` that exceed all later ones.
-
-    A key is (weight, kind, id). Kind 0 marks a point that its parent, or by ``early(v)`` another point,
-    had already let in at a smaller value: reaching its own core distance then is no visit, and goes before
-    visits at that value.
-    """
-    spark = rooted.sparkSession
-    top = spark.createDataFrame([(start,)], "v bigint").select("v", F.lit(None).cast("bigint").alias("parent"), F.array().cast(f"array<{KEY}>").alias("keys"))
-    rooted = rooted.join(cores.select(F.col("row_id").alias("parent"), F.col("core").alias("core_p")), "parent")
-    before = F.greatest("core_p", "d") < F.col("w")
-    if early is not None:
-        rooted = rooted.join(early.select("v", F.lit(True).alias("early")), "v", "left")
-        before = before | F.coalesce("early", F.lit(False))
-    kind = F.when(before, 0).otherwise(1)
-    own = F.array(F.struct("w", kind.alias("kind"), F.col("v").alias("id")))
-    state = cut(rooted.select("v", "parent", own.alias("keys")).unionByName(top).withColumn("at", F.col("parent")))
-    while not state.filter(F.col("at").isNotNull()).isEmpty():
-        for _ in range(DOUBLINGS):
+def _lists(chosen: DataFrame) -> DataFrame:
+    """``(v, pred, keys)``: the weights on the path that ``chosen(v, pred, w)`` leads to ``v`` by, those that exceed all later ones."""
+    state = cut(chosen.select("v", "pred", F.array(F.struct("w", F.col("v").alias("id"))).cast(f"array<{KEY}>").alias("keys"), F.col("pred").alias("at")))
+    while True:
+        if state.filter("at is not null").isEmpty():
+            return state.select("v", "pred", "keys")
+        for _ in range(DOUBLINGS):  # finished rows meet in no join
             above = state.select(F.col("v").alias("at"), F.col("keys").alias("upper"), F.col("at").alias("on"))
             kept = F.filter("upper", lambda k: k > F.col("keys")[0])
-            state = state.join(above, "at", "left").select("v", "parent", F.when(F.col("upper").isNull(), F.col("keys")).otherwise(F.concat(kept, "keys")).alias("keys"), F.col("on").alias("at"))
+            moved = state.filter("at is not null").join(above, "at").select("v", "pred", F.concat(kept, "keys").alias("keys"), F.col("on").alias("at"))
+            state = state.filter("at is null").unionByName(moved)
         state = cut(state)
-    return state.select("v", "parent", "keys")
-
-
-def _entries(keys: DataFrame, leaf: DataFrame) -> DataFrame:
-    """``(v, e)``: how a point is entered first, through the tree or as a leaf of a near neighbour."""
-    hung = leaf.join(keys.select(F.col("v").alias("p"), F.col("keys").alias("upper")), "p")
-    edge = F.struct(F.col("a").alias("w"), F.lit(1).alias("kind"), F.col("o").alias("id"))
-    entry = F.concat(F.filter("upper", lambda q: q > edge), F.array(edge))
-    options = hung.select(F.col("o").alias("v"), F.struct(entry.alias("keys"), F.col("p").alias("parent")).alias("e"))
-    own = keys.select("v", F.struct("keys", "parent").alias("e"))
-    return options.unionByName(own).groupBy("v").agg(F.min("e").alias("e"))
 
 
-def reachability(df: DataFrame, min_samples: int = 5, key: str = "row_id", vec: str = "x", edges: DataFrame | None = None) -> DataFrame:
+def _ordered(edges: DataFrame) -> DataFrame:
+    """As :func:`_walked` with tables only: predecessors and lists in turns, then one range sort. Lists hold what decreases along a
+    path, mostly a few weights."""
+    steps = edges.filter("q is not null")
+    chosen = edges.filter("q is null").select("v", F.lit(None).cast("bigint").alias("pred"), "w")
+    before = None
+    while True:
+        lists = cut(_lists(chosen))
+        if before is not None:
+            drop(before)
+        # Of predecessors that give the same list the one visited first: it set the reachability.
+        weight = F.struct("w", F.col("v").alias("id")).cast(KEY)
+        upper = lists.select(F.col("v").alias("q"), F.col("keys").alias("upper"))
+        found = steps.join(upper, "q").select("v", F.concat(F.filter("upper", lambda k: k > weight), F.array(weight)).alias("keys"), "upper", F.col("q").alias("pred"), "w")
+        best = found.groupBy("v").agg(F.min(F.struct("keys", "upper", "pred", "w")).alias("e")).select("v", F.col("e.keys").alias("new"), F.col("e.pred").alias("by"), "e.w")
+        own = F.element_at("keys", -1)["w"]
+        turn = lists.join(best, "v", "left")
+        better = F.coalesce(F.col("new") < F.col("keys"), F.lit(False))
+        same = F.coalesce(F.col("new") == F.col("keys"), F.lit(False))  # the same list by an earlier predecessor
+        turn = cut(turn.select("v", F.when(better | same, F.col("by")).otherwise(F.col("pred")).alias("pred"), F.when(better | same, F.col("w")).otherwise(own).alias("w"), better.alias("better"), "keys"))
+        if turn.filter("better").isEmpty():
+            break
+        drop(lists)
+        before, chosen = turn, turn.select("v", "pred", "w")
+    placed = cut(global_position(turn.select("v", "pred", "w", "keys"), ["keys"]))
+    at = placed.select(F.col("v").alias("pred"), F.col("pos").alias("pred_pos"))
+    start = placed.filter("pred is null").withColumn("pred_pos", F.lit(None).cast("bigint"))
+    rows = placed.filter("pred is not null").join(at, "pred").unionByName(start)
+    return rows.select("pos", F.col("v").alias("row_id"), F.when(F.col("pred").isNotNull(), F.col("w")).alias("reachability"), F.col("pred").alias("predecessor"), "pred_pos")
+
+
+def step_edges(pts: DataFrame, near: DataFrame, min_samples: int, max_eps: float = math.inf) -> tuple[DataFrame, DataFrame]:
+    """``(q, v, w)``, all steps a walk can take, from ``q`` to ``v`` with reachability ``w``, and a row without ``q`` for every point;
+    and ``(row_id, x, core)``, NULL where fewer than ``min_samples`` points lie within ``max_eps``."""
+    core = pts.join(core_distances(near, min_samples), "row_id", "left")
+    core = cut(core.withColumn("core", F.when(F.col("core") <= max_eps, F.col("core"))))
+    dense = core.filter("core is not null")
+    cores = dense.select(F.col("row_id").alias("q"), F.col("core").alias("core_q"))
+    starts = core.select(F.lit(None).cast("bigint").alias("q"), F.col("row_id").alias("v"), F.lit(math.inf).alias("w"))
+    copies, kept = None, dense
+    if neighbours.has_copies(dense):
+        # Further copies of a vector with min_samples copies are let in by the smallest of them at distance 0, and lead nowhere new.
+        order = Window.partitionBy("x").orderBy("row_id")
+        ranked = cut(dense.select("row_id", "x", "core", F.row_number().over(order).alias("c")))
+        kept = cut(ranked.filter(F.col("c") <= min_samples).drop("c"))
+        first = ranked.filter("c = 1").select("x", F.col("row_id").alias("q"))
+        copies = ranked.filter(F.col("c") > min_samples).join(first, "x").select("q", F.col("row_id").alias("v"), F.lit(0.0).alias("w"))
+    tree = spanning_edges(kept, max_eps) if not kept.isEmpty() else pts.sparkSession.createDataFrame([], "i bigint, j bigint, w double, d double")
+    pairs = tree.select(F.col("i").alias("q"), F.col("j").alias("v"), "d").unionByName(tree.select(F.col("j").alias("q"), F.col("i").alias("v"), "d"))
+    pairs = pairs.unionByName(near.filter(F.col("dist") <= max_eps).select(F.col("j").alias("q"), F.col("i").alias("v"), F.col("dist").alias("d")))
+    steps = pairs.join(cores, "q").select("q", "v", F.greatest("core_q", "d").alias("w"))
+    if copies is not None:
+        steps = steps.join(copies.select("v"), "v", "left_anti").select("q", "v", "w").unionByName(copies)
+    return cut(steps.groupBy("q", "v").agg(F.min("w").alias("w")).unionByName(starts)), core
+
+
+def reachability(df: DataFrame, min_samples: int = 5, key: str = "row_id", vec: str = "x", edges: DataFrame | None = None, max_eps: float = math.inf, walk_edges: int | None = None) -> DataFrame:
     """``(pos, row_id, reachability, core, predecessor, pred_pos)``: the reachability plot, written once.
 
-    Starts at the smallest key; the first reachability is NULL. Equal reachabilities go by key. ``edges``
-    may hand in neighbours with at least ``min_samples - 1`` ranks.
+    Starts at the smallest key, and again wherever nothing within ``max_eps`` is left; reachability is NULL there. Equal
+    reachabilities go by key. ``core`` is NULL where fewer than ``min_samples`` points lie within ``max_eps``; such points let
+    nobody in. ``edges`` may hand in neighbours with at least ``min_samples - 1`` ranks. Up to ``walk_edges`` edges are walked
+    over in one task.
     """
     k = min_samples - 1
     pts = cut(df.select(F.col(key).cast("bigint").alias("row_id"), F.col(vec).cast("array<double>").alias("x")))
     near = edges if edges is not None else neighbours.knn(pts, k)
     near = cut(near.filter(F.col("rank") <= k))
-    core = cut(pts.join(core_distances(near, min_samples), "row_id"))
-    kept = core
-    if neighbours.has_copies(pts):
-        # further copies of a vector with min_samples copies follow their first visited copy at distance 0
-        order = Window.partitionBy("x").orderBy("row_id")
-        kept = cut(core.withColumn("c", F.row_number().over(order)).filter(F.col("c") <= min_samples).drop("c"))
-    start = kept.agg(F.min("row_id")).first()[0]
-    rooted = cut(root_tree(spanning_tree(kept), start))
-    cores = core.select(F.col("row_id").alias("p"), F.col("core").alias("core_p"))
-    pairs = near.select(F.col("i").alias("o"), F.col("j").alias("p"), "dist").unionByName(near.select(F.col("j").alias("o"), F.col("i").alias("p"), "dist"))
-    leaf = pairs.join(cores, "p").select("o", "p", F.greatest("core_p", "dist").alias("a"))
-    early, last = None, lambda c: F.element_at(c, -1)
-    while True:
-        keys = cut(path_keys(rooted, kept, start, early))
-        best = cut(_entries(keys, leaf))
-        # let in by a point other than the tree parent, which only the pass before could tell; each pass may show further ones
-        own = keys.filter((F.size("keys") > 0) & (last("keys")["kind"] == 1)).select("v", last("keys")["w"].alias("own_w"))
-        level_reached = F.exists("e.keys", lambda q: q["w"] == F.col("own_w"))
-        more = cut(own.join(best, "v").filter((last(F.col("e.keys"))["w"] < F.col("own_w")) & ~level_reached).select("v"))
-        if early is not None:
-            more = more.join(early, "v", "left_anti")
-        if more.isEmpty():
-            break
-        early = more if early is None else cut(early.unionByName(more))
-    if kept is not core:
-        lead = best.join(kept.select(F.col("row_id").alias("v"), "x"), "v").groupBy("x").agg(F.min(F.struct("e.keys", "v")).alias("l"))
-        rest = core.join(kept.select("row_id"), "row_id", "left_anti").join(lead, "x")
-        zero = F.struct(F.lit(0.0).alias("w"), F.lit(1).alias("kind"), F.col("row_id").alias("id"))
-        extra = rest.select(F.col("row_id").alias("v"), F.struct(F.concat(F.col("l.keys"), F.array(zero)).alias("keys"), F.col("l.v").alias("parent")).alias("e"))
-        best = best.join(rest.select(F.col("row_id").alias("v")), "v", "left_anti").unionByName(extra)
-    placed = global_position(best.select("v", "e.keys", "e.parent"), ["keys"])
-    plot = placed.select("pos", F.col("v").alias("row_id"), F.when(F.size("keys") > 0, F.element_at("keys", -1)["w"]).alias("reachability"), F.col("parent").alias("predecessor"))
-    plot = cut(plot)
-    at = plot.select(F.col("row_id").alias("predecessor"), F.col("pos").alias("pred_pos"))
-    return cut(plot.join(core.select("row_id", "core"), "row_id").join(at, "predecessor", "left").select("pos", "row_id", "reachability", "core", "predecessor", "pred_pos"))
+    steps, core = step_edges(pts, near, min_samples, max_eps)
+    if steps.count() <= (WALK_EDGES if walk_edges is None else walk_edges):
+        plot = steps.coalesce(1).mapInArrow(_walked, "pos bigint, row_id bigint, reachability double, predecessor bigint, pred_pos bigint")
+    else:
+        plot = _ordered(steps)
+    return cut(plot.join(core.select("row_id", "core"), "row_id").select("pos", "row_id", "reachability", "core", "predecessor", "pred_pos"))
 
 
 # ---------------------------------------------------------------- clusters
@@ -377,9 +440,9 @@ def labels_from(plot: DataFrame, clusters: DataFrame, chunk: int = CHUNK) -> Dat
     return seen.select("row_id", F.when(F.col("m.end") >= F.col("pos"), F.col("m.cluster")).otherwise(-1).cast("int").alias("cluster"))
 
 
-def optics(df: DataFrame, min_samples: int = 5, xi: float = 0.05, key: str = "row_id", vec: str = "x", edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def optics(df: DataFrame, min_samples: int = 5, xi: float = 0.05, key: str = "row_id", vec: str = "x", edges: DataFrame | None = None, max_eps: float = math.inf) -> tuple[DataFrame, DataFrame]:
     """The reachability plot and ``(row_id, cluster)`` labels with -1 for noise."""
-    plot = reachability(df, min_samples, key, vec, edges)
+    plot = reachability(df, min_samples, key, vec, edges, max_eps)
     return plot, cut(labels_from(plot, xi_clusters(plot, min_samples, xi)))
 
 

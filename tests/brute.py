@@ -79,10 +79,11 @@ def points(spark, x, ids=None, **cols):
     return spark.createDataFrame(rows, ", ".join(["row_id long", "x array<double>", *[f"{c} int" for c in names]]))
 
 
-def optics_walk(x, min_samples):
-    """Order, reachability, predecessor of the sequential walk (lowest index on ties)."""
+def optics_walk(x, min_samples, max_eps=np.inf):
+    """Order, reachability, predecessor of the sequential walk (lowest index on ties); core is infinite beyond the radius."""
     n, d = len(x), dist(x)
-    core = np.sort(d, axis=1)[:, min_samples - 1]
+    core = np.sort(d, axis=1)[:, min_samples - 1] if n >= min_samples else np.full(n, np.inf)
+    core = np.where(core <= max_eps, core, np.inf)
     reach, pred, todo, order = np.full(n, np.inf), np.full(n, -1), np.ones(n, bool), []
     for _ in range(n):
         left = np.nonzero(todo)[0]
@@ -90,7 +91,7 @@ def optics_walk(x, min_samples):
         todo[p] = False
         order.append(int(p))
         w = np.maximum(core[p], d[p])
-        up = todo & (w < reach)
+        up = todo & (w < reach) & (d[p] <= max_eps)
         reach[up], pred[up] = w[up], p
     return np.array(order), reach, pred, core
 
