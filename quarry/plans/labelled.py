@@ -127,10 +127,41 @@ def fixed_scatter(spark, d):
     return rounded(kmeans.scatter(points.join(labels, "row_id"), centres=centres), ["d1", "d2"])
 
 
+def _plot(points, min_samples, **settings):
+    plot = density.reachability(points, min_samples, **settings)
+    return rounded(plot.select("pos", "row_id", "reachability", "core", "predecessor"), ["reachability", "core"])
+
+
 def optics_walk(spark, d):
     """The reachability plot of the projected embeddings."""
-    plot = density.reachability(embeddings_low(spark, d), 5)
-    return rounded(plot.select("pos", "row_id", "reachability", "core"), ["reachability", "core"])
+    return _plot(embeddings_low(spark, d), 5).drop("predecessor")
+
+
+def optics_walk_lists(spark, d):
+    """The same plot by path lists, as beyond the edges that one task walks over."""
+    return _plot(embeddings_low(spark, d), 5, walk_edges=0)
+
+
+#: Cell width and radius of the tied and the limited plot.
+BIN, MAX_EPS = 0.3, 0.12
+
+
+def binned_low(spark, d):
+    """The projected embeddings on a grid: many copies and equal distances."""
+    return embeddings_low(spark, d).select("row_id", F.transform("x", lambda v: F.floor(v / BIN).cast("double")).alias("x"))
+
+
+def optics_walk_ties(spark, d):
+    return _plot(binned_low(spark, d), 5)
+
+
+def optics_walk_radius(spark, d):
+    """Regions of points within a radius, each with a start of its own, and points that no region lets in."""
+    return _plot(embeddings_low(spark, d), 5, max_eps=MAX_EPS)
+
+
+def optics_walk_radius_ties(spark, d):
+    return _plot(binned_low(spark, d), 9, max_eps=1.0)
 
 
 def fuzzy_graph_embeddings(spark, d):
@@ -138,7 +169,7 @@ def fuzzy_graph_embeddings(spark, d):
 
 
 QUERIES = [
-    optics_walk, fuzzy_graph_embeddings,
+    optics_walk, optics_walk_lists, optics_walk_ties, optics_walk_radius, optics_walk_radius_ties, fuzzy_graph_embeddings,
     iqr_union, clean_matrix, target_after_cleaning, merge_records, label_file, onehot_long, noise_filter, label_grid, label_elbow, label_select_k, noisy_bundle,
     label_comparison, label_normalised, fixed_centroid_units, fixed_centroid_top5, fixed_profile, fixed_crosstab, fixed_scatter,
 ]

@@ -1,6 +1,7 @@
 """SQL twins of the queries on cleaned tables, two-column components, given labels and centres."""
 from __future__ import annotations
 
+from quarry.plans.labelled import BIN, MAX_EPS
 from quarry.plans.oracle import CENTRES, CONT, EMB, PCA2, RFM, SEG, _agree, _lloyd, _rounded, _union
 
 SPIKES = """sp AS (SELECT event_id, user_id::DOUBLE AS user_id, CASE WHEN event_id % 17 <> 0 THEN value + CASE WHEN event_id % 101 = 0 THEN 1e6 ELSE 0 END END AS value,
@@ -37,6 +38,24 @@ def _metrics(model: str, label: str, where: str = "true") -> str:
       UNION ALL SELECT 'calinski_harabasz', v FROM ch UNION ALL SELECT 'dunn', v FROM du UNION ALL SELECT 'ari', ari FROM ag UNION ALL SELECT 'nmi', nmi FROM ag)"""
 
 
+def _walk(min_samples: int, x: str = "y", max_eps: float = 1e200) -> str:
+    """The walk step by step: every point lets in what it reaches, the nearest one left is next, the first on ties."""
+    return f"""WITH RECURSIVE {EMB}, t AS (SELECT id, {x} AS y, row_number() OVER (ORDER BY id) AS k FROM e),
+          l AS (SELECT a.k, any_value(a.id) AS id, list(list_distance(a.y, b.y) ORDER BY b.k) AS dl FROM t a JOIN t b ON true GROUP BY a.k),
+          r AS (SELECT k, id, list_transform(dl, lambda d: CASE WHEN d <= {max_eps} AND list_sort(dl)[{min_samples}] <= {max_eps} THEN d ELSE 1e300::DOUBLE END) AS dl, list_sort(dl)[{min_samples}] AS core FROM l),
+          n AS (SELECT count(*) AS n FROM t),
+          walk AS (SELECT 0::BIGINT AS pos, 1::BIGINT AS cur, list_transform(range(1, n + 1), lambda k: 1e300::DOUBLE) AS reach, list_transform(range(1, n + 1), lambda k: 0::BIGINT) AS pred, list_transform(range(1, n + 1), lambda k: k = 1) AS seen FROM n
+            UNION ALL
+            SELECT pos + 1, nxt, reach, pred, list_transform(range(1, len(seen) + 1), lambda k: seen[k] OR k = nxt) FROM (
+              SELECT pos, reach, pred, seen, list_position(open, list_min(open)) AS nxt FROM (
+                SELECT pos, reach, pred, seen, list_transform(range(1, len(seen) + 1), lambda k: CASE WHEN seen[k] THEN 2e300::DOUBLE ELSE reach[k] END) AS open FROM (
+                  SELECT pos, seen, list_transform(range(1, len(seen) + 1), lambda k: CASE WHEN seen[k] THEN reach[k] ELSE least(reach[k], greatest(core, dl[k])) END) AS reach,
+                    list_transform(range(1, len(seen) + 1), lambda k: CASE WHEN NOT seen[k] AND greatest(core, dl[k]) < reach[k] THEN id ELSE pred[k] END) AS pred
+                  FROM (SELECT walk.pos, walk.seen, walk.reach, walk.pred, r.core, r.dl, r.k AS id FROM walk JOIN r ON r.k = walk.cur) WHERE pos + 1 < len(seen)))))
+          SELECT pos, r.id AS row_id, round(CASE WHEN reach[cur] < 1e300 THEN reach[cur] END, 6) AS reachability, round(CASE WHEN core <= {max_eps} THEN core END, 6) AS core, p.id AS predecessor
+          FROM walk JOIN r ON r.k = walk.cur LEFT JOIN t p ON p.k = pred[cur] AND reach[cur] < 1e300"""
+
+
 def more() -> dict[str, str]:
     onehot = ", ".join(f"CASE WHEN event_type = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS event_type_{v}" for v in EVENT_TYPES)
     segments = ", ".join(f"count(*) FILTER (c_mktsegment = '{v}') AS \"{v}\"" for v in SEG)
@@ -68,17 +87,11 @@ def more() -> dict[str, str]:
         "pca2_scree": f"{PCA2}, {variance} SELECT pc, round(eigenvalue, 4) AS eigenvalue, round(ratio * 100, 4) AS ratio_pct, round(cum * 100, 4) AS cum_pct, 1.0::DOUBLE AS eigen_line, 80.0::DOUBLE AS share_line_pct, eigenvalue > 1 AS above_eigen_line FROM vt",
         "pca2_target": f"{PCA2} SELECT row_id, round((recency - m1) * p11 + (n_orders - m2) * p12, 5) AS d1, round((recency - m1) * p21 + (n_orders - m2) * p22, 5) AS d2, c_mktsegment AS y FROM rfm, p",
         "pca_invariants": f"WITH {RFM}, n AS (SELECT count(*)::DOUBLE AS n, ({len(CONT)} + count(DISTINCT c_mktsegment)) AS p FROM rfm), t AS (SELECT round(p * n / (n - 1), 6) AS t FROM n) SELECT 'total_variance' AS fact, t AS value FROM t UNION ALL SELECT 'variance_of_columns', t FROM t UNION ALL SELECT 'orthonormality_error', 0.0::DOUBLE UNION ALL SELECT 'score_variance_error', 0.0::DOUBLE UNION ALL SELECT 'score_correlation', 0.0::DOUBLE",
-        "optics_walk": f"""WITH RECURSIVE {EMB}, t AS (SELECT id, y, row_number() OVER (ORDER BY id) AS k FROM e),
-          l AS (SELECT a.k, any_value(a.id) AS id, list(list_distance(a.y, b.y) ORDER BY b.k) AS dl FROM t a JOIN t b ON true GROUP BY a.k),
-          r AS (SELECT k, id, dl, list_sort(dl)[5] AS core FROM l), n AS (SELECT count(*) AS n FROM t),
-          walk AS (SELECT 0::BIGINT AS pos, 1::BIGINT AS cur, list_transform(range(1, n + 1), lambda k: 1e300::DOUBLE) AS reach, list_transform(range(1, n + 1), lambda k: k = 1) AS seen FROM n
-            UNION ALL
-            SELECT pos + 1, nxt, reach, list_transform(range(1, len(seen) + 1), lambda k: seen[k] OR k = nxt) FROM (
-              SELECT pos, reach, seen, list_position(open, list_min(open)) AS nxt FROM (
-                SELECT pos, reach, seen, list_transform(range(1, len(seen) + 1), lambda k: CASE WHEN seen[k] THEN 2e300::DOUBLE ELSE reach[k] END) AS open FROM (
-                  SELECT pos, seen, list_transform(range(1, len(seen) + 1), lambda k: CASE WHEN seen[k] THEN reach[k] ELSE least(reach[k], greatest(core, dl[k])) END) AS reach
-                  FROM walk JOIN r ON r.k = walk.cur WHERE pos + 1 < len(seen)))))
-          SELECT pos, id AS row_id, round(CASE WHEN reach[cur] < 1e300 THEN reach[cur] END, 6) AS reachability, round(core, 6) AS core FROM walk JOIN r ON r.k = walk.cur""",
+        "optics_walk": f"SELECT pos, row_id, reachability, core FROM ({_walk(5)})",
+        "optics_walk_lists": _walk(5),
+        "optics_walk_ties": _walk(5, f"list_transform(y, lambda v: floor(v / {BIN}))"),
+        "optics_walk_radius": _walk(5, max_eps=MAX_EPS),
+        "optics_walk_radius_ties": _walk(9, f"list_transform(y, lambda v: floor(v / {BIN}))", 1.0),
         "fuzzy_graph_embeddings": f"""WITH RECURSIVE {EMB}, d AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.id <> b.id),
           nn AS (SELECT i, j, d FROM d QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 14),
           l AS (SELECT i, list(d) AS d, avg(d) AS mean, coalesce(min(d) FILTER (d > 0), 0) AS rho FROM nn GROUP BY 1),
