@@ -3,7 +3,9 @@
 Trees and calibration are fitted in numpy on a bounded sample of labelled rows; every text is then scored in the tasks.
 Only the text enters a score. NULL text counts as empty; an empty text gets the score of its (zero) features. Without
 labelled rows of both classes every score is the share of toxic labels (0 without labels). Of repeated labels of one
-document the highest counts; labels whose toxic value is NULL, and rows without doc_id, are not learned from.
+document the highest counts; labels whose toxic value is NULL, and rows without doc_id, are not learned from. Repeated rows
+give repeated results, copies and near copies count once in learning words; very long texts are scored whole, one at a time;
+an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -12,10 +14,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text
+from quarry.llm.common import id_and_text, slices
+from quarry.llm.near import shingle_sets
 from quarry.session import cut
 
 #: Labelled rows that are learned from, at most.
@@ -113,31 +117,32 @@ def choose_stems(toxic: dict[str, int], clean: dict[str, int]) -> list[str]:
     return sorted(found)
 
 
+def _kind_of(texts: pd.Series) -> list[int]:
+    """A hash that near copies mostly share and other texts do not, whatever they begin with: the smallest one of all runs of three
+    words; 0 without words."""
+    return [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingle_sets(pa.array(texts, pa.string()), 3)]
+
+
 def _stem_counts(rows: DataFrame) -> tuple[dict, dict]:
-    """How many different texts (by their first 40 characters) of each fold have a beginning of a word, toxic and clean ones.
+    """How many different texts of each fold have a beginning of a word, toxic and clean ones, near copies counted once for both.
     Only beginnings in enough toxic texts are counted; ``rows`` is the bounded sample."""
 
-    def toxic(batches):
-        for pdf in batches:
-            out = [(stem, fold, text[:40]) for text, fold in zip(pdf["text"], pdf["fold"]) for stem in _beginnings(text)]
-            yield pd.DataFrame(out, columns=["stem", "fold", "head"])
+    def counted(label: int, wanted: frozenset | None) -> DataFrame:
+        def found(batches):
+            for pdf in batches:
+                out = []
+                for text, fold, kind in zip(pdf["text"], pdf["fold"], _kind_of(pdf["text"])):
+                    own = _beginnings(text)
+                    out += [(stem, fold, kind) for stem in (own if wanted is None else own & wanted)]
+                yield pd.DataFrame(out, columns=["stem", "fold", "kind"])
 
-    found = rows.where("toxic = 1").select("text", "fold").mapInPandas(toxic, "stem string, fold int, head string").distinct()
-    by_fold = found.groupBy("stem", "fold").agg(F.count(F.lit(1)).alias("n"))
-    enough = by_fold.groupBy("stem").agg(F.sum("n").alias("all"), F.collect_list(F.struct("fold", "n")).alias("folds")).where(F.col("all") >= STEM_TEXTS)
-    counts = {r.stem: {f.fold: f.n for f in r.folds} for r in enough.select("stem", "folds").collect()}
-    wanted = frozenset(counts)
-
-    def clean(batches):
-        for pdf in batches:
-            tally: dict[tuple[str, int], int] = {}
-            for text, fold in zip(pdf["text"], pdf["fold"]):
-                for stem in _beginnings(text) & wanted:
-                    tally[stem, fold] = tally.get((stem, fold), 0) + 1
-            yield pd.DataFrame([(s, f, n) for (s, f), n in tally.items()], columns=["stem", "fold", "n"])
+        own = rows.where(F.col("toxic") == label).select("text", "fold").mapInPandas(found, "stem string, fold int, kind long")
+        return own.distinct().groupBy("stem", "fold").agg(F.count(F.lit(1)).alias("n"))
 
+    enough = counted(1, None).groupBy("stem").agg(F.sum("n").alias("all"), F.collect_list(F.struct("fold", "n")).alias("folds")).where(F.col("all") >= STEM_TEXTS)
+    counts = {r.stem: {f.fold: f.n for f in r.folds} for r in enough.select("stem", "folds").collect()}
     others: dict[str, dict[int, int]] = {}
-    for r in rows.where("toxic = 0").select("text", "fold").mapInPandas(clean, "stem string, fold int, n long").groupBy("stem", "fold").agg(F.sum("n").alias("n")).collect():
+    for r in counted(0, frozenset(counts)).collect():
         others.setdefault(r.stem, {})[r.fold] = r.n
     return counts, others
 
@@ -247,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).cast("int"))
-    rows = cut(rows.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text")))
+    rows = id_and_text(docs).join(F.broadcast(sample), "doc_id").withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    rows = cut(rows.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "fold")).alias("row")).select("doc_id", "toxic", "row.fold", "row.text"))
     toxic, clean = _stem_counts(rows)
     stems = {k: choose_stems(_without(toxic, k), _without(clean, k)) for k in [None, *range(FOLDS)]}
 
@@ -265,7 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def score_column(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts))
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+        return pd.Series(np.concatenate([model.score(rows.column("text").to_pandas()) for rows in slices(batch)] or [np.zeros(0)]))
 
     return score(text.cast("string"))
 
