@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -22,6 +22,21 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name like ``name`` that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def one_of_each(rows: DataFrame, text_hash: Column) -> DataFrame:
+    """One row for each doc_id and text, with all its columns. Nothing is compared but these two, so columns may have any type."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
+    keyed = rows.select(F.col("doc_id").alias("id"), text_hash.alias("hash"), whole)
+    return keyed.groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in row slices whose texts sum to about ``limit`` bytes (one row at least)."""
     ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text
+from quarry.llm.common import id_and_text, one_of_each, unused
 from quarry.session import cut
 
 #: Keys a bucket may hold before it is split: some tens of MB of texts.
@@ -123,21 +123,18 @@ def _decided(pairs: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their names and types."""
     decisions = cut(decide(docs, capacity))
-    kept = decisions.where("kept").select(F.col("doc_id").alias("_keep"))
+    id_, sha_ = unused("_keep", docs.columns), unused("_keep_sha", docs.columns)
+    kept = decisions.where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha_))
     dropped = decisions.where("not kept")
     # Where one id stands for both a row that stays and one that goes, the id alone does not tell them apart.
-    mixed = dropped.select("doc_id").intersect(kept.select("_keep")).limit(1).count() > 0 or decisions.where("doc_id is null").limit(1).count() > 0
+    mixed = dropped.select("doc_id").intersect(kept.select(F.col(id_).alias("doc_id"))).limit(1).count() > 0 or decisions.where("doc_id is null").limit(1).count() > 0
     if not mixed:
-        return docs.join(kept, docs["doc_id"].cast("long") == F.col("_keep"), "left_semi")
+        return docs.join(kept.select(id_), docs["doc_id"].cast("long") == F.col(id_), "left_semi")
     sha = F.sha2(normalised(docs["text"].cast("string")), 256)
-    wanted = decisions.where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    rows = docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")) & (sha == F.col("_sha")), "left_semi")
-    names = docs.columns
-    first = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")]
-    grouped = rows.select(F.col("doc_id").alias("_id"), sha.alias("_sha"), *first).groupBy("_id", "_sha").agg(F.min("_row").alias("_row"))
-    return grouped.select("_row.*")
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (sha == F.col(sha_)), "left_semi")
+    return one_of_each(rows, sha)
 
 
 def lookup(index: DataFrame, buckets: list[tuple[int, int]], texts: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORDS, as_bytes, id_and_text, mix, slices, span_hashes, words
-from quarry.session import cut
+from quarry.llm.common import WORDS, as_bytes, id_and_text, mix, one_of_each, slices, span_hashes, unused, words
+from quarry.session import cut, drop
 
 WORDS_PER_SHINGLE = 5
 PERCENT = 80
@@ -301,20 +301,50 @@ def _meet(index: DataFrame, shared, percent: int, small: int, pivots: int, hot:
     return index.groupBy("bucket").applyInPandas(meet, _MEET)
 
 
+def _sieve(hashes: DataFrame, n: int) -> np.ndarray:
+    """Bits by hash, two in one of 256 blocks for each of the n values of ``hashes(h)``: 16 bits for a value, 32 MB at most. Every
+    block is filled by a task of its own."""
+    bits = int(min(max(1 << 16, 1 << (16 * max(1, n)).bit_length()), 1 << 28)) // 256
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(bits, bool)
+        for at in _places(pdf["h"].to_numpy(np.int64).view(np.uint64), bits):
+            own[at] = True
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "bits": [np.packbits(own).tobytes()]})
+
+    out = np.zeros((256, bits // 8), np.uint8)
+    for r in hashes.select("h", F.shiftrightunsigned("h", 56).cast("int").alias("block")).groupBy("block").applyInPandas(fill, "block int, bits binary").toLocalIterator():
+        out[r.block] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(h >> np.uint64(shift)).astype(np.int64) & (bits - 1) for shift in (0, 28)]
+
+
+def _in_sieve(sieve: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h.view(np.uint64)
+    block = (h >> np.uint64(56)).astype(np.int64)
+    first, second = ((sieve[block, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in _places(h, sieve.shape[1] * 8))
+    return (first & second).astype(bool)
+
+
 def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(class, body): the compressed text of one row of each class that is verified. ``reps`` is (class, doc_id, text_key, n),
-    a row that stands n times."""
+    a row that stands n times. Texts that no class asks for mostly do not leave their task."""
+    row = F.xxhash64("doc_id", "text_key")
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(reps.select(row.alias("h")), reps.count()))
 
     def packed(batches):
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch.filter(pa.array(_in_sieve(shared.value, np.asarray(batch.column("h")))))):
                 bodies = [pack(t.encode()) for t in rows.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(bodies, pa.binary())], ["id", "key", "body"])
 
-    bodies = _keyed(docs).mapInArrow(packed, "id long, key long, body binary")
+    bodies = _keyed(docs).withColumn("h", row).mapInArrow(packed, "id long, key long, body binary")
     out = bodies.join(reps, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key"))).select("class", "body")
     return out.dropDuplicates(["class"]) if reps.where("n > 1").limit(1).count() else out
 
@@ -418,30 +448,47 @@ def near_components(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int =
     heads = met.where("kind = 2").select("shingle", "a").distinct()
     top = heads.groupBy("shingle").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
     pairs = pairs.unionByName(heads.join(top, "shingle").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(members.select(F.col("a").alias("class"))).distinct()
     reps = rows.where("class is not null").groupBy("class", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
     reps = reps.groupBy("class").agg(F.min(F.struct("n", "doc_id", "text_key")).alias("row")).select("class", "row.doc_id", "row.text_key", "row.n")
-    texts = cut(_texts_of(docs, cut(reps.join(wanted, "class", "left_semi"))))
+    reps = cut(reps)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among written pairs; bodies are fetched for their classes alone and deleted again."""
+        if pairs.isEmpty():
+            return pairs
+        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        own = cut(reps.join(wanted, "class", "left_semi"))
+        texts = cut(_texts_of(docs, own))
+        found = cut(_verify(pairs, texts, k, percent))
+        drop(own)
+        drop(texts)
+        return found
+
     pairs = cut(pairs.distinct())
-    links = cut(_verify(pairs, texts, k, percent))
+    links = verified(pairs)
     roots = components(links, links_per_task)
     held = members.select(F.col("a").alias("class")).distinct()
     held = cut(parities.join(held, "class").dropDuplicates(["class"]).select(F.col("class").alias("a"), "parities"))
     members = cut(members.join(held, "a").select("shingle", "a", "n", "i", "parities"))
     done = pairs
-    for round_ in range(star_rounds + 1):
+    stars, round_ = True, -1
+    while True:
+        round_ += 1
         m = _crossing(members, roots)
         between = _pairs_between(m, percent)
-        star = round_ < star_rounds and between.count() > max_pairs
+        # Stars go on for as long as they link anything; what is left then is few pairs or pairs that do not link.
+        star = (stars or round_ < star_rounds) and between.limit(max_pairs + 1).count() > max_pairs
         if star:  # too many pairs for now: verify the classes outside against one of the main component first
             lead = m.where("root = main").groupBy("shingle").agg(F.min(F.struct("i", F.xxhash64("a", F.lit(round_)).alias("h"), "a")).alias("l"))
             between = m.where("root <> main").join(lead, "shingle").select("a", F.col("l.a").alias("b"))
         new = between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = cut(new.join(done, ["a", "b"], "left_anti"))
-        links = links.unionByName(cut(_verify(new, texts, k, percent)))
+        more = verified(new)
+        links = links.unionByName(more)
         roots = components(links, links_per_task)
         if not star:
             break
+        stars = not more.isEmpty()
         done = done.unionByName(new)
     return _by_document(rows, roots)
 
@@ -470,18 +517,18 @@ def _by_document(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, k: int = WORDS_PER_SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component (that of the smallest doc_id, NULL last), with all its columns; rows without words all stay."""
+    """One row of each component (that of the smallest doc_id, NULL last), with all its columns, whatever their names and types;
+    rows without words all stay."""
     found = cut(near_components(docs, k, percent))
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("class").isNotNull()).alias("words"))
+    id_, key_ = unused("_keep", docs.columns), unused("_keep_key", docs.columns)
     if not ids.where("words and (c > 1 or doc_id is null)").limit(1).count():
-        kept = found.where("class is null or doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-        return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+        kept = found.where("class is null or doc_id = component_id").select(F.col("doc_id").alias(id_))
+        return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)), "left_semi")
     # An id alone does not tell the rows apart: its text does, and of equal texts with one id any row is as good.
     kept = found.where("class is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("row"))
-    kept = kept.select(F.col("row.doc_id").alias("_keep"), F.col("row.text_key").alias("_key"))
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    empty = ~F.coalesce(docs["text"].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.where(~empty).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_keep")) & (key == F.col("_key")), "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    one = rows.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_key"), whole)
-    return one.groupBy("_id", "_key").agg(F.min("_row").alias("_row")).select("_row.*").unionByName(docs.where(empty))
+    kept = kept.select(F.col("row.doc_id").alias(id_), F.col("row.text_key").alias(key_))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    empty = ~text.rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.where(~empty).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(key_)), "left_semi")
+    return one_of_each(rows, F.xxhash64(text)).unionByName(docs.where(empty))

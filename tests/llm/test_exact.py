@@ -65,3 +65,13 @@ def test_buckets_route_and_decide(spark, monkeypatch):
     other = [(d, p ^ 1) for d, p in buckets]
     asked = docs.limit(50)
     assert exact.lookup(index, other, asked).where("keep_id is not null").count() == 0
+
+
+def test_clashing_names_and_maps(spark):
+    """Columns with the names used inside, one that cannot be ordered, NULL and repeated ids, two texts under one id."""
+    names = "_keep _keep_key _keep_sha _key _sha _id _row row id hash class root bucket".split()
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (None, "seven eight nine ten eleven"), (None, "a b c d e f g"), (4, "x y z w v u"), (4, "p q r s t u"), (4, "p q r s t u"), (5, None)]
+    docs = spark.createDataFrame([(i, t, *range(len(names)), {"a": 1}) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names) + ", m map<string,int>")
+    got = exact.keep_rows(docs)
+    assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted({(i, t) for i, t in rows if i != 2}, key=str)
+    assert exact.keep_rows(docs.where("doc_id is not null and doc_id <> 4")).count() == 2
