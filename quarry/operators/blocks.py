@@ -3,6 +3,8 @@
 Rows are placed in cells of a space partition, cells are cut into blocks of bounded size, and a block
 becomes one row holding flat arrays. Pairs of blocks (never pairs of rows) are joined by block id, and
 a kernel reduces each pair inside the task, so what is shuffled grows with blocks, not with row pairs.
+Blocks that are too many for a broadcast are dealt over tiles of the pair matrix: a block travels once to each tile of its row or
+column in which it has a partner, never to each partner.
 """
 from __future__ import annotations
 
@@ -15,7 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructType
 
 from quarry.functions.kernels import SplitTree, boxes_low_high
 from quarry.session import cut, parallelism
@@ -26,6 +29,7 @@ MIN_BLOCK_ROWS = 64
 SAMPLE_BYTES = 64 << 20    # driver memory for the sample that places the splits
 MAX_DEPTH = 16
 BROADCAST_BYTES = 32 << 20  # blocks are broadcast only when their computed size is under this
+TILE_BYTES = 64 << 20      # blocks of either side that one tile holds
 BOXES_PER_CHUNK = 2048
 SMALL_PAIRS = 2_000_000_000  # with fewer row pairs than this, finding out what to skip costs more than it saves
 
@@ -154,9 +158,11 @@ def sweep(queries: Blocks, data: Blocks, links: DataFrame, kernel: Kernel, q_ext
     d = data.df if d_extra is None else data.df.join(d_extra, "bid")
     q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns])
     d = d.select(*[F.col(c).alias(f"d_{c}") for c in d.columns])
-    near = F.broadcast if data.fits_broadcast else lambda t: t.hint("merge")
+    links = links.select("i", "j")
+    if not data.fits_broadcast:
+        return _tiled(queries, data, links, kernel, q, d)
     side = F.broadcast if queries.fits_broadcast else lambda t: t.hint("merge")
-    both = links.select("i", "j").join(near(d), F.col("j") == F.col("d_bid")).join(side(q), F.col("i") == F.col("q_bid")).drop("i", "j")
+    both = links.join(F.broadcast(d), F.col("j") == F.col("d_bid")).join(side(q), F.col("i") == F.col("q_bid")).drop("i", "j")
 
     def run(batches):
         held, q_block, state = None, None, None
@@ -169,12 +175,11 @@ def sweep(queries: Blocks, data: Blocks, links: DataFrame, kernel: Kernel, q_ext
                         out = kernel.finish(state, q_block)
                         if out is not None:
                             yield out
-                    q_block = Block({c[2:]: _cell_value(v, at) for c, v in cols.items() if c.startswith("q_")}, dq)
+                    q_block = _block(cols, "q_", at, dq)
                     if held is None or not kernel.per_task:
                         state = kernel.start(q_block)
                     held = bid
-                d_block = Block({c[2:]: _cell_value(v, at) for c, v in cols.items() if c.startswith("d_")}, dd)
-                state = kernel.feed(state, q_block, d_block)
+                state = kernel.feed(state, q_block, _block(cols, "d_", at, dd))
         if held is not None:
             out = kernel.finish(state, q_block)
             if out is not None:
@@ -183,6 +188,61 @@ def sweep(queries: Blocks, data: Blocks, links: DataFrame, kernel: Kernel, q_ext
     return both.mapInArrow(run, kernel.schema)
 
 
+def _block(cols: dict, prefix: str, at: int, dim: int) -> Block:
+    return Block({c[2:]: _cell_value(v, at) for c, v in cols.items() if c.startswith(prefix)}, dim)
+
+
+def tile_grid(queries: Blocks, data: Blocks) -> tuple[int, int]:
+    """Rows and columns of tiles: each holds blocks of TILE_BYTES at most, and there are enough for all cores."""
+    sides = []
+    for b in (queries, data):
+        size = b.rows * (b.dim + 1 + b.extra_width) * 8
+        sides.append(min(b.count, max(1, math.ceil(size / (TILE_BYTES // 2)))))
+    want = 2 * parallelism(queries.df.sparkSession)
+    while sides[0] * sides[1] < want and (sides[0] < queries.count or sides[1] < data.count):
+        grow = 0 if sides[0] < queries.count and (sides[0] <= sides[1] or sides[1] == data.count) else 1
+        sides[grow] += 1
+    return sides[0], sides[1]
+
+
+def _tiled(queries: Blocks, data: Blocks, links: DataFrame, kernel: Kernel, q: DataFrame, d: DataFrame) -> DataFrame:
+    """The sweep over tiles: block ``i`` is in row ``i mod rows``, block ``j`` in column ``j mod columns``."""
+    rows, columns = tile_grid(queries, data)
+    dq, dd = queries.dim, data.dim
+    placed = links.select("i", "j", (F.pmod("i", F.lit(rows)) * columns + F.pmod("j", F.lit(columns))).cast("int").alias("tile"))
+    left = q.join(placed.select("i", "tile").distinct().hint("merge"), F.col("q_bid") == F.col("i")).drop("i")
+    right = d.join(placed.select("j", "tile").distinct().hint("merge"), F.col("d_bid") == F.col("j")).drop("j")
+    partners = placed.groupBy("tile", "i").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    met = left.unionByName(right, True).unionByName(partners, True)
+    schema = to_arrow_schema(StructType.fromDDL(kernel.schema))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        cols = {c: table.column(c).chunk(0) for c in table.column_names}
+        mine = {c: v for c, v in cols.items() if c.startswith("q_")}
+        theirs = {c: v for c, v in cols.items() if c.startswith("d_")}
+        at_q = {b: at for at, b in enumerate(mine["q_bid"].to_pylist()) if b is not None}
+        at_d = {b: at for at, b in enumerate(theirs["d_bid"].to_pylist()) if b is not None}
+        held = {j: _block(theirs, "d_", at, dd) for j, at in at_d.items()}
+        found, state, q_block = [], None, None
+        for i, js in sorted((i, js) for i, js in zip(cols["i"].to_pylist(), cols["js"].to_pylist()) if js is not None):
+            if i not in at_q:
+                continue
+            q_block = _block(mine, "q_", at_q[i], dq)
+            if state is None or not kernel.per_task:
+                state = kernel.start(q_block)
+            for j in js:
+                if j in held:
+                    state = kernel.feed(state, q_block, held[j])
+            if not kernel.per_task:
+                found.append(kernel.finish(state, q_block))
+        if kernel.per_task and state is not None:
+            found.append(kernel.finish(state, q_block))
+        return pa.Table.from_batches([f.select(schema.names).cast(schema) for f in found if f is not None], schema)
+
+    return met.groupBy("tile").applyInArrow(run, kernel.schema)
+
+
 def _tasks(spark: SparkSession, n_queries: int) -> int:
     """One wave of tasks for few blocks, several for many, so that slow tasks even out."""
     cores = parallelism(spark)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.kernels import LOOP_DIMS, distances, sq_dist, sq_dist_gram, sq_dist_pairs
 from quarry.functions.ranking import global_position
-from quarry.operators import blocks
+from quarry.operators import blocks, neighbours
 from quarry.operators.blocks import Block, Kernel, columns_batch, list_array
 from quarry.session import cut
 
@@ -19,6 +19,8 @@ from quarry.session import cut
 CENTRE_BYTES = 16 << 20
 #: Clusters whose partners one task looks for.
 CLUSTERS_PER_TASK = 512
+#: Clusters of all labelings together up to which silhouettes take one sum for every point and cluster.
+DENSE_WIDTH = 256
 
 # ---------------------------------------------------------------- metrics linear in the rows
 
@@ -136,16 +138,94 @@ class _ClusterSums(Kernel):
         return columns_batch(id=q.ids, s=list_array(state))
 
 
-def silhouette_groups(df: DataFrame, labels: Sequence[str] = ("cluster",), vec: str = "x", key: str = "row_id") -> DataFrame:
+class _NearSums(Kernel):
+    """Per query point the weighted sum of distances to its own cluster and to each that can be the nearest other one. Data blocks
+    lie by the centres of their clusters (``x``), their points are ``p``."""
+
+    schema = "id bigint, c bigint, own boolean, n bigint, s double"
+
+    def start(self, q: Block):
+        return []
+
+    def feed(self, state, q: Block, d: Block):
+        order = np.argsort(d.c, kind="stable")
+        c, first = np.unique(d.c[order], return_index=True)
+        own = q.c[:, None] == c[None, :]
+        # The mean distance to a cluster is never below the distance to its centre.
+        wanted = own | (distances(q.x, d.x[order[first]]) <= q.most[:, None] * (1 + 1e-9))
+        clusters = np.flatnonzero(wanted.any(axis=0))
+        sizes = np.diff(np.append(first, len(order)))
+        for t in clusters.tolist():
+            rows, members = np.flatnonzero(wanted[:, t]), order[first[t] : first[t] + sizes[t]]
+            sums = distances(q.x[rows], d.p[members]) @ d.w[members]
+            state.append((q.ids[rows], np.full(len(rows), c[t]), own[rows, t], np.full(len(rows), d.size[members[0]]), sums))
+        return state
+
+    def finish(self, state, q: Block):
+        if not state:
+            return None
+        i, c, own, n, s = (np.concatenate(v) for v in zip(*state))
+        order = np.lexsort((c, i))  # a cluster may lie in several blocks
+        i, c, own, n, s = i[order], c[order], own[order], n[order], s[order]
+        first = np.flatnonzero(np.append(True, (np.diff(i) != 0) | (np.diff(c) != 0)))
+        return columns_batch(id=i[first], c=c[first], own=own[first], n=n[first], s=np.add.reduceat(s, first))
+
+
+def _near_silhouettes(df: DataFrame, groups: DataFrame, label: str) -> DataFrame:
+    """``(id, value)`` of one labeling with any number of clusters. The nearest other centre bounds a point's mean distance to its
+    nearest other cluster from above; only clusters whose centre is within the bound are measured."""
+    spark = df.sparkSession
+    cluster = F.col(label).cast("bigint").alias("c")
+    points = groups.select("id", "x", cluster, "w")
+    moments = cluster_moments(df.select(cluster, F.col("x")), "c", "x")
+    facts = cut(moments.select("c", "n", "centre", (F.col("sum_sq") / F.col("n")).alias("v")))
+    if facts.count() < 2:
+        return groups.select("id", F.lit(None).cast("double").alias("value"))
+    near = neighbours.nearest_lists(blocks.build(points, "id", "x", stable=True), blocks.build(facts, "c", "centre", stable=True), 2)
+    bound = near.select("id", F.explode("near").alias("e")).select("id", F.col("e.j").alias("c2"), "e.d2")
+    bound = bound.join(facts.select(F.col("c").alias("c2"), "v"), "c2").join(points.select("id", "c"), "id").where("c <> c2")
+    # ... and never above the root mean square of the distances, which the centre gives too.
+    points = cut(points.join(bound.groupBy("id").agg(F.min(F.sqrt(F.col("d2") + F.col("v"))).alias("most")), "id"))
+    q = blocks.build(points, "id", "x", ["c", "most"], stable=True)
+    d = blocks.build(cut(points.join(facts, "c").select("id", "centre", F.col("x").alias("p"), "c", "w", F.col("n").alias("size"))), "id", "centre", ["p", "c", "w", "size"], stable=True)
+    if q.small:
+        links = blocks.all_links(spark, q.count, d.count)
+    else:
+        ends = ["c_lo", "c_hi"]
+        span = [F.array_min("c").alias("c_lo"), F.array_max("c").alias("c_hi")]
+        box_q = cut(blocks.boxes(q, q.df.select("bid", *span, F.array_max("most").alias("far")), [*ends, "far"]))
+        box_d = cut(blocks.boxes(d, d.df.select("bid", *span), ends))
+
+        def can_matter(a, b, low, high):
+            share = (a.facts["c_lo"][:, None] <= b.facts["c_hi"][None, :]) & (b.facts["c_lo"][None, :] <= a.facts["c_hi"][:, None])
+            return share | (np.sqrt(low) <= a.facts["far"][:, None] * (1 + 1e-9))
+
+        links = blocks.pruned_links(box_q, box_d, q.count, d.count, can_matter, [*ends, "far"])
+    sums = blocks.sweep(q, d, links, _NearSums()).repartition("id")
+    mean = sums.groupBy("id", "c").agg(F.first("own").alias("own"), F.first("n").alias("n"), F.sum("s").alias("s"))
+    a = F.max(F.when(F.col("own"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))))
+    b = F.min(F.when(~F.col("own"), F.col("s") / F.col("n")))
+    both = mean.groupBy("id").agg(a.alias("a"), b.alias("b"), F.max(F.when(F.col("own"), F.col("n"))).alias("n"))
+    top = F.greatest("a", "b")
+    return both.select("id", F.when((F.col("n") <= 1) | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("value"))
+
+
+def silhouette_groups(df: DataFrame, labels: Sequence[str] = ("cluster",), vec: str = "x", key: str = "row_id", dense_width: int | None = None) -> DataFrame:
     """``(x, labels..., w, sil_<label>...)``: one row per distinct (vector, labels), ``w`` rows each.
 
-    All labelings share one pass over the distances. The pass is quadratic in the distinct rows, as the
-    Euclidean silhouette is by definition; only sums per point and cluster leave a task.
+    Labelings with few clusters, ``dense_width`` in all, share one pass over the distances; only sums per point and cluster
+    leave a task. With more each labeling has a pass of its own, over the clusters that can matter to a point.
     """
     labels = list(labels)
     for c in labels:  # a row without a label belongs to no cluster
         df = df.filter(F.col(c).isNotNull())
     groups = cut(df.groupBy(F.col(vec).cast("array<double>").alias("x"), *labels).agg(F.min(F.col(key).cast("bigint")).alias("id"), F.count(F.lit(1)).alias("w")))
+    many = groups.agg(*[F.count_distinct(c).alias(c) for c in labels]).first()
+    if sum(many) > (DENSE_WIDTH if dense_width is None else dense_width):
+        rows, out = df.select(F.col(vec).cast("array<double>").alias("x"), *labels), groups
+        for c in labels:
+            out = out.join(cut(_near_silhouettes(rows, groups, c)).withColumnRenamed("value", f"sil_{c}"), "id")
+        return out.select("x", *labels, "id", "w", *[f"sil_{c}" for c in labels])
     levels, counts = [], []
     for c in labels:
         rows = sorted(groups.groupBy(c).agg(F.sum("w").alias("n")).collect(), key=lambda r: r[c])
@@ -195,9 +275,9 @@ def _finish(levels: list[np.ndarray], counts: list[np.ndarray], labels: Sequence
     return run
 
 
-def silhouette(df: DataFrame, labels: Sequence[str] = ("cluster",), vec: str = "x", key: str = "row_id") -> DataFrame:
+def silhouette(df: DataFrame, labels: Sequence[str] = ("cluster",), vec: str = "x", key: str = "row_id", dense_width: int | None = None) -> DataFrame:
     """``(model, silhouette)``: mean silhouette of each labeling; NULL with fewer than two clusters."""
-    g = silhouette_groups(df, labels, vec, key)
+    g = silhouette_groups(df, labels, vec, key, dense_width)
     one = g.agg(*[(F.sum(F.col(f"sil_{c}") * F.col("w")) / F.sum("w")).alias(c) for c in labels])
     return one.unpivot([], list(labels), "model", "silhouette")
 

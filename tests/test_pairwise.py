@@ -42,6 +42,75 @@ def test_silhouette_and_dunn(spark, pruning, name):
     assert validate.dunn(df).first()["dunn"] == pytest.approx(brute.dunn(x, lab), abs=1e-12)
 
 
+@pytest.mark.parametrize("name", SETS)
+def test_silhouette_by_bounds(spark, pruning, name):
+    """The way for many clusters, with singletons, copies and labels that overlap in space."""
+    x = SETS[name]
+    lab = np.arange(len(x)) % 30
+    lab[:3] = [-9, 77, 78]
+    near = (np.round(x[:, 0]) * 10 + np.round(x[:, 1])).astype(int)
+    df = brute.points(spark, x, cluster=lab, other=near, one=np.zeros(len(x)))
+    got = {r["model"]: r["silhouette"] for r in validate.silhouette(df, ["cluster", "other", "one"], dense_width=0).collect()}
+    assert got["cluster"] == pytest.approx(brute.silhouette(x, lab).mean(), abs=1e-9)
+    assert got["other"] == pytest.approx(brute.silhouette(x, near).mean(), abs=1e-9) and got["one"] is None
+
+
+def test_silhouette_of_many_clusters_measures_few(spark, monkeypatch):
+    """A point's sums are a few, however many clusters there are."""
+    r = np.random.default_rng(8)
+    lab = np.arange(6000) % 600
+    x = np.column_stack([lab % 25, lab // 25]) * 10.0 + r.normal(size=(6000, 2))
+    rows, sweep = [], validate.blocks.sweep
+
+    def counted(*args, **kw):
+        out = sweep(*args, **kw)
+        if isinstance(args[3], validate._NearSums):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(validate.blocks, "sweep", counted)
+    got = validate.silhouette(brute.points(spark, x, cluster=lab)).first()["silhouette"]
+    sums = brute.dist(x) @ np.eye(600)[lab]  # ten points each
+    own = sums[np.arange(6000), lab] / 9
+    sums[np.arange(6000), lab] = np.inf
+    other = sums.min(axis=1) / 10
+    assert got == pytest.approx(((other - own) / np.maximum(own, other)).mean(), abs=1e-9)
+    assert rows[0] < 6000 * 8
+
+
+@pytest.mark.parametrize("small_pairs", [2_000_000_000, 0])
+def test_tiles_equal_broadcast(spark, monkeypatch, small_pairs):
+    """Nothing fits a broadcast: blocks are dealt over tiles, pruned or not."""
+    from quarry.operators import blocks
+
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(blocks, "SMALL_PAIRS", small_pairs)
+    monkeypatch.setattr(blocks, "MAX_BLOCK_ROWS", 32)
+    x, ids = SETS["plane"], list(range(400))
+    got = {}
+    for r in sorted(neighbours.knn(brute.points(spark, x, ids), 5).collect(), key=lambda r: (r["i"], r["rank"])):
+        got.setdefault(r["i"], []).append(r["j"])
+    assert got == brute.knn(x, ids, 5)
+    lab = np.arange(len(x)) % 4
+    df = brute.points(spark, x, cluster=lab)
+    assert validate.silhouette(df).first()["silhouette"] == pytest.approx(brute.silhouette(x, lab).mean(), abs=1e-9)
+    assert validate.dunn(df).first()["dunn"] == pytest.approx(brute.dunn(x, lab), abs=1e-12)
+    rho = quality.distance_rank_correlation(brute.points(spark, x), brute.points(spark, x[:, :1])).first()[0]
+    assert rho == pytest.approx(brute.spearman(x, x[:, :1]), abs=1e-6)
+
+
+def test_tiles_hold_bounded_blocks(spark, monkeypatch):
+    from quarry.operators import blocks
+
+    class B:
+        def __init__(self, rows, count):
+            self.rows, self.count, self.dim, self.extra_width, self.df = rows, count, 127, 0, spark.range(1)
+
+    rows, columns = blocks.tile_grid(B(10_000_000, 10_000), B(10_000_000, 10_000))
+    assert 10_000_000 * 1024 / rows <= blocks.TILE_BYTES / 2 and rows == columns < 400  # each block goes to as many tiles, not to 10,000 partners
+    assert np.prod(blocks.tile_grid(B(100, 3), B(100, 3))) == 9
+
+
 def test_silhouette_samples_stack(spark):
     x = SETS["plane"]
     lab = np.arange(len(x)) % 3
