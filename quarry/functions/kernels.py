@@ -65,6 +65,42 @@ def boxes_low_high(lo_a, hi_a, lo_b, hi_b) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
+#: Widens balls and narrows gaps between them, so that rounding never rules out a pair.
+BALL_SLACK = 1e-8
+
+
+def ball(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre of some rows and the distance from it that all are within."""
+    centre = x.mean(axis=0)
+    return centre, float(np.sqrt(((x - centre) ** 2).sum(axis=1).max())) * (1 + BALL_SLACK)
+
+
+def balls_low_high(centre_a, radius_a, centre_b, radius_b) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`boxes_low_high` by the triangle inequality: in many dimensions boxes overlap where balls are far apart."""
+    apart, reach = distances(centre_a, centre_b), radius_a[:, None] + radius_b[None, :]
+    return np.maximum(apart * (1 - BALL_SLACK) - reach, 0.0) ** 2, (apart * (1 + BALL_SLACK) + reach) ** 2
+
+
+def spans_low_high(lo_a, hi_a, lo_b, hi_b) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`boxes_low_high` from the smallest and largest distances to common pivots: two points are no nearer than their
+    distances to a pivot differ, and no farther than these add up to."""
+    low, high = np.zeros((len(lo_a), len(lo_b))), np.full((len(lo_a), len(lo_b)), np.inf)
+    for t in range(lo_a.shape[1]):
+        far = hi_a[:, t, None] + hi_b[None, :, t]
+        gap = np.maximum(lo_b[None, :, t] - hi_a[:, t, None], lo_a[:, t, None] - hi_b[None, :, t])
+        low, high = np.maximum(low, gap - far * BALL_SLACK), np.minimum(high, far * (1 + BALL_SLACK))
+    return low**2, high**2
+
+
+def rows_low(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A lower bound of the squared distance from each row of ``q`` to any row of ``x``, by the box of ``x`` or its ball."""
+    low = box_low(q, x.min(axis=0), x.max(axis=0))
+    if q.shape[1] <= LOOP_DIMS:
+        return low
+    centre, radius = ball(x)
+    return np.maximum(low, balls_low_high(q, np.zeros(len(q)), centre[None, :], np.array([radius]))[0][:, 0])
+
+
 def nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row of ``q`` the ``k`` smallest (squared distance, id) of the block; padded with inf / -1.
 
@@ -168,3 +204,24 @@ class SplitTree:
         for _ in range(self.depth):
             node = 2 * node + 1 + (x[rows, self.dim[node]] > self.cut[node])
         return node - ((1 << self.depth) - 1)
+
+
+class PivotCells:
+    """Cells around pivots that a bounded sample gives, for many dimensions, where cutting along axes tears groups apart. Pivots are
+    drawn one by one with odds that grow with the squared distance to those before."""
+
+    ROWS = 20_000
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        sample = sample[:: max(1, len(sample) // self.ROWS)]
+        rng, gap, chosen = np.random.default_rng(0), np.ones(len(sample)), []
+        for _ in range(min(cells, len(sample))):
+            if gap.sum() <= 0:
+                break
+            chosen.append(sample[int(rng.choice(len(sample), p=gap / gap.sum()))])
+            from_last = ((sample - chosen[-1]) ** 2).sum(axis=1)
+            gap = from_last if len(chosen) == 1 else np.minimum(gap, from_last)
+        self.pivots = np.array(chosen).reshape(-1, sample.shape[1])
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return np.argmin((self.pivots**2).sum(axis=1)[None, :] - 2 * x @ self.pivots.T, axis=1)

@@ -9,6 +9,7 @@ column in which it has a partner, never to each partner.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 
-from quarry.functions.kernels import SplitTree, boxes_low_high
+from quarry.functions.kernels import LOOP_DIMS, PivotCells, SplitTree, ball, balls_low_high, boxes_low_high, distances, spans_low_high
 from quarry.session import cut, parallelism
 
 BLOCK_BYTES = 1 << 20      # coordinates held by one block
@@ -28,6 +29,8 @@ MAX_BLOCK_ROWS = 4096
 MIN_BLOCK_ROWS = 64
 SAMPLE_BYTES = 64 << 20    # driver memory for the sample that places the splits
 MAX_DEPTH = 16
+MAX_PIVOTS_LOG2 = 10       # cells around pivots, for many dimensions
+PIVOT_TABLE = 64           # pivots that blocks know their smallest and largest distance to
 BROADCAST_BYTES = 32 << 20  # blocks are broadcast only when their computed size is under this
 TILE_BYTES = 64 << 20      # blocks of either side that one tile holds
 BOXES_PER_CHUNK = 2048
@@ -44,6 +47,7 @@ class Blocks:
     dim: int
     extras: list[str] = field(default_factory=list)
     extra_width: int = 0  # numbers that the extras hold per row
+    pivots: np.ndarray | None = None
 
     @property
     def small(self) -> bool:
@@ -75,7 +79,10 @@ def build(df: DataFrame, key: str = "row_id", vec: str = "x", extras: Sequence[s
     depth = 0 if not spatial else min(MAX_DEPTH, max(0, math.ceil(math.log2(want))), max(0, int(math.log2(max(1, min(n, sample_rows) / 8)))))
     every = max(1, n // sample_rows)
     picked = base.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("x").toArrow().column("x") if depth else None
-    tree = SplitTree(_matrix(picked.combine_chunks(), dim), depth) if depth else None
+    tree = None
+    if depth:
+        sample = _matrix(picked.combine_chunks(), dim)
+        tree = SplitTree(sample, depth) if dim <= LOOP_DIMS else PivotCells(sample, 1 << min(depth, MAX_PIVOTS_LOG2))
 
     if tree is not None:
 
@@ -106,7 +113,7 @@ def build(df: DataFrame, key: str = "row_id", vec: str = "x", extras: Sequence[s
     packed_ = cut(out)
     widths = [F.max(F.size(e) if not isinstance(base.schema[e].dataType, ArrayType) else F.size(F.flatten(e))) / F.max("n") for e in extras]
     width = sum(math.ceil(v or 0) for v in packed_.agg(*widths).first()) if extras else 0
-    return Blocks(packed_, total, n, dim, list(extras), width)
+    return Blocks(packed_, total, n, dim, list(extras), width, getattr(tree, "pivots", None))
 
 
 def _matrix(arr: pa.Array, dim: int) -> np.ndarray:
@@ -267,29 +274,43 @@ class Box:
 
     lo: np.ndarray
     hi: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
     facts: dict[str, np.ndarray]
 
 
-def boxes(b: Blocks, facts: DataFrame | None = None, fact_cols: Sequence[str] = ()) -> DataFrame:
-    """``(bid, n, lo, hi, <facts>)``: bounding box per block, with per-block facts joined on."""
+def boxes(b: Blocks, facts: DataFrame | None = None, fact_cols: Sequence[str] = (), pivots: np.ndarray | None = None) -> DataFrame:
+    """``(bid, n, lo, hi, centre, radius, near, far, of, <facts>)``: bounding box and ball per block, the smallest and largest distance
+    to each of some pivots (``of`` tells which; those of ``b`` unless given), with per-block facts joined on."""
     dim = b.dim
+    pivots = b.pivots if pivots is None else pivots
+    pivots = np.zeros((0, dim)) if pivots is None else pivots[:PIVOT_TABLE]
+    of = zlib.crc32(np.ascontiguousarray(pivots).tobytes())
 
     def run(batches):
         for batch in batches:
             bid = batch.column(0)
-            lo, hi = [], []
+            lo, hi, balls, near, far = [], [], [], [], []
             for at in range(batch.num_rows):
                 x = _cell_value(batch.column(2), at).reshape(-1, dim)
                 lo.append(x.min(axis=0).tolist())
                 hi.append(x.max(axis=0).tolist())
-            yield pa.RecordBatch.from_pydict({"bid": bid, "n": batch.column(1), "lo": pa.array(lo, pa.list_(pa.float64())), "hi": pa.array(hi, pa.list_(pa.float64()))})
-
-    out = b.df.select("bid", "n", "x").mapInArrow(run, "bid int, n int, lo array<double>, hi array<double>")
+                balls.append(ball(x))
+                to = distances(x, pivots) if len(pivots) else np.zeros((1, 0))
+                near.append(to.min(axis=0).tolist())
+                far.append(to.max(axis=0).tolist())
+            vectors = {"lo": lo, "hi": hi, "centre": [c.tolist() for c, _ in balls], "near": near, "far": far}
+            yield pa.RecordBatch.from_pydict({"bid": bid, "n": batch.column(1), **{k: pa.array(v, pa.list_(pa.float64())) for k, v in vectors.items()}, "radius": pa.array([r for _, r in balls], pa.float64()), "of": pa.array([of] * len(bid), pa.int64())})
+
+    out = b.df.select("bid", "n", "x").mapInArrow(run, "bid int, n int, lo array<double>, hi array<double>, centre array<double>, near array<double>, far array<double>, radius double, of long")
     return out if facts is None else out.join(facts.select("bid", *fact_cols), "bid")
 
 
 def pruned_links(queries: DataFrame, data: DataFrame, n_queries: int, n_data: int, rule: Callable[[Box, Box, np.ndarray, np.ndarray], np.ndarray], facts: Sequence[str] = ()) -> DataFrame:
-    """Block pairs that ``rule(query_boxes, data_boxes, low2, high2)`` keeps, as ``(i, j)``.
+    """Block pairs that ``rule(query_boxes, data_boxes, low2, high2)`` keeps, as ``(i, j)``; the bounds come from boxes, in many
+    dimensions from balls and common pivots as well.
 
     Boxes are compared chunk against chunk, so the list of boxes is never held whole.
     """
@@ -300,10 +321,10 @@ def pruned_links(queries: DataFrame, data: DataFrame, n_queries: int, n_data: in
     def chunked(df: DataFrame, chunks: int, tag: str) -> DataFrame:
         have = [c for c in names if c in df.columns]
         g = df.withColumn("chunk", F.pmod(F.xxhash64("bid"), F.lit(chunks)).cast("int")).groupBy("chunk")
-        packed = g.agg(F.sort_array(F.collect_list(F.struct("bid", "lo", "hi", *[c for c in have if c != "bid"]))).alias("r"))
+        packed = g.agg(F.sort_array(F.collect_list(F.struct("bid", "lo", "hi", "centre", "radius", "near", "far", "of", *[c for c in have if c != "bid"]))).alias("r"))
         return packed.select(
             F.col("chunk").alias(f"{tag}_chunk"), F.size("r").alias(f"{tag}_rows"),
-            F.flatten("r.lo").alias(f"{tag}_lo"), F.flatten("r.hi").alias(f"{tag}_hi"), *[F.col(f"r.{c}").alias(f"{tag}_{c}") for c in have],
+            *[F.flatten(f"r.{c}").alias(f"{tag}_{c}") for c in ("lo", "hi", "centre", "near", "far")], F.col("r.radius").alias(f"{tag}_radius"), F.col("r.of").alias(f"{tag}_of"), *[F.col(f"r.{c}").alias(f"{tag}_{c}") for c in have],
         )
 
     grid = all_links(spark, chunks_q, chunks_d)
@@ -316,8 +337,15 @@ def pruned_links(queries: DataFrame, data: DataFrame, n_queries: int, n_data: in
                 side = {}
                 for tag in "qd":
                     v = {c[2:]: _cell_value(a, at) for c, a in cols.items() if c.startswith(f"{tag}_")}
-                    side[tag] = Box(v["lo"].reshape(v["rows"], -1), v["hi"].reshape(v["rows"], -1), v)
-                low, high = boxes_low_high(side["q"].lo, side["q"].hi, side["d"].lo, side["d"].hi)
+                    side[tag] = Box(*(v[k].reshape(v["rows"], -1) for k in ("lo", "hi", "centre")), v["radius"], *(v[k].reshape(v["rows"], -1) for k in ("near", "far")), v)
+                a, b = side["q"], side["d"]
+                low, high = boxes_low_high(a.lo, a.hi, b.lo, b.hi)
+                if a.lo.shape[1] > LOOP_DIMS:
+                    near, far = balls_low_high(a.centre, a.radius, b.centre, b.radius)
+                    low, high = np.maximum(low, near), np.minimum(high, far)
+                    if a.facts["of"][0] == b.facts["of"][0]:
+                        near, far = spans_low_high(a.near, a.far, b.near, b.far)
+                        low, high = np.maximum(low, near), np.minimum(high, far)
                 r, c = np.nonzero(rule(side["q"], side["d"], low, high))
                 if len(r):
                     yield pa.RecordBatch.from_pydict({"i": pa.array(side["q"].facts["bid"][r], pa.int32()), "j": pa.array(side["d"].facts["bid"][c], pa.int32())})

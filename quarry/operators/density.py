@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.kernels import box_low, sq_dist
+from quarry.functions.kernels import rows_low, sq_dist
 from quarry.functions.ranking import global_position
 from quarry.functions.xi import scan_chunk, stitch
 from quarry.operators import blocks, describe, neighbours, validate
@@ -57,7 +57,7 @@ def _weights(q: Block, rows: np.ndarray, d: Block) -> tuple[np.ndarray, np.ndarr
 
 def _within(q: Block, d: Block, bound: np.ndarray) -> np.ndarray:
     """Query points that may have an edge of at most ``bound`` to another component in the block."""
-    near = np.maximum(np.sqrt(box_low(q.x, d.x.min(axis=0), d.x.max(axis=0))) * (1 - 1e-12), q.core)
+    near = np.maximum(np.sqrt(rows_low(q.x, d.x)) * (1 - 1e-12), q.core)
     look = near <= bound
     if d.comp.min() == d.comp.max():
         look &= q.comp != d.comp[0]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.kernels import box_low, merge_nearest, nearest
+from quarry.functions.kernels import merge_nearest, nearest, rows_low
 from quarry.operators import blocks
 from quarry.operators.blocks import Block, Blocks, Kernel, columns_batch, list_array
 from quarry.session import cut
@@ -46,7 +46,7 @@ class _Nearest(Kernel):
 
     def feed(self, state, q: Block, d: Block):
         dist, who, bound = state
-        rows = np.nonzero(box_low(q.x, d.x.min(axis=0), d.x.max(axis=0)) <= bound)[0]
+        rows = np.nonzero(rows_low(q.x, d.x) <= bound)[0]
         if len(rows):
             nd, nw = nearest(q.x[rows], d.x, d.ids, self.k)
             dist[rows], who[rows] = merge_nearest(dist[rows], who[rows], nd, nw)
@@ -71,7 +71,7 @@ def nearest_lists(q: Blocks, d: Blocks, k: int) -> DataFrame:
     if q.rows * d.rows <= blocks.SMALL_PAIRS:
         found = blocks.sweep(q, d, blocks.all_links(q.df.sparkSession, q.count, d.count), _Nearest(k))
         return _merged(found, k)
-    box_q = cut(blocks.boxes(q))
+    box_q = cut(blocks.boxes(q, pivots=d.pivots))
     box_d = box_q if d is q else cut(blocks.boxes(d))
     closest = blocks.pruned_links(box_q, box_d, q.count, d.count, lambda a, c, low, high: low <= low.min(axis=1, keepdims=True))
     first = cut(blocks.sweep(q, d, closest.groupBy("i").agg(F.min("j").alias("j")), _Radius(k)))

@@ -193,14 +193,14 @@ def _near_silhouettes(df: DataFrame, groups: DataFrame, label: str) -> DataFrame
     else:
         ends = ["c_lo", "c_hi"]
         span = [F.array_min("c").alias("c_lo"), F.array_max("c").alias("c_hi")]
-        box_q = cut(blocks.boxes(q, q.df.select("bid", *span, F.array_max("most").alias("far")), [*ends, "far"]))
+        box_q = cut(blocks.boxes(q, q.df.select("bid", *span, F.array_max("most").alias("reach")), [*ends, "reach"], d.pivots))
         box_d = cut(blocks.boxes(d, d.df.select("bid", *span), ends))
 
         def can_matter(a, b, low, high):
             share = (a.facts["c_lo"][:, None] <= b.facts["c_hi"][None, :]) & (b.facts["c_lo"][None, :] <= a.facts["c_hi"][:, None])
-            return share | (np.sqrt(low) <= a.facts["far"][:, None] * (1 + 1e-9))
+            return share | (np.sqrt(low) <= a.facts["reach"][:, None] * (1 + 1e-9))
 
-        links = blocks.pruned_links(box_q, box_d, q.count, d.count, can_matter, [*ends, "far"])
+        links = blocks.pruned_links(box_q, box_d, q.count, d.count, can_matter, [*ends, "reach"])
     sums = blocks.sweep(q, d, links, _NearSums()).repartition("id")
     mean = sums.groupBy("id", "c").agg(F.first("own").alias("own"), F.first("n").alias("n"), F.sum("s").alias("s"))
     a = F.max(F.when(F.col("own"), F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))))

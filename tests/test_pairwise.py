@@ -99,6 +99,34 @@ def test_tiles_equal_broadcast(spark, monkeypatch, small_pairs):
     assert rho == pytest.approx(brute.spearman(x, x[:, :1]), abs=1e-6)
 
 
+def test_balls_skip_most_pairs_in_many_dimensions(spark, monkeypatch):
+    """Groups in 64 dimensions: most block pairs are never looked at, for neighbours, rank counts, Dunn and the spanning tree."""
+    from quarry.operators import blocks
+
+    monkeypatch.setattr(blocks, "SMALL_PAIRS", 0)
+    monkeypatch.setattr(blocks, "MAX_BLOCK_ROWS", 40)
+    r = np.random.default_rng(9)
+    lab = np.arange(800) % 16
+    x = (r.normal(size=(16, 64)) * 1.5)[lab] + r.normal(size=(800, 64)) * 0.6
+    kept, links = [], blocks.pruned_links
+
+    def counted(q, d, n_q, n_d, *rest):
+        out = links(q, d, n_q, n_d, *rest)
+        kept.append(out.count() / (n_q * n_d))
+        return out
+
+    monkeypatch.setattr(blocks, "pruned_links", counted)
+    got = {}
+    for row in sorted(neighbours.knn(brute.points(spark, x), 5).collect(), key=lambda row: (row["i"], row["rank"])):
+        got.setdefault(row["i"], []).append(row["j"])
+    assert got == brute.knn(x, list(range(800)), 5) and max(kept) < 0.5
+    kept.clear()
+    assert validate.dunn(brute.points(spark, x, cluster=lab)).first()["dunn"] == pytest.approx(brute.dunn(x, lab), abs=1e-12)
+    high, low = brute.points(spark, x), brute.points(spark, x[:, :20])
+    assert quality.trustworthiness(high, low).first()[0] == pytest.approx(brute.trustworthiness(x, x[:, :20], 5), abs=1e-12)
+    assert sorted(kept)[len(kept) // 2] < 0.5
+
+
 def test_tiles_hold_bounded_blocks(spark, monkeypatch):
     from quarry.operators import blocks
 
