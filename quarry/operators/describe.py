@@ -3,6 +3,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,10 @@ from quarry.session import cut
 
 #: Fences by group are sent to all tasks only when they are at most so many rows.
 SMALL_TABLE = 100_000
+#: Columns whose correlations are aggregates of one plan.
+DIRECT_COLUMNS = 24
+#: Tasks' sums are added up in so many parts first.
+SUM_PARTS = 32
 
 
 def _per_column(df: DataFrame, cols: Sequence[str], aggs: dict[str, Callable[[Column], Column]]) -> DataFrame:
@@ -152,13 +160,50 @@ def box_before_after(before: DataFrame, after: DataFrame, cols: Sequence[str], f
     return box_stats(both, cols, ["stage"], factor)
 
 
-def correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _pair_sums(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``(i, j, n, s, q, p)`` for every pair of columns over the rows where both are present: how many, and the sums of column i, of
+    its squares and of the products, all about the columns' means. Matrix products per batch, added up in two stages."""
+    width = len(cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    mean = np.array([np.nan if m is None else m for m in means], dtype=float)
+    kinds = ("n", "s", "q", "p")
+
+    def scan(batches):
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - mean
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        lists = [pa.array(list(t), pa.list_(pa.float64())) for t in total]
+        part = TaskContext.get().partitionId() % SUM_PARTS
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([part] * width, pa.int32()), *lists], ["i", "part", *kinds])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf["i"].iloc[:1], **{k: [np.sum(np.stack(pdf[k].to_numpy()), axis=0)] for k in kinds}})
+
+    arrays = ", ".join(f"{k} array<double>" for k in kinds)
+    parts = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInArrow(scan, f"i int, part int, {arrays}")
+    sums = parts.groupBy("i", "part").applyInPandas(add, f"i int, {arrays}").groupBy("i").applyInPandas(add, f"i int, {arrays}")
+    return cut(sums.select("i", F.posexplode(F.arrays_zip(*kinds)).alias("j", "e")).select("i", "j", "e.*"))
+
+
+def correlation(df: DataFrame, cols: Sequence[str], direct_columns: int | None = None) -> DataFrame:
     """Pearson matrix as ``(a, b, pos_a, pos_b, r)``; each pair uses the rows where both are present.
 
-    One aggregate computes the upper half; the lower half is mirrored from it.
+    For few columns, ``direct_columns``, one aggregate computes the upper half and the lower half is mirrored from it. With more
+    the pairs would make too long a plan; sums of all pairs come from matrix products then, NULL where a column does not vary.
     """
     cols = list(cols)
     p = len(cols)
+    if p > (DIRECT_COLUMNS if direct_columns is None else direct_columns):
+        a = _pair_sums(df, cols)
+        b = a.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("s").alias("s2"), F.col("q").alias("q2"))
+        n, s, q, s2, q2 = (F.col(c) for c in ("n", "s", "q", "s2", "q2"))
+        va, vb = n * q - s * s, n * q2 - s2 * s2
+        r = F.when((va > 0) & (vb > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (n * F.col("p") - s * s2) / (F.sqrt(va) * F.sqrt(vb)))))
+        name = F.array(*[F.lit(c) for c in cols])
+        return a.join(b, ["i", "j"]).select(name[F.col("i")].alias("a"), name[F.col("j")].alias("b"), F.col("i").alias("pos_a"), F.col("j").alias("pos_b"), r.alias("r"))
     both = lambda i, j: F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double"))
     one = df.agg(*[both(i, j).alias(f"r_{i}_{j}") for i in range(p) for j in range(i, p)])
     cells = [

@@ -251,6 +251,63 @@ def _models(spark, d):
     return _once("kmeans", spark, d, lambda: kmeans.fit_grid(_wide(spark, d)[4], K_RANGE))
 
 
+def facts(spark, **values):
+    """(fact, value) rows for statements about a fitted result."""
+    return spark.createDataFrame([(k, float(v)) for k, v in values.items()], "fact string, value double")
+
+
+def q_kmeans_invariants(spark, d):
+    """The models of the grid hold what every such fit must: all rows assigned, centres the means of their rows, and inertia falling
+    with k, each below that of a step from plain starting centres."""
+    points, models = _wide(spark, d)[4], _models(spark, d)
+    model = models[max(models)]
+    labels = kmeans.assign(points, {"cluster": model.centres})
+    moments = validate.cluster_moments(labels).collect()
+    start = np.array([r["x"] for r in points.orderBy("row_id").limit(model.k).collect()])
+    plain = validate.inertia(validate.cluster_moments(kmeans.assign(points, {"cluster": start}))).first()[0]
+    costs = [models[k].inertia for k in sorted(models)]
+    drift = max(float(np.abs(np.array(r["centre"]) - model.centres[r["cluster"]]).max()) for r in moments)
+    return facts(
+        spark, rows=sum(r["n"] for r in moments), models=len(models), clusters=len(moments), inertia_falls=all(b <= a for a, b in zip(costs, costs[1:])),
+        inertia_is_that_of_labels=abs(sum(r["sum_sq"] for r in moments) / model.inertia - 1) < 1e-3, below_plain_start=model.inertia <= plain, centres_are_means=drift < 0.05,
+    )
+
+
+def _plot_facts(spark, plot, labels, summary):
+    """What every plot and its clusters must satisfy: all rows once, clusters that are runs of the plot, a summary that adds up."""
+    both = plot.join(labels, "row_id")
+    runs = both.filter("cluster <> -1").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), (F.max("pos") - F.min("pos") + 1).alias("span"), (F.max("pos") - F.min("pos")).alias("last"))
+    held = runs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.col("n") != F.col("span")), F.lit(False))).first()
+    one = plot.agg(F.count(F.lit(1)), F.count_distinct("row_id"), F.max("pos"), F.sum(F.col("reachability").isNull().cast("int")), F.sum((F.col("pred_pos") >= F.col("pos")).cast("int"))).first()
+    said = summary.first()
+    return facts(
+        spark, rows=one[0], ids=one[1], last_position=one[2], starts=one[3], entered_from_later=one[4], labelled=both.count(), torn_clusters=held[2],
+        summary_adds_up=said["n"] == one[0] and said["clusters"] == held[1] and said["noise"] == one[0] - held[0],
+    )
+
+
+def q_optics_invariants(spark, d):
+    plot, labels = _optics(spark, d)
+    return _plot_facts(spark, plot, labels, density.run_summary(_wide(spark, d)[4], labels))
+
+
+def q_umap_invariants(spark, d):
+    """Every row is placed, at finite coordinates that spread."""
+    r = _embedded(spark, d).agg(F.count(F.lit(1)), F.count_distinct("row_id"), F.sum((F.isnan("d1") | F.isnan("d2") | (F.abs("d1") > 1e6) | (F.abs("d2") > 1e6)).cast("int")), F.stddev("d1") > 0, F.stddev("d2") > 0).first()
+    return facts(spark, rows=r[0], ids=r[1], lost=r[2], spread=r[3] and r[4])
+
+
+def q_one_projection(spark, d):
+    """Going on without the second projection: its rows are left out, nothing else changes."""
+    return pca.side_by_side({"PCA": q_pca2_project(spark, d), "UMAP": None})
+
+
+def q_fixed_projections(spark, d):
+    """Two given projections next to each other."""
+    flat = {name: embeddings_low(spark, d, rules).select("row_id", F.col("x")[0].alias("d1"), F.col("x")[1].alias("d2")) for name, rules in (("low", features.LOW), ("other", features.OTHER))}
+    return rounded(pca.side_by_side(flat), ["d1", "d2"])
+
+
 def _grid(spark, d):
     def make():
         codes = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").alias("y"))
@@ -479,4 +536,11 @@ def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pca2_scree": lambda s, d: rounded(pca.scree(_variance2(s, d)), ["eigenvalue", "ratio_pct", "cum_pct"], 4),
         "pca2_target": q_pca2_target,
         "pca_invariants": q_pca_invariants,
+        "corr_matrix_products": lambda s, d: rounded(describe.correlation(rfm(s, d), CONTINUOUS, direct_columns=0), ["r"]),
+        "silhouette_bounds": lambda s, d: rounded(validate.silhouette(embeddings(s, d), dense_width=0), ["silhouette"]),
+        "kmeans_invariants": q_kmeans_invariants,
+        "optics_invariants": q_optics_invariants,
+        "umap_invariants": q_umap_invariants,
+        "projection_alone": q_one_projection,
+        "projections_fixed": q_fixed_projections,
     }

@@ -1,8 +1,9 @@
 """SQL twins of the queries on cleaned tables, two-column components, given labels and centres."""
 from __future__ import annotations
 
+from quarry.plans.features import OTHER
 from quarry.plans.labelled import BIN, MAX_EPS
-from quarry.plans.oracle import CENTRES, CONT, EMB, PCA2, RFM, SEG, _agree, _lloyd, _rounded, _union
+from quarry.plans.oracle import CENTRES, CONT, CORR, EMB, PCA2, RFM, SEG, _agree, _emb, _lloyd, _rounded, _union, oracle
 
 SPIKES = """sp AS (SELECT event_id, user_id::DOUBLE AS user_id, CASE WHEN event_id % 17 <> 0 THEN value + CASE WHEN event_id % 101 = 0 THEN 1e6 ELSE 0 END END AS value,
   (event_id % 50) + CASE WHEN event_id % 97 = 0 THEN 5000.0::DOUBLE ELSE 0.0::DOUBLE END AS load, CASE WHEN event_id % 23 <> 0 THEN event_type END AS event_type FROM events)"""
@@ -87,6 +88,13 @@ def more() -> dict[str, str]:
         "pca2_scree": f"{PCA2}, {variance} SELECT pc, round(eigenvalue, 4) AS eigenvalue, round(ratio * 100, 4) AS ratio_pct, round(cum * 100, 4) AS cum_pct, 1.0::DOUBLE AS eigen_line, 80.0::DOUBLE AS share_line_pct, eigenvalue > 1 AS above_eigen_line FROM vt",
         "pca2_target": f"{PCA2} SELECT row_id, round((recency - m1) * p11 + (n_orders - m2) * p12, 5) AS d1, round((recency - m1) * p21 + (n_orders - m2) * p22, 5) AS d2, c_mktsegment AS y FROM rfm, p",
         "pca_invariants": f"WITH {RFM}, n AS (SELECT count(*)::DOUBLE AS n, ({len(CONT)} + count(DISTINCT c_mktsegment)) AS p FROM rfm), t AS (SELECT round(p * n / (n - 1), 6) AS t FROM n) SELECT 'total_variance' AS fact, t AS value FROM t UNION ALL SELECT 'variance_of_columns', t FROM t UNION ALL SELECT 'orthonormality_error', 0.0::DOUBLE UNION ALL SELECT 'score_variance_error', 0.0::DOUBLE UNION ALL SELECT 'score_correlation', 0.0::DOUBLE",
+        "corr_matrix_products": CORR,
+        "silhouette_bounds": oracle()["silhouette"],
+        "kmeans_invariants": f"WITH {RFM} SELECT fact, value FROM (VALUES ('rows', (SELECT count(*)::DOUBLE FROM rfm)), ('models', 11.0::DOUBLE), ('clusters', 12.0), ('inertia_falls', 1.0), ('inertia_is_that_of_labels', 1.0), ('below_plain_start', 1.0), ('centres_are_means', 1.0)) t(fact, value)",
+        "optics_invariants": f"WITH {RFM}, n AS (SELECT count(*)::DOUBLE AS n FROM rfm) SELECT fact, value::DOUBLE AS value FROM n, LATERAL (VALUES ('rows', n), ('ids', n), ('last_position', n - 1), ('starts', 1.0), ('entered_from_later', 0.0), ('labelled', n), ('torn_clusters', 0.0), ('summary_adds_up', 1.0)) t(fact, value)",
+        "umap_invariants": f"WITH {RFM}, n AS (SELECT count(*)::DOUBLE AS n FROM rfm) SELECT fact, value::DOUBLE AS value FROM n, LATERAL (VALUES ('rows', n), ('ids', n), ('lost', 0.0), ('spread', 1.0)) t(fact, value)",
+        "projection_alone": f"SELECT 'PCA' AS method, row_id, d1, d2 FROM ({oracle()['pca2_project']})",
+        "projections_fixed": f"WITH {EMB}, o AS (SELECT * FROM (WITH {_emb(OTHER)} SELECT * FROM e)) SELECT 'low' AS method, id AS row_id, round(y[1], 6) AS d1, round(y[2], 6) AS d2 FROM e UNION ALL SELECT 'other', id, round(y[1], 6), round(y[2], 6) FROM o",
         "optics_walk": f"SELECT pos, row_id, reachability, core FROM ({_walk(5)})",
         "optics_walk_lists": _walk(5),
         "optics_walk_ties": _walk(5, f"list_transform(y, lambda v: floor(v / {BIN}))"),

@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,20 @@ def test_noise_summary(spark):
     assert tuple(describe.noise_summary(df).first()) == (6, 2, 2, pytest.approx(100 / 3), 1, 3)
     empty = describe.noise_summary(df.filter("cluster = -1")).first()
     assert (empty["clusters"], empty["min_size"]) == (0, None)
+
+
+def test_correlation_of_many_columns(spark):
+    """500 columns with gaps, an offset, one that never varies, one that is empty."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 500)) + 0.5 * rng.normal(size=(300, 1)) + 1e6
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7], x[:, 9] = 3.0, np.nan
+    names = [f"v{i}" for i in range(500)]
+    want = pd.DataFrame(x, columns=names).corr().to_numpy()
+    table = pa.table({n: pa.array(x[:, i], from_pandas=True) for i, n in enumerate(names)})
+    got = describe.correlation(spark.createDataFrame(table).repartition(3), names).toPandas()
+    have = np.full((500, 500), np.nan)
+    have[got.pos_a, got.pos_b] = got.r
+    want[7, 7] = np.nan
+    assert len(got) == 250000 and (got.a == got.pos_a.map(lambda i: f"v{i}")).all()
+    assert np.allclose(have, want, atol=1e-9, equal_nan=True)
