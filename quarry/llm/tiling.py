@@ -6,12 +6,12 @@ of ``min_match`` tokens is left. Matches are found by Karp-Rabin hashes of token
 reordered passages count. An item leaks into a document when tiles cover at least ``threshold`` of the item's tokens.
 
 NULL or empty texts have no tokens, match nothing and are clean, and so are items of fewer than ``min_match`` tokens.
-Repeated rows give repeated results; a NULL doc_id or item_id stays NULL. The benchmark is the query set: it is sent to the
+Repeated rows give repeated results; a NULL doc_id or item_id stays NULL. Very long and repetitive texts are tiled whole: what
+is held is as long as the text and its matches, not their product. Other columns are not read. The benchmark is the query set: it is sent to the
 tasks in blocks of bounded size, each against all documents.
 """
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +26,8 @@ MIN_MATCH = 5
 THRESHOLD = 0.5
 #: Bytes of benchmark text that go to the tasks at once, about.
 BLOCK_BYTES = 4 << 20
+#: Pairs of places that are looked at together, about.
+PAIRS = 1 << 20
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -47,37 +49,24 @@ def run_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * _powers(n, np.uint64(pow(int(_STEP), -1, 1 << 64))))
 
 
-def tiles(i: np.ndarray, j: np.ndarray, k: int, n_item: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (document place, item place, length) from all pairs of places at which equal runs of k tokens begin."""
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    new = np.append(True, (np.diff(i - j) != 0) | (np.diff(i) != 1))
-    first = np.flatnonzero(new)
-    lengths = np.diff(np.append(first, len(i))) + k - 1
-    heap = [(-int(n), int(a), int(b)) for n, a, b in zip(lengths, i[first], j[first])]
-    heapq.heapify(heap)
-    in_doc: set[int] = set()
-    in_item = np.zeros(n_item, bool)
-    out = []
-    while heap:
-        n, a, b = heapq.heappop(heap)
-        n = -n
-        free = [a + t not in in_doc and not in_item[b + t] for t in range(n)]
-        if all(free):
-            out.append((a, b, n))
-            in_doc.update(range(a, a + n))
-            in_item[b : b + n] = True
-            if in_item.all():
-                break
-            continue
-        t = 0
-        while t < n:  # what is left of a match that a longer one has cut into
-            u = t
-            while u < n and free[u]:
-                u += 1
-            if u - t >= k:
-                heapq.heappush(heap, (t - u, a + t, b + t))
-            t = u + 1
+def tiles(i: np.ndarray, j: np.ndarray, n: np.ndarray, k: int, n_item: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (document place, item place, length) from the maximal matches of at least k tokens: again and again the longest
+    match is marked, the first in the document and the item on ties, and what is marked is cut out of all others."""
+    out, left = [], n_item
+    while len(n):
+        longest = np.flatnonzero(n == n.max())
+        best = longest[np.lexsort((j[longest], i[longest]))[0]]
+        a, b, size = int(i[best]), int(j[best]), int(n[best])
+        out.append((a, b, size))
+        left -= size
+        if left <= 0:
+            break
+        # From a match at (i, j) the mark takes the tokens from a - i on as well as those from b - j on, size of each.
+        first, second = np.minimum(a - i, b - j), np.maximum(a - i, b - j)
+        begins = np.stack([np.zeros_like(n), np.maximum(first + size, 0), np.maximum(second + size, 0)])
+        ends = np.stack([np.minimum(first, n), np.minimum(second, n), n])
+        keep = ends - begins >= k
+        i, j, n = np.broadcast_to(i, keep.shape)[keep] + begins[keep], np.broadcast_to(j, keep.shape)[keep] + begins[keep], (ends - begins)[keep]
     return out
 
 
@@ -95,6 +84,9 @@ class Items:
         runs, item, at = runs[inside], item[inside], at[inside]
         order = np.argsort(runs, kind="stable")
         self.seeds, self.item, self.place = runs[order], item[order], (at - offsets[item])[order]
+        whole, item_of = np.append(runs, np.uint64(0)), np.append(item, -1)
+        self.before, self.has_before = whole[order - 1], (order > 0) & (item_of[order - 1] == self.item)
+        self.after, self.has_after = whole[order + 1], item_of[order + 1] == self.item
         self.sieve = np.zeros(1 << 22, bool)
         self.sieve[(runs >> np.uint64(42)).astype(np.int64)] = True
 
@@ -107,22 +99,36 @@ class Items:
         row = np.searchsorted(offsets, at, side="right") - 1
         keep = (hi > lo) & (at + self.k <= offsets[row + 1])
         at, lo, hi, row = at[keep], lo[keep], hi[keep], row[keep]
-        n = hi - lo
-        seed = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        row, place = np.repeat(row, n), np.repeat(at - offsets[row], n)
-        item = self.item[seed]
-        order = np.lexsort((item, row))
-        row, item, place, seed = row[order], item[order], place[order], seed[order]
-        edges = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(item) != 0))) if len(row) else np.zeros(0, np.int64)
+        # Pairs of places with equal runs of k tokens may be very many in repetitive texts. They are looked at in slices, and only
+        # the first and the last pair of each diagonal match are kept.
+        firsts, lasts, done = [], [], np.cumsum(hi - lo)
+        step = 0
+        while step < len(at):
+            to = max(step + 1, int(np.searchsorted(done, (done[step - 1] if step else 0) + PAIRS, side="right")))
+            n = (hi - lo)[step:to]
+            seed = np.repeat(lo[step:to], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            here, own = np.repeat(at[step:to], n), np.repeat(row[step:to], n)
+            going = (here > offsets[own]) & self.has_before[seed] & (runs[here - 1] == self.before[seed])
+            on = np.minimum(here + 1, len(runs) - 1)
+            coming = (here + 1 + self.k <= offsets[own + 1]) & self.has_after[seed] & (runs[on] == self.after[seed])
+            for found, pick in ((firsts, ~going), (lasts, ~coming)):
+                found.append(np.stack([own[pick], self.item[seed[pick]], here[pick] - offsets[own[pick]], self.place[seed[pick]]]))
+            step = to
+        if not firsts:
+            return
+        firsts, lasts = (np.concatenate(f, axis=1) for f in (firsts, lasts))
+        firsts, lasts = (f[:, np.lexsort((f[2], f[2] - f[3], f[1], f[0]))] for f in (firsts, lasts))
+        row, item, i, j = firsts
+        sizes = lasts[2] - i + self.k
+        edges = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(item) != 0)))
         for a, b in zip(edges, np.append(edges[1:], len(row))):
-            size, starts = int(self.sizes[item[a]]), self.place[seed[a:b]]
-            reach = np.zeros(size + 1, np.int64)  # tokens of the item in any shared run: tiles cannot cover more
-            once = np.unique(starts)
-            np.add.at(reach, once, 1)
-            np.add.at(reach, once + self.k, -1)
+            size = int(self.sizes[item[a]])
+            reach = np.zeros(size + 1, np.int64)  # tokens of the item in any match: tiles cannot cover more
+            np.add.at(reach, j[a:b], 1)
+            np.add.at(reach, j[a:b] + sizes[a:b], -1)
             if np.count_nonzero(np.cumsum(reach)[:size]) < threshold * size:
                 continue
-            found = tiles(place[a:b], starts, self.k, size)
+            found = tiles(i[a:b], j[a:b], sizes[a:b], self.k, size)
             if sum(t[2] for t in found) >= threshold * size:
                 yield int(row[a]), int(item[a]), found
 

@@ -1,6 +1,8 @@
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,26 @@ def test_documents_with_a_whole_item(spark, sf):
                 assert (r.doc_id, i) in got
             elif not any(" " + " ".join(own[k : k + 5]) + " " in text for k in range(len(own) - 4)):
                 assert (r.doc_id, i) not in got
+
+
+@pytest.mark.parametrize("pairs", [7, 1 << 20])
+def test_repetitive_texts_as_step_by_step(monkeypatch, pairs):
+    """Three letters, so that matches overlap in every way; pairs of places looked at in slices of any size."""
+    monkeypatch.setattr(tiling, "PAIRS", pairs)
+    rnd = random.Random(4)
+    word = lambda n: [rnd.choice("aab" if rnd.random() < 0.5 else "abc") for _ in range(n)]
+    items, docs = [word(rnd.randrange(0, 25)) for _ in range(12)], [word(rnd.randrange(0, 60)) for _ in range(40)]
+    block = tiling.Items(list(range(len(items))), [" ".join(i) for i in items], 3)
+    got = {(d, i): sum(t[2] for t in own) for d, i, own in block.matches(pa.array([" ".join(d) for d in docs]), 0.0)}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            assert got.get((d, i), 0) == greedy(doc, item, 3), (doc, item)
+
+
+def test_memory_of_a_repetitive_text():
+    block = tiling.Items([0, 1], ["a " * 400, ("a " * 150 + "b ") * 2], 5)
+    tracemalloc.start()
+    got = list(block.matches(pa.array(["a " * 150_000, "b " + "a " * 90]), 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(d, i) for d, i, _ in got] == [(0, 0), (0, 1)] and got[0][2] == [(0, 0, 400)] and peak < 300e6
