@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_and_text, slices
+from quarry.llm.common import SLICE_BYTES, id_and_text, slices
 from quarry.llm.near import shingle_sets
 from quarry.session import cut
 
@@ -120,7 +120,8 @@ def choose_stems(toxic: dict[str, int], clean: dict[str, int]) -> list[str]:
 def _kind_of(texts: pd.Series) -> list[int]:
     """A hash that near copies mostly share and other texts do not, whatever they begin with: the smallest one of all runs of three
     words; 0 without words."""
-    return [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in shingle_sets(pa.array(texts, pa.string()), 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    return [int(s[:1].view(np.int64)[0]) if len(s) else 0 for rows in slices(batch, limit=SLICE_BYTES // 4) for s in shingle_sets(rows.column("text"), 3)]
 
 
 def _stem_counts(rows: DataFrame) -> tuple[dict, dict]:

@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pandas as pd
+import pytest
 
 import corpus_pipeline
 from quarry.llm import toxicity
@@ -48,3 +49,27 @@ def test_stages_against_brute_force(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
+
+
+def _strange(spark):
+    """Names used inside the stages, a column that cannot be ordered, NULL and repeated ids, two texts under one id."""
+    names = "_keep _key _keep_key _keep_sha _sha _id _row row id hash class root bucket piece start length offset".split()
+    text = "one two three four five six seven eight"
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, "nine ten eleven twelve thirteen fourteen"), (3, None), (4, ""), (5, "alpha beta gamma delta epsilon zeta eta"), (5, "quite another text under one id")]
+    return spark.createDataFrame([(i, t, "en", "s", 1, *range(len(names)), {"a": 1}) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names) + ", m map<string,int>")
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_all_stages_on_strange_tables(spark, tmp_path, empty):
+    docs = _strange(spark)
+    docs = docs.limit(0) if empty else docs
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (2, 0), (None, 1), (5, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "Alpha beta gamma delta, epsilon zeta eta"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    left = [9, 5, 5, 4]
+    for (name, stage), n in zip(corpus_pipeline.STAGES[:-1], left):
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns and kept.count() == (0 if empty else n), name
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.count() == (0 if empty else 4)
