@@ -32,7 +32,7 @@ def _per_column(df: DataFrame, cols: Sequence[str], aggs: dict[str, Callable[[Co
 
 def _beside(long: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join long rows with a row per group; the rows stay where they are if the groups are few, which is checked."""
-    few = small.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE
+    few = list(keys) == ["variable"] or small.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE  # else as few as the columns
     return long.join(F.broadcast(small) if few else small, list(keys))
 
 
@@ -93,7 +93,7 @@ def histogram(df: DataFrame, cols: Sequence[str], bins: int = 20, by: Sequence[s
         F.avg("value").alias("mean"),
     )
     slot = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins) + 1, F.lit(bins)).cast("int")
-    bounds = cut(bounds)
+    bounds = cut(bounds) if by else df.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
     counted = _beside(long, bounds, keys).groupBy(*keys, slot.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = bounds.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     width = (F.col("hi") - F.col("lo")) / bins

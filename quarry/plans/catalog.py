@@ -487,7 +487,7 @@ def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "jaccard_knn": lambda s, d: rounded(neighbours.mean_overlap(neighbours.knn(embeddings(s, d), 10), neighbours.knn(embeddings_low(s, d), 10)), ["jaccard"]),
         "trustworthiness": lambda s, d: rounded(quality.trustworthiness(embeddings(s, d), embeddings_low(s, d)), ["trustworthiness"]),
         "continuity": lambda s, d: rounded(quality.continuity(embeddings(s, d), embeddings_low(s, d)), ["continuity"]),
-        "spearman_dist": lambda s, d: rounded(quality.distance_rank_correlation(embeddings(s, d), embeddings_low(s, d)), ["spearman"]),
+        "spearman_dist": lambda s, d: rounded(quality.distance_rank_correlation(embeddings(s, d), embeddings_low(s, d)).drop("error"), ["spearman"]),
         "projection_compare": q_projection_compare,
         "projection_decide": q_projection_decide,
         "kmeans_assign_fixed": q_assign_fixed,

@@ -170,6 +170,20 @@ def test_projection_quality(spark, pruning, name):
     assert row["spearman"] == pytest.approx(brute.spearman(x, x[:, :2]), abs=1e-7)
 
 
+def test_rank_correlation_of_crowded_distances(spark):
+    """One far point and a crowd: at first all distances within the crowd share a bin. Passes tell them apart, exactly if wanted."""
+    r = np.random.default_rng(10)
+    x = np.vstack([r.normal(size=(120, 3)) * 1e-7, [[1e6, 0, 0]]])
+    high, low = brute.points(spark, x), brute.points(spark, x[:, :2] * 3 + r.normal(size=(121, 2)) * 1e-8)
+    want = brute.spearman(x, np.array([r["x"] for r in sorted(low.collect(), key=lambda r: r["row_id"])]))
+    rough = quality.distance_rank_correlation(high, low, passes=1).first()
+    assert abs(rough["spearman"] - want) > 1e-3 and abs(rough["spearman"] - want) <= rough["error"]
+    got = quality.distance_rank_correlation(high, low).first()
+    assert abs(got["spearman"] - want) <= got["error"] + 1e-12 and got["error"] <= quality.RANK_ERROR
+    exact = quality.distance_rank_correlation(high, low, tol=0.0).first()
+    assert exact["error"] == 0 and abs(exact["spearman"] - want) < 1e-12 and exact["n_pairs"] == 121 * 60
+
+
 def test_overlap(spark):
     x = SETS["wide"]
     a, b = brute.knn(x, range(len(x)), 10), brute.knn(x[:, :2], range(len(x)), 10)
