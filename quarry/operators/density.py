@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from quarry.functions.kernels import rows_low, sq_dist
 from quarry.functions.ranking import global_position
-from quarry.functions.xi import scan_chunk, stitch
+from quarry.functions.xi import disjoint, merge_chunks, scan_chunk
 from quarry.operators import blocks, describe, neighbours, validate
 from quarry.operators.blocks import Block, Blocks, Kernel, columns_batch
 from quarry.session import cut, drop
@@ -37,6 +37,7 @@ DRIVER_COMPONENTS = 4096  # merged on the driver up to this many components, by
 DOUBLINGS = 3             # pointer doublings between two writes
 WALK_EDGES = 2_000_000    # edges that one task walks over; lists of weights beyond
 CHUNK = 100_000           # points of the reachability plot that one task scans
+FAN = 64                  # chunks whose leftovers one task merges
 
 
 def core_distances(edges: DataFrame, min_samples: int) -> DataFrame:
@@ -363,15 +364,14 @@ def reachability(df: DataFrame, min_samples: int = 5, key: str = "row_id", vec:
 # ---------------------------------------------------------------- clusters
 
 
-def xi_clusters(plot: DataFrame, min_samples: int = 5, xi: float = 0.05, chunk: int = CHUNK) -> DataFrame:
+def xi_clusters(plot: DataFrame, min_samples: int = 5, xi: float = 0.05, chunk: int = CHUNK, fan: int = FAN, picks: int = CHUNK) -> DataFrame:
     """``(cluster, start, end)``: innermost steep-down / steep-up pairs of the plot, as positions.
 
     Chunks of the plot are scanned in parallel. A steep area is bounded in length, since every steep step
-    changes the value by ``xi``, so a chunk sees its areas whole through an overlap. Areas that pair across
-    chunks are handed to the driver; per chunk there are at most as many as steep steps fit between the
-    smallest and the largest value.
+    changes the value by ``xi``, so a chunk sees its areas whole through an overlap. Areas that may pair across
+    chunks are merged ``fan`` chunks at a time until one is left; a merged chunk leaves at most as many as steep steps fit
+    between the smallest and the largest value. Up to ``picks`` intervals are chosen from in one task.
     """
-    spark = plot.sparkSession
     facts = plot.agg(F.count(F.lit(1)).alias("n"), F.max("reachability").alias("hi"), F.min(F.when(F.col("reachability") > 0, F.col("reachability"))).alias("lo")).first()
     n = facts["n"]
     steps = math.ceil(math.log(facts["hi"] / facts["lo"]) / -math.log1p(-xi)) + 4 if facts["lo"] else 4
@@ -386,50 +386,57 @@ def xi_clusters(plot: DataFrame, min_samples: int = 5, xi: float = 0.05, chunk:
     def scan(key, pdf: pd.DataFrame) -> pd.DataFrame:
         return scan_chunk(int(key[0]), pdf, n, chunk, min_samples, xi)
 
-    found = cut(rows.groupBy("chunk").applyInPandas(scan, "chunk bigint, kind string, start bigint, end bigint, peak double, mib double, r array<double>, pp array<bigint>"))
-    loose = found.filter("kind <> 'cluster'").orderBy("chunk", "start").toPandas() if chunks > 1 else pd.DataFrame()
-    crossing = stitch(loose, min_samples, xi) if len(loose) else []
+    schema = "chunk bigint, kind string, start bigint, end bigint, peak double, mib double, r array<double>, pp array<bigint>"
+    found = cut(rows.groupBy("chunk").applyInPandas(scan, schema))
     pairs = found.filter("kind = 'cluster'").select("start", "end")
-    if crossing:
-        pairs = pairs.unionByName(spark.createDataFrame(crossing, "start bigint, end bigint"))
-    return _innermost(pairs)
+    while chunks > 1:
+        chunks = math.ceil(chunks / fan)
 
+        def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            return merge_chunks(int(key[0]), pdf, int(key[0]) == chunks - 1, min_samples, xi)  # runs in this turn, by cut
 
-def _innermost(pairs: DataFrame) -> DataFrame:
+        found = cut(found.filter("kind <> 'cluster'").groupBy(F.floor(F.col("chunk") / fan).alias("above")).applyInPandas(merge, schema))
+        pairs = pairs.unionByName(found.filter("kind = 'cluster'").select("start", "end"))
+    return _innermost(pairs, picks)
+
+
+def _innermost(pairs: DataFrame, picks: int = CHUNK) -> DataFrame:
     """Drop every interval that contains another one, then take the rest greedily by their end."""
     placed = global_position(pairs.distinct(), ["start", F.col("end").desc()], "k")
-    group = F.floor(F.col("k") / CHUNK)
     after = Window.partitionBy("g").orderBy("k").rowsBetween(1, Window.unboundedFollowing)
-    local = placed.withColumn("g", group).withColumn("inner", F.min("end").over(after))
-    ends = {r["g"]: r["m"] for r in local.groupBy("g").agg(F.min("end").alias("m")).collect()}
-    best, later = None, {}
-    for g in sorted(ends, reverse=True):
-        later[g] = best
-        best = ends[g] if best is None else min(best, ends[g])
-    table = [v for g, m in later.items() for v in (F.lit(int(g)), F.lit(m).cast("bigint"))]
-    beyond = F.create_map(*table)[F.col("g")] if table else F.lit(None).cast("bigint")
-    nearest_end = F.least(F.col("inner"), beyond)
-    minimal = local.filter(nearest_end.isNull() | (nearest_end > F.col("end"))).select("start", "end")
-    # what is left overlaps at most partially; chains of overlapping intervals are settled together
-    ordered = global_position(minimal, ["start"], "k")
-    prev = ordered.select((F.col("k") + 1).alias("k"), F.col("end").alias("prev_end"))
-    heads = ordered.join(prev, "k", "left").withColumn("head", (F.col("prev_end").isNull() | (F.col("start") > F.col("prev_end"))).cast("int"))
-    g = heads.withColumn("g", F.floor(F.col("k") / CHUNK))
-    upto = Window.partitionBy("g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    counted = g.withColumn("c", F.sum("head").over(upto))
-    totals, base = {r["g"]: r["t"] for r in counted.groupBy("g").agg(F.max("c").alias("t")).collect()}, 0
-    shift = []
-    for key in sorted(totals):
-        shift += [F.lit(int(key)), F.lit(int(base))]
-        base += totals[key]
-    island = (F.col("c") + F.create_map(*shift)[F.col("g")]) if shift else F.col("c")
-    chains = counted.groupBy(island.alias("island")).agg(F.sort_array(F.collect_list(F.struct("end", "start"))).alias("r"))
-    none = F.array().cast("array<struct<end: bigint, start: bigint>>")
-    taken = F.aggregate("r", none, lambda acc, v: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)["end"] < v["start"]), F.concat(acc, F.array(v))).otherwise(acc))
-    final = chains.select(F.explode(taken).alias("t")).select(F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    local = placed.withColumn("g", F.floor(F.col("k") / CHUNK)).withColumn("inner", F.min("end").over(after))
+    # The smallest end in later groups: a window over one row per group.
+    later = local.groupBy("g").agg(F.min("end").alias("least")).select("g", F.min("least").over(Window.orderBy("g").rowsBetween(1, Window.unboundedFollowing)).alias("beyond"))
+    nearest_end = F.least("inner", "beyond")
+    minimal = local.join(later, "g").filter(nearest_end.isNull() | (nearest_end > F.col("end"))).select("start", "end")
+    ordered = cut(global_position(minimal, ["start"], "k"))  # by start, and so by end
+    final = _disjoint(ordered) if ordered.count() > picks else ordered.coalesce(1).mapInPandas(_picked, "start bigint, end bigint")
     return global_position(final, ["end"], "cluster").select(F.col("cluster").cast("int").alias("cluster"), "start", "end")
 
 
+def _picked(parts):
+    rows = pd.concat([pd.DataFrame({"start": [], "end": []}, dtype="int64"), *parts])[["start", "end"]].sort_values("start")
+    yield rows[disjoint(rows["start"].to_numpy(), rows["end"].to_numpy())]
+
+
+def _disjoint(ordered: DataFrame) -> DataFrame:
+    """The same choice by pointers: each interval points to the first one that starts after its end, and those that the first of
+    all leads to are taken. Pointers double in length from round to round."""
+    # The k-th end stands behind k ends and behind all starts up to it; their number is where the next interval begins.
+    marks = ordered.select("k", F.col("end").alias("at"), F.lit(1).alias("side")).unionByName(ordered.select("k", F.col("start").alias("at"), F.lit(0).alias("side")))
+    jump = global_position(marks, ["at", "side"], "place").filter("side = 1").select("k", (F.col("place") - F.col("k")).alias("to"))
+    exists = ordered.select(F.col("k").alias("to"))
+    jump = cut(jump.join(exists, "to").select("k", "to"))
+    taken = cut(ordered.filter("k = 0").select("k"))
+    while not jump.isEmpty():
+        more = cut(taken.unionByName(jump.join(taken, "k").select(F.col("to").alias("k"))))
+        longer = cut(jump.join(jump.select(F.col("k").alias("to"), F.col("to").alias("further")), "to").select("k", F.col("further").alias("to")))
+        drop(jump)
+        drop(taken)
+        jump, taken = longer, more
+    return ordered.join(taken, "k").select("start", "end")
+
+
 def labels_from(plot: DataFrame, clusters: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``(row_id, cluster)``: the interval each position falls into, -1 outside all."""
     pieces = clusters.withColumn("g", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor(F.col("end") / chunk))))
