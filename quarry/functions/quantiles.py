@@ -1,7 +1,9 @@
 """Exact linear-interpolation quantiles that do not pull a whole column into one task."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ GRID = 1000
 
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), direct_rows: int = DIRECT_ROWS) -> DataFrame:
     """``(by..., variable, n, q0, q1, ...)`` with one column per probability, NULLs skipped."""
+    if not by:
+        return _whole_columns(df, list(cols), [float(p) for p in probs], direct_rows)
     long = melt(df, cols, by).filter(F.col("value").isNotNull())
     keys = [*by, "variable"]
     biggest = long.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
@@ -27,6 +31,83 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     return _narrowed(long, keys, probs, direct_rows)
 
 
+def _whole_columns(df: DataFrame, cols: list[str], probs: list[float], direct_rows: int) -> DataFrame:
+    """All columns side by side: rows are never copied per column, and the number of scans does not grow with the columns.
+
+    One scan counts and sketches. Small tables then need one ``percentile`` per column. Otherwise the sketches give a bracket
+    for each wanted rank, a scan counts exactly what lies below and inside each, and the last scan lets only values inside
+    brackets leave their row (about 1 in 200). Brackets of more than ``direct_rows`` values are sketched again before.
+    """
+    value = [F.col(c).cast("double") for c in cols]
+    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    result = ", ".join(["variable string", "n bigint", *[f"q{i} double" for i in range(len(probs))]])
+    if not cols:
+        return df.sparkSession.createDataFrame([], result)
+    counts = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(value)]).first()
+    known = [i for i in range(len(cols)) if counts[f"n{i}"]]
+    if sum(counts[f"n{i}"] for i in known) <= direct_rows:
+        one = df.agg(*[F.percentile(value[i], F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i in known]).first() if known else None
+        return df.sparkSession.createDataFrame([(cols[i], counts[f"n{i}"], *one[f"q{i}"]) for i in known], result)
+    slots = [_Bracket(i, qi, p * (counts[f"n{i}"] - 1), counts[f"n{i}"]) for i in known for qi, p in enumerate(probs)]
+    open_ = slots
+    while open_:
+        ranges = {(s.column, s.low, s.high): None for s in open_}
+        inside = lambda c, low, high: value[c].between(F.lit(low), F.lit(high))
+        row = df.agg(*[F.percentile_approx(F.when(inside(*r), value[r[0]]), grid, F.lit(10000)).alias(f"g{m}") for m, r in enumerate(ranges)]).first()
+        sketches = {r: row[f"g{m}"] for m, r in enumerate(ranges)}
+        before = sum(s.inside for s in open_)
+        for s in open_:
+            s.narrow(sketches[s.column, s.low, s.high])
+        row = df.agg(*[a for m, s in enumerate(open_) for a in (F.count_if(value[s.column] < s.low).alias(f"b{m}"), F.count_if(inside(s.column, s.low, s.high)).alias(f"i{m}"))]).first()
+        for m, s in enumerate(open_):
+            s.below, s.inside = row[f"b{m}"], row[f"i{m}"]
+        if sum(s.inside for s in open_) >= before:
+            break  # repeated values only: they are counted, not kept
+        open_ = [s for s in open_ if s.inside > direct_rows and s.low < s.high]
+    held = F.array_compact(F.array(*[F.when(value[s.column].between(F.lit(s.low), F.lit(s.high)), F.struct(F.lit(m).alias("slot"), value[s.column].alias("value"))) for m, s in enumerate(slots)]))
+    freq = df.select(F.explode(held).alias("e")).groupBy("e.slot", "e.value").count()
+    facts = df.sparkSession.createDataFrame([(m, cols[s.column], s.qi, s.n, s.rank, s.below) for m, s in enumerate(slots)], "slot int, variable string, qi int, n bigint, h double, below bigint")
+    return _picked(freq.join(F.broadcast(facts), "slot"), ["variable"], len(probs))  # as few rows as columns times ranks
+
+
+@dataclass
+class _Bracket:
+    """Where the value of a rank lies: between ``low`` and ``high``, with ``below`` values before and ``inside`` values in it."""
+
+    column: int
+    qi: int
+    rank: float
+    n: int
+    below: int = 0
+    inside: int = 0
+    low: float = float("-inf")
+    high: float = float("inf")
+
+    def __post_init__(self):
+        self.inside = self.n
+
+    def narrow(self, sketch: list[float]) -> None:
+        """Ends one grid step beyond the rank; the sketch errs by a tenth of a step at most."""
+        at = (self.rank - self.below) / self.inside * GRID
+        first, last = math.floor(at) - 1, math.ceil(at) + 3
+        if first >= 1:
+            self.low = sketch[first]
+        if last <= GRID:
+            self.high = sketch[last]
+
+
+def _picked(freq: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """Interpolated values at the wanted ranks from how often each value in the brackets occurs."""
+    keys_q = [*keys, "qi"]
+    run = freq.withColumn("upto", F.col("below") + F.sum("count").over(Window.partitionBy(*keys_q).orderBy("value")))
+    picked = run.groupBy(*keys_q, "n", "h").agg(
+        F.min(F.when(F.col("upto") > F.floor("h"), F.col("value"))).alias("a"),
+        F.min(F.when(F.col("upto") > F.ceil("h"), F.col("value"))).alias("b"),
+    )
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))
+    return picked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("qi") == i, value)).alias(f"q{i}") for i in range(count)])
+
+
 def _narrowed(long: DataFrame, keys: list[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
     """Shrink a bracket around every wanted rank with mergeable sketches, then sort only the bracket.
 
@@ -68,10 +149,4 @@ def _narrowed(long: DataFrame, keys: list[str], probs: Sequence[float], direct_r
         state = new
     held = long.join(state, keys).filter(F.col("value").between(F.col("lo"), F.col("hi")))
     freq = held.groupBy(*keys_q, "n", "h", "below", "value").count()
-    run = freq.withColumn("upto", F.col("below") + F.sum("count").over(Window.partitionBy(*keys_q).orderBy("value")))
-    picked = run.groupBy(*keys_q, "n", "h").agg(
-        F.min(F.when(F.col("upto") > F.floor("h"), F.col("value"))).alias("a"),
-        F.min(F.when(F.col("upto") > F.ceil("h"), F.col("value"))).alias("b"),
-    )
-    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))
-    return picked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("qi") == i, value)).alias(f"q{i}") for i in range(len(probs))])
+    return _picked(freq, keys, len(probs))

@@ -34,6 +34,29 @@ def test_narrowed_quantiles_equal_numpy(spark, shape):
                 assert [r[f"q{i}"] for i in range(5)] == pytest.approx(np.quantile(part, probs).tolist(), rel=1e-12)
 
 
+def test_many_columns_share_their_scans(spark):
+    """No row is copied per column, whatever their number, and columns with gaps, ties and nothing at all stand side by side."""
+    n, names = 4000, [f"c{i}" for i in range(12)]
+    m = RNG.normal(size=(n, 12))
+    m[:, 1] = np.round(m[:, 1])
+    m[:, 2] = 7.0
+    m[RNG.random(n) < 0.4, 3] = np.nan
+    m[:, 4] = np.nan
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in m]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(5)
+    probs = [0.01, 0.25, 0.5, 0.75, 0.999]
+    for direct in (100, 10_000_000):
+        found = quantiles(df, names, probs, direct_rows=direct)
+        assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {r["variable"]: (r["n"], [r[f"q{i}"] for i in range(5)]) for r in found.collect()}
+        assert sorted(got) == sorted(set(names) - {"c4"})
+        for i, c in enumerate(names):
+            part = m[:, i][~np.isnan(m[:, i])]
+            if len(part):
+                assert got[c][0] == len(part) and got[c][1] == pytest.approx(np.quantile(part, probs).tolist(), rel=1e-12)
+    assert quantiles(df.limit(0), names, probs).count() == 0
+
+
 def test_nulls_and_nan_are_skipped(spark, tmp_path):
     from quarry import sources
 
