@@ -54,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Like :func:`cut`, with the rows of a ``key`` in one of so many buckets: joins and groupings by ``key`` read the table
+    where it lies, only their other side travels."""
+    name = f"quarry_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", scratch(df.sparkSession)).saveAsTable(name)
+    out = df.sparkSession.table(name)
+    df.sparkSession.sql(f"DROP TABLE {name}")  # the name only: the files stay, and the plan of ``out`` knows them and their buckets
+    return out
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that :func:`cut` wrote, once nothing reads it any more."""
     jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
