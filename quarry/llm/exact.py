@@ -12,6 +12,8 @@ stays only if no row of its text has one. Other columns are not read.
 """
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,29 @@ from quarry.session import cut
 CAPACITY = 1 << 12
 #: Rows that one text sends to its bucket at most; each sums the copies of a share of the tasks.
 SHARES = 16
-#: Bits added to prefixes per look at the counts; a look returns at most 2^8 counts for each bucket still overfull.
+#: Bits added to prefixes per look at the counts of buckets that are still overfull after the first look.
 STEP = 8
+#: Buckets of unusual depth that are broadcast at most, some tens of MB; more are joined like any table.
+FEW = 1 << 20
+
+
+@dataclass
+class Directory:
+    """The buckets that hold keys, as a written table (depth, prefix), and how many there are of each depth.
+
+    Most buckets have the same depth, the ``usual`` one: theirs follows from the key alone. Only the others are looked up.
+    """
+
+    table: DataFrame
+    levels: dict[int, int]
+
+    @property
+    def usual(self) -> int:
+        return max(self.levels, key=lambda d: (self.levels[d], d), default=0)
+
+    @property
+    def others(self) -> list[int]:
+        return sorted(set(self.levels) - {self.usual})
 
 
 def normalised(text: Column) -> Column:
@@ -45,7 +68,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return _texts(docs).select("doc_id", "key", F.sha2("norm", 256).alias("text_sha256"))
 
 
-def entries(docs: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
+def entries(docs: DataFrame, buckets: Directory) -> DataFrame:
     """(bucket, key, text_sha256, keep_id, group_size): rows are routed by bucket, and the chain of each key is told apart by
     bytes in the bucket's task. Copies are summed within tasks and shares of tasks before, however many there are."""
     sums = [F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")]
@@ -59,49 +82,49 @@ def _prefix(depth: int) -> Column:
     return F.shiftrightunsigned(F.col("key"), 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def directory(keys: DataFrame, capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """The buckets as (depth, prefix): the shortest prefixes whose buckets hold at most ``capacity`` of the (distinct) keys.
+def _first(depth: int) -> Column:
+    """The first key of the bucket, in unsigned order moved to signed."""
+    return F.shiftleft(_prefix(depth), 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
+    """The shortest prefixes whose buckets hold at most ``capacity`` of the (distinct) keys.
 
-    Only counts by prefix reach the driver, for overfull buckets alone. A chain of texts with one key is never split.
+    Counts by prefix stay in tables; the driver sees one number per depth. A chain of texts with one key is never split.
     """
-    leaves, depth, full = [], 0, {0: None}
-    if keys.count() <= capacity:
-        return [(0, 0)]
-    while full:
-        deeper = min(depth + STEP, 64)
-        rows = keys.select(_prefix(depth).alias("above"), _prefix(deeper).alias("prefix"))
-        if depth:
-            rows = rows.where(F.col("above").isin(list(full)))
-        counts = {r.prefix: r.n for r in rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).collect()}
-        level = set(full)
-        for d in range(depth + 1, deeper + 1):  # double: each overfull bucket of the level becomes two
-            sums: dict[int, int] = {}
-            for prefix, n in counts.items():
-                sums[prefix >> (deeper - d)] = sums.get(prefix >> (deeper - d), 0) + n
-            below = set()
-            for parent in level:
-                for child in (parent << 1, parent << 1 | 1):
-                    if sums.get(child, 0) > capacity and d < 64:
-                        below.add(child)
-                    else:
-                        leaves.append((d, child))
-            level = below
-        depth, full = deeper, dict.fromkeys(level)
-    return leaves
-
-
-def with_bucket(rows: DataFrame, buckets: list[tuple[int, int]]) -> DataFrame:
+    n, leaves, depth, full = keys.count(), None, 0, None
+    if n <= capacity:
+        return Directory(keys.sparkSession.range(1).select(F.lit(0).alias("depth"), F.col("id").alias("prefix")), {0: 1})
+    deeper = min(64, (n // capacity).bit_length() + 1)
+    while full is None or depth < 64 and not full.isEmpty():
+        rows = keys if full is None else keys.join(full, _prefix(depth) == F.col("above"), "left_semi")
+        counts = rows.groupBy(_prefix(deeper).alias("deep")).agg(F.count(F.lit(1)).alias("n"))
+        # Doubling: an overfull bucket of a level becomes two of the next.
+        every = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftrightunsigned("deep", deeper - d).alias("prefix")) for d in range(depth + 1, deeper + 1)]))
+        sizes = cut(counts.select(every.alias("b"), "n").groupBy("b.depth", "b.prefix").agg(F.sum("n").alias("n")))
+        over = (F.col("n") > capacity) & (F.col("depth") < 64)
+        halved = sizes.where(over).select((F.col("depth") + 1).alias("below"), F.col("prefix").alias("parent"))
+        fits = sizes.where(~over)
+        deep = fits.join(halved, (F.col("depth") == F.col("below")) & (F.shiftrightunsigned("prefix", 1) == F.col("parent")), "left_semi")
+        found = cut(fits.where(F.col("depth") == depth + 1).unionByName(deep).select("depth", "prefix"))
+        leaves = found if leaves is None else leaves.unionByName(found)
+        full = sizes.where(over & (F.col("depth") == deeper)).select(F.col("prefix").alias("above"))
+        depth, deeper = deeper, min(deeper + STEP, 64)
+    return Directory(leaves, {r["depth"]: r["count"] for r in leaves.groupBy("depth").count().collect()})
+
+
+def with_bucket(rows: DataFrame, buckets: Directory) -> DataFrame:
     """Adds ``bucket``: the first key of the bucket's range, in unsigned order moved to signed."""
-    bucket = None
-    for depth in sorted({d for d, _ in buckets}):
-        prefixes = [p for d, p in buckets if d == depth]
-        first = F.shiftleft(_prefix(depth), 64 - depth) if depth else F.lit(0).cast("long")
-        here = _prefix(depth).isin(prefixes) if depth else F.lit(True)
-        bucket = F.when(here, first) if bucket is None else bucket.when(here, first)
-    return rows.withColumn("bucket", bucket)
+    bucket, columns = _first(buckets.usual), rows.columns
+    for depth in buckets.others:
+        here = buckets.table.where(F.col("depth") == depth).select(F.col("prefix").alias(f"_prefix{depth}"))
+        here = F.broadcast(here) if sum(buckets.levels[d] for d in buckets.others) <= FEW else here
+        rows = rows.join(here, _prefix(depth) == F.col(f"_prefix{depth}"), "left")
+        bucket = F.when(F.col(f"_prefix{depth}").isNotNull(), _first(depth)).otherwise(bucket)
+    return rows.select(*columns, bucket.alias("bucket"))
 
 
-def build(docs: DataFrame, capacity: int = CAPACITY, rows: DataFrame | None = None) -> tuple[DataFrame, list[tuple[int, int]]]:
+def build(docs: DataFrame, capacity: int = CAPACITY, rows: DataFrame | None = None) -> tuple[DataFrame, Directory]:
     """The index as a table in the shared folder, each bucket in one file and sorted by key, and its directory. ``rows`` are
     those of :func:`keyed`, where they are written already."""
     buckets = directory(cut((_texts(docs) if rows is None else rows).select("key").distinct()), capacity)
@@ -137,7 +160,7 @@ def keep_rows(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return one_of_each(rows, sha)
 
 
-def lookup(index: DataFrame, buckets: list[tuple[int, int]], texts: DataFrame) -> DataFrame:
+def lookup(index: DataFrame, buckets: Directory, texts: DataFrame) -> DataFrame:
     """Rows of ``texts`` (doc_id, text) with the keep_id and group_size of the index entry with equal text, NULL without."""
     asked = with_bucket(keyed(texts), buckets)
     return asked.join(index.select("bucket", "key", "text_sha256", "keep_id", "group_size"), ["bucket", "key", "text_sha256"], "left").select("doc_id", "keep_id", "group_size", "text_sha256")
