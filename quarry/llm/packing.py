@@ -4,6 +4,9 @@ Documents longer than a sequence are cut into full pieces; the rest are placed,
 sequence (or a new one) that makes the sum over residual gaps of squared counts of open sequences smallest; of equals,
 the smallest gap. Groups of pieces are packed apart; sequences that stay open are taken apart again and packed anew in
 fewer groups, so that each group of the last round, and not each group of the first, has a few open sequences.
+
+NULL texts count as empty, rows that are alike are packed like any others, in all groups alike, and texts of any length are
+cut into as many pieces as they need. An empty table gives no piece. Other columns are not read.
 """
 from __future__ import annotations
 
@@ -99,7 +102,8 @@ def pack(parts: DataFrame, capacity: int = 4096, group_pieces: int = GROUP_PIECE
         n = todo.count()
         groups, last = max(1, -(-n // group_pieces)), round_ == rounds - 1
         last = last or groups == 1
-        bucket = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(round_)), F.lit(groups)).cast("int")
+        # The place in the written table spreads rows that are alike in every column.
+        bucket = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(round_), F.monotonically_increasing_id()), F.lit(groups)).cast("int")
         packed = cut(todo.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(_packed(round_, capacity, last), schema))
         done = packed.where("done").drop("done")
         out = done if out is None else out.unionByName(done)

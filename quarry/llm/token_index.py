@@ -24,6 +24,8 @@ MAGIC = b"WVM1"
 BLOCK = 512
 #: A shard is closed once it holds so many ids; documents are not cut.
 SHARD_TOKENS = 1 << 20
+#: Characters of a text that take part in the choice of its task, next to the id.
+RANGE_CHARS = 64
 FILE_SCHEMA = "part int, shard int, n_tokens long, doc_ids array<long>, lengths array<long>, body binary"
 
 
@@ -151,7 +153,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end_id: int =
     """Encodes every text and writes shards to ``path``, a folder all machines share, in ascending doc_id order.
 
     NULL text counts as empty and gives the end id alone; NULL ids come first; rows with the same id stay, ordered by
-    text. An empty table gives an empty file. Other columns are not read.
+    text. Texts of any length are encoded whole, in slices. An empty table gives an empty file. Other columns
+    are not read.
     """
 
     def shards(batches):
@@ -177,7 +180,12 @@ def write(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE, end_id: int =
         if ids:
             yield close()
 
-    id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, FILE_SCHEMA).write.parquet(path)
+    # Ranges split the rows of one id by how their texts begin, and short texts that are alike by where they are read; what
+    # is sampled for the ranges stays short. Each task then orders whole texts.
+    begin, place = F.substring("text", 1, RANGE_CHARS), F.when(F.length(F.coalesce("text", F.lit(""))) <= RANGE_CHARS, F.monotonically_increasing_id()).otherwise(F.lit((1 << 63) - 1))
+    rows = id_and_text(docs).select("doc_id", begin.alias("begin"), place.alias("place"), "text")
+    ordered = rows.repartitionByRange("doc_id", "begin", "place").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+    ordered.mapInArrow(shards, FILE_SCHEMA).write.parquet(path)
 
 
 _FILE = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("body", pa.binary())])

@@ -76,3 +76,16 @@ def test_groups_are_packed_again(spark):
     parts = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.pmod(F.xxhash64("id"), F.lit(90)) + 1).alias("length"), F.col("id").alias("ids_crc32"))
     rows = packing.pack(parts, 100, group_pieces=300).collect()
     assert len(rows) == 6000 and check(rows, 100) <= 1.02 * sum(r.length for r in rows) / 100 + 1
+
+
+def test_rows_alike_in_every_column(spark):
+    """Two thirds of the pieces are one row repeated: they take part in every group."""
+    same = spark.range(4000, numPartitions=4).selectExpr("cast(null as long) doc_id", "0 piece", "0L start", "1L length", "7L ids_crc32")
+    other = spark.range(2000).selectExpr("id doc_id", "0 piece", "0L start", "pmod(xxhash64(id), 90) + 1 length", "id ids_crc32")
+    rows = packing.pack(same.unionByName(other), 100, group_pieces=300).collect()
+    assert len(rows) == 6000 and sum(r.doc_id is None for r in rows) == 4000 and check(rows, 100) <= 1.02 * sum(r.length for r in rows) / 100 + 1
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.sequence_id >> 24, []).append(r.doc_id)
+    first = [g for k, g in groups.items() if k >> 36 == 0]
+    assert len(first) == 20 and max(len(g) for g in first) <= 400

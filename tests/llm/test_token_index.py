@@ -73,3 +73,19 @@ def test_round_trip(spark, edge, none):
     empty = scratch(spark)
     token_index.write(none, empty)
     assert token_index.read(spark, empty).count() == 0
+
+
+def test_rows_of_one_id(spark, monkeypatch):
+    """Rows without id, many alike and some that differ far in: in the order of their texts, over several tasks."""
+    monkeypatch.setattr(token_index, "RANGE_CHARS", 4)
+    text = "case when id % 3 = 0 then null when id % 3 = 1 then 'abcd' when id % 9 = 2 then 'abc' else concat('abcd', id % 50) end"
+    docs, path = spark.range(3000, numPartitions=6).selectExpr("cast(null as long) doc_id", f"{text} text"), scratch(spark)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one task
+    token_index.write(docs, path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = sorted(token_index.read(spark, path).collect(), key=lambda r: r.start)
+    encode = reference(BYTE_BPE)
+    want = [np.array([*encode.encode(t, add_special_tokens=False).ids, 2], "<u4") for t in sorted(r.text or "" for r in docs.collect())]
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(w), zlib.crc32(w.tobytes())) for w in want]
+    assert [r.start for r in got] == np.cumsum([0, *map(len, want[:-1])]).tolist()
+    assert len({r.part for r in got}) > 2
