@@ -46,6 +46,9 @@ LINKS_PER_TASK = 1 << 20
 HOT_ENTRIES = 1 << 15
 #: Index bytes (before compression) that a bucket is meant to hold.
 BUCKET_BYTES = 16 << 20
+#: Sets that verification remembers, in bytes, and compressed bodies of pairs that it unpacks at once (one pair at least).
+SETS_BYTES = 16 << 20
+PAIR_BYTES = 1 << 20
 _STEPS = mix(np.arange(11, 11 + 64, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -349,6 +352,15 @@ def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return out.dropDuplicates(["class"]) if reps.where("n > 1").limit(1).count() else out
 
 
+def runs(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices of neighbours whose sizes sum to ``limit`` at most, or of one."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield slice(at, to)
+        at = to
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of the pairs that link."""
 
@@ -357,18 +369,23 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
         unpack = zstandard.ZstdDecompressor()
         memory: dict[int, np.ndarray] = {}
+        size = 0
 
         def sets(classes, bodies):
-            new = {c: body for c, body in zip(classes, bodies) if c not in memory}
-            if len(memory) + len(new) > 4000:
+            nonlocal size
+            if size > SETS_BYTES:
                 memory.clear()
-                new = dict(zip(classes, bodies))
-            held = [unpack.decompress(b).decode() for b in new.values()]
-            memory.update(zip(new, shingle_sets(pa.array(held, pa.string()), k)))
+                size = 0
+            new = {c: body for c, body in zip(classes, bodies) if c not in memory}
+            held = pa.array([unpack.decompress(b).decode() for b in new.values()], pa.string())
+            for c, own in zip(new, shingle_sets(held, k)):
+                memory[c] = own.copy()
+                size += own.nbytes
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000).to_pydict()
+            packed = np.add(*(np.asarray(pa.compute.binary_length(batch.column(n)), np.int64) for n in ("body_a", "body_b")))
+            for part in runs(packed, PAIR_BYTES):
+                rows = batch.slice(part.start, part.stop - part.start).to_pydict()
                 sets(rows["a"] + rows["b"], rows["body_a"] + rows["body_b"])
                 keep = []
                 for a, b in zip(rows["a"], rows["b"]):
