@@ -3,7 +3,7 @@
 The tagger is trained in numpy on windows around the signs that such data is made of, labelled by the spans of the
 patterns, from a bounded sample of the corpus. Each window with a span is learned twice, as it is and disguised: signs in
 brackets or in words, spaced or unusual separators, numbers without their plus. Every text is searched whole for signs, digits,
-@ and their words; each stretch of signs is covered by overlapping windows, their scores are averaged, weighted by the
+@ and their words, one of which any accepted span holds; each stretch of signs is covered by overlapping windows, their scores are averaged, weighted by the
 distance from a window's edge, and one best path is decoded over the whole stretch. A decoded span is added when it is well-formed
 for its kind once the disguise is undone (the pattern of an address, parts up to 255, Luhn, 8 to 15 digits after a plus, a
 bracket or a zero) and overlaps no other span. Spans of the patterns always stay.
@@ -41,7 +41,10 @@ WINDOW, STEP, AROUND = 64, 32, 32
 SAMPLE_WINDOWS = 400
 #: Steps of the training.
 STEPS = 420
-_SIGN = re.compile(r"[0-9@]|[\[({<]\s?(?:at|dot)\s?[\])}>]|\bdot\b", re.IGNORECASE)
+#: Whatever :func:`well_formed` accepts holds a digit, an @ or one of these words.
+_SIGN = re.compile(r"[0-9@]|[\[({<]\s*(?:at|dot|\.)\s*[\])}>]|\b(?:at|dot)\b", re.IGNORECASE)
+#: What a span with a sign can go on over: the rest of a word, the next one, and words between which only punctuation stands.
+_ON = re.compile(r"\S*+(?:\s++\S++)?+(?:\s++[^\s\w]++\s++\S++)*+")
 #: Ways to write a sign that a disguise takes from, and separators of digits.
 AT, DOT = (" [at] ", " (at) ", " at ", "[at]", " @ ", "(at)"), (" [dot] ", " dot ", " . ", ".", "[dot]", " (dot) ")
 SEPARATORS = (".", "/", " . ", "  ", "_", "-", " - ")
@@ -136,12 +139,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where signs lie, with their surroundings; stretches that meet are one."""
+    """Where signs lie, with their surroundings and all words that a span with the sign can take in; stretches that meet are one. A
+    span that is accepted holds a sign, so none lies outside."""
     out: list[list[int]] = []
+    back = text[::-1]
     for m in _SIGN.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        if out and m.end() + AROUND <= out[-1][1]:
+            continue
+        a, b = m.start(), m.end()
+        a = a if out and a <= out[-1][1] else min(max(0, a - AROUND), len(text) - _ON.match(back, len(text) - a).end())
+        b = max(min(len(text), b + AROUND), _ON.match(text, b).end())
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]

@@ -112,3 +112,19 @@ def test_disguises_are_undone():
     text, tags = pii._disguised("x" * 10 + "10.20.30.40" + " y" * 10, [0] * 10 + [3] + [4] * 10 + [0] * 20, rng)
     marked = "".join(c for c, t in zip(text, tags) if t)
     assert len(text) == len(tags) and pii.well_formed("ip", marked) and marked != "10.20.30.40"
+
+
+def test_every_span_that_can_be_accepted_lies_in_a_stretch():
+    """Signs are in all of them, however long or widely spaced they are written."""
+    fill = "quiet words without any of it, " * 20
+    long = "a" * 200
+    for kind, span in (
+        ("email", "jane at example.com"), ("email", f"{long}@example.org"), ("email", "jane AT example . com"), ("email", "jane [  at  ] example [   dot   ] com"),
+        ("email", "jane . m . doe at mail . example . org"), ("email", "jane" + " " * 90 + "at" + " " * 90 + "example.org"), ("ip", "10" + " " * 70 + "." + " " * 70 + "0.0.1"),
+    ):
+        assert pii.well_formed(kind, span)
+        text = f"{fill}{span} {fill}"
+        at = len(fill)
+        assert any(a <= at and at + len(span) <= b for a, b in pii.stretches(text)), span
+    found = pii.stretches(fill + "7 " + fill + "8" + fill)
+    assert len(found) == 2 and all(b - a < 120 for a, b in found)
