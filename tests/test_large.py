@@ -72,17 +72,30 @@ def test_blocks_stay_small(spark, monkeypatch):
 @pytest.mark.parametrize("max_eps", [np.inf, 0.3])
 def test_walk_needs_few_neighbours(spark, max_eps):
     """Neighbours at or above the core distance of the point they let in are left to the trees."""
-    x = np.random.default_rng(4).normal(size=(400, 2))
+    x = np.random.default_rng(4).normal(size=(90, 2))
     pts = brute.points(spark, x).select("row_id", "x")
-    near = neighbours.knn(pts, 14)
-    steps, core = density.step_edges(pts, near, 15, max_eps)
+    near = neighbours.knn(pts, 4)
+    steps, core = density.step_edges(pts, near, 5, max_eps)
     cores = {r["row_id"]: r["core"] for r in core.collect()}
     tree = {(r["i"], r["j"]) for r in density.spanning_edges(core.filter("core is not null"), max_eps).collect()}
     other = [r for r in steps.filter("q is not null").collect() if (min(r["q"], r["v"]), max(r["q"], r["v"])) not in tree]
     assert all(cores[r["v"]] is None or r["w"] < cores[r["v"]] for r in other)
-    walk = density.reachability(pts, 15, max_eps=max_eps).orderBy("pos").collect()
-    lists = density.reachability(pts, 15, max_eps=max_eps, walk_edges=0).orderBy("pos").collect()
+    walk = density.reachability(pts, 5, max_eps=max_eps).orderBy("pos").collect()
+    lists = density.reachability(pts, 5, max_eps=max_eps, walk_edges=0).orderBy("pos").collect()
     assert walk == lists
     if max_eps == np.inf:
-        order, reach, *_ = brute.optics_walk(x, 15)
+        order, reach, *_ = brute.optics_walk(x, 5)
         assert [r["row_id"] for r in walk] == list(order)
+
+
+def test_extremes_of_blocks_with_missing_coordinates():
+    """They are compared as wholes: a missing coordinate leaves the gaps of its block out and never becomes an extreme itself."""
+    r = np.random.default_rng(6)
+    make = lambda x: blocks.Block({"x": x.ravel(), "bid": 0, "ids": np.arange(len(x)), "cluster": np.arange(len(x)) % 3}, 2)
+    x, y = r.normal(size=(40, 2)), r.normal(size=(40, 2))
+    y[5] = np.nan
+    kernel = validate._Extremes(["cluster"])
+    widest, closest = kernel.feed(kernel.start(make(x)), make(x), make(y))
+    assert np.isinf(closest[0]) and not np.isnan(widest[0])
+    widest, closest = kernel.feed((widest, closest), make(x), make(x[::-1]))
+    assert np.isfinite(closest[0]) and widest[0] > 0
