@@ -99,3 +99,20 @@ def test_extremes_of_blocks_with_missing_coordinates():
     assert np.isinf(closest[0]) and not np.isnan(widest[0])
     widest, closest = kernel.feed((widest, closest), make(x), make(x[::-1]))
     assert np.isfinite(closest[0]) and widest[0] > 0
+
+
+def test_no_more_rows_are_fetched_than_pivots_are_drawn_from(spark, monkeypatch):
+    seen = []
+
+    class Spy(blocks.PivotCells):
+        ROWS = 100
+
+        def __init__(self, sample, cells):
+            seen.append(len(sample))
+            super().__init__(sample, cells)
+
+    monkeypatch.setattr("quarry.operators.blocks.PivotCells", Spy)
+    x = np.random.default_rng(1).normal(size=(2000, 20))
+    b = blocks.build(brute.points(spark, x), spatial=True, block_rows=100)
+    assert 0 < seen[0] < 200
+    assert b.df.selectExpr("sum(n)").first()[0] == 2000
