@@ -184,6 +184,29 @@ def test_rank_correlation_of_crowded_distances(spark):
     assert exact["error"] == 0 and abs(exact["spearman"] - want) < 1e-12 and exact["n_pairs"] == 121 * 60
 
 
+def test_rank_correlation_by_counts_alone(spark, monkeypatch):
+    """Many rows: two passes, one that counts and one for the products; crowds that counts cannot tell apart go on as before."""
+    from quarry.operators import blocks
+
+    r = np.random.default_rng(11)
+    x = r.normal(size=(340, 4))
+    swept, sweep = [], blocks.sweep
+    monkeypatch.setattr(blocks, "sweep", lambda b, d, links, kernel, *rest: swept.append(type(kernel).__name__) or sweep(b, d, links, kernel, *rest))
+    high, low = brute.points(spark, x), brute.points(spark, x[:, :2])
+    got = quality.distance_rank_correlation(high, low, tol=1e-3, plain=True).first()
+    assert swept == ["_PairCounts", "_RankProducts"]
+    assert got["n_pairs"] == 340 * 339 // 2 and got["error"] <= 1e-3
+    assert got["spearman"] == pytest.approx(brute.spearman(x, x[:, :2]), abs=1e-5)
+    swept.clear()
+    grid = brute.points(spark, np.floor(x))
+    got = quality.distance_rank_correlation(high, grid, plain=True).first()
+    assert swept[-1] == "_RankProducts" and "_PairBins" in swept
+    assert got["spearman"] == pytest.approx(brute.spearman(x, np.floor(x)), abs=1e-7)
+    monkeypatch.setattr(blocks, "SMALL_PAIRS", 0)
+    swept.clear()
+    assert quality.distance_rank_correlation(high, low, tol=1e-3).first()["n_pairs"] == 340 * 339 // 2 and swept == ["_PairCounts", "_RankProducts"]
+
+
 def test_overlap(spark):
     x = SETS["wide"]
     a, b = brute.knn(x, range(len(x)), 10), brute.knn(x[:, :2], range(len(x)), 10)
