@@ -99,6 +99,31 @@ def test_tiles_equal_broadcast(spark, monkeypatch, small_pairs):
     assert rho == pytest.approx(brute.spearman(x, x[:, :1]), abs=1e-6)
 
 
+@pytest.mark.parametrize("dims", [2, 40])
+def test_rows_in_parts_and_known_bounds_keep_neighbours(monkeypatch, dims):
+    """Rows are worked on a few at a time; with a bound only points within it are sorted. Both give the same neighbours, ties by id."""
+    from quarry.functions import kernels
+
+    r = np.random.default_rng(12)
+    x = np.vstack([r.normal(size=(150, dims)), np.floor(r.normal(size=(150, dims)))])
+    x = np.vstack([x, x[140:160]])
+    ids, q = np.arange(len(x)) * 3, x[::2]
+    d2 = kernels.sq_dist(q, x)
+    order = np.lexsort((np.broadcast_to(ids, d2.shape), d2))[:, :7]
+    want, limits = np.take_along_axis(d2, order, axis=1), r.random((len(q), 3)) * dims
+    counts = np.stack([(d2 < limits[:, [m]]).sum(axis=1) for m in range(3)], axis=1)
+    monkeypatch.setattr(kernels, "CACHED_PAIRS", 5 * len(x))
+    assert (kernels.sq_dist(q, x) == d2).all() and (kernels.count_nearer(q, limits, x, np.ones(len(x))) == counts).all()
+    for bound in (want[:, -1] * (1 + 1e-12), np.full(len(q), 1e9), np.full(len(q), np.inf)):
+        dist, who = kernels.nearest_within(q, x, ids, 7, bound)
+        assert (dist == want).all() and (who == ids[order]).all()
+    monkeypatch.setattr(kernels, "nearest", None)  # nothing but the points within a bound is looked at again
+    half = want[:, 3]
+    dist, who = kernels.nearest_within(q, x, ids, 7, half)
+    near = np.isfinite(dist)
+    assert (dist[near] == want[near]).all() and (who[near] == ids[order][near]).all() and (near[:, :4]).all() and (dist[near] <= np.repeat(half, near.sum(axis=1)) + 1e-6).all()
+
+
 def test_balls_skip_most_pairs_in_many_dimensions(spark, monkeypatch):
     """Groups in 64 dimensions: most block pairs are never looked at, for neighbours, rank counts, Dunn and the spanning tree."""
     from quarry.operators import blocks
