@@ -1,10 +1,13 @@
+import threading
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from quarry import sources
-from quarry.operators import compare, kmeans, pca, prepare, quality, validate
-from quarry.plans import pipeline
+from quarry.operators import compare, density, kmeans, pca, prepare, quality, validate
+from quarry.plans import catalog, pipeline
 
 RNG = np.random.default_rng(9)
 
@@ -140,3 +143,52 @@ def test_clean_and_scale_order(spark):
     check = prepare.standardize_check(done.scaled, done.columns, 6).collect()
     n = done.clean.count()
     assert all(r["mean"] == 0 and r["std"] == pytest.approx((n / (n - 1)) ** 0.5, abs=1e-6) for r in check)
+
+
+def test_density_metrics_work_out_no_silhouette_twice(spark, monkeypatch):
+    x = np.vstack([RNG.normal(size=(30, 2)) + c for c in ([0, 0], [9, 0], [0, 9])])
+    points = brute.points(spark, x)
+    labels = points.select("row_id", F.when(F.col("row_id") % 7 == 0, -1).otherwise((F.col("row_id") / 30).cast("int")).alias("cluster"))
+    target = points.select("row_id", (F.col("row_id") % 3).alias("y"))
+    rows = lambda d: sorted((r["model"], r["metric"], None if r["value"] is None else round(r["value"], 9)) for r in d.collect())
+    summary = density.run_summary(points, labels).localCheckpoint()
+    calls, silhouette = [], validate.silhouette
+    monkeypatch.setattr(validate, "silhouette", lambda *a, **k: silhouette(*a, **k) if not calls.append(1) else None)
+    alone = rows(pipeline.density_metrics(points, labels, target, "run"))
+    assert len(calls) == 1 and len(alone) == 10 and {m for _, m, _ in alone} >= {"silhouette", "dunn", "ari"}
+    assert rows(pipeline.density_metrics(points, labels, target, "run", summary)) == alone and len(calls) == 1
+
+
+def test_grids_go_on_beside_density_runs(spark, monkeypatch):
+    met, made = threading.Barrier(2), []
+    points = brute.points(spark, np.arange(6.0).reshape(3, 2))
+    grid = spark.createDataFrame([(2, "silhouette", 0.5), (3, "silhouette", 0.25)], "k int, metric string, value double")
+    runs = points.select("row_id", F.lit(0).alias("cluster"), F.explode(F.array(F.lit("PCA"), F.lit("UMAP"))).alias("space"), F.explode(F.array(F.lit(5))).alias("min_samples"))
+
+    def sensitivity(spaces):
+        made.append(sorted(spaces))
+        met.wait(120)  # for the grid of the other thread; one after the other would break it
+        return runs, runs, runs
+
+    monkeypatch.setattr(catalog, "_wide", lambda s, d: (None, None, None, None, points))
+    monkeypatch.setattr(catalog, "_spaces", lambda s, d: {"PCA": points, "UMAP": points})
+    monkeypatch.setattr(catalog, "_grid", lambda s, d: met.wait(120) and None or grid)
+    monkeypatch.setattr(catalog, "_target", lambda s, d: points.select("row_id", F.lit(1).alias("y")))
+    monkeypatch.setattr(catalog.kmeans, "fit_grid", lambda *a: {})
+    monkeypatch.setattr(catalog.kmeans, "grid_metrics", lambda *a: grid)
+    monkeypatch.setattr(catalog.density, "sensitivity", sensitivity)
+    monkeypatch.setattr(catalog.pipeline, "density_metrics", lambda p, lab, t, run, summary: spark.createDataFrame([(run, "silhouette", 1.0)], "model string, metric string, value double"))
+    found = catalog._comparison(spark, "side by side").collect()
+    assert made == [["PCA", "UMAP"]]
+    assert sorted(r["model"] for r in found) == sorted(f"{m} {s}{e}" for s in ("PCA", "UMAP") for m, e in (("k-means", ""), ("density", " ms=5"), ("density", " ms=15")))
+
+
+def test_sums_of_few_and_of_many_tasks_agree(spark, monkeypatch):
+    points = brute.points(spark, RNG.normal(size=(300, 2))).repartition(5)
+    found = []
+    for few in (0, 64):
+        monkeypatch.setattr(kmeans, "FEW_TASKS", few)
+        found.append(kmeans.fit_grid(points, [2, 5], restarts=2))
+    for k in (2, 5):
+        assert found[0][k].centres == pytest.approx(found[1][k].centres, abs=1e-9)
+        assert found[0][k].inertia == pytest.approx(found[1][k].inertia, rel=1e-9)
