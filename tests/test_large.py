@@ -116,3 +116,20 @@ def test_no_more_rows_are_fetched_than_pivots_are_drawn_from(spark, monkeypatch)
     b = blocks.build(brute.points(spark, x), spatial=True, block_rows=100)
     assert 0 < seen[0] < 200
     assert b.df.selectExpr("sum(n)").first()[0] == 2000
+
+
+@pytest.mark.parametrize("wide", ["query", "data"])
+def test_blocks_apart_for_the_smaller_one_do_not_meet_point_by_point(monkeypatch, wide):
+    """A block of far rows has a wide box that is near to all others; the nodes of the small one stand for its points."""
+    r = np.random.default_rng(9)
+    make = lambda x, c: blocks.Block({"x": x.ravel(), "bid": 0, "ids": np.arange(len(x)), "w": r.integers(1, 3, len(x)), "cluster": c, "other": c // 2}, 2)
+    big, small = make(r.normal(size=(300, 2)) * 50, r.integers(0, 3, 300)), make(r.uniform(size=(200, 2)) + [400, 0], r.integers(0, 4, 200))
+    q, d = (big, small) if wide == "query" else (small, big)
+    met, real = [], validate.distances
+    monkeypatch.setattr(validate, "distances", lambda a, b: (met.append(len(a) * len(b)), real(a, b))[1])
+    kernel = validate._SmoothSums([np.arange(4), np.arange(2)], ["cluster", "other"])
+    batch = kernel.finish(kernel.feed(kernel.start(q), q, d), q)
+    assert sum(met) == validate.NODES**2 * len(big.ids)  # and not one for each pair of points
+    want = brute.dist(np.vstack([q.x, d.x]))[: len(q.x), len(q.x) :]
+    want = np.stack([(want * d.w)[:, lab == v].sum(axis=1) for lab, n in ((d.cluster, 4), (d.other, 2)) for v in range(n)], axis=1)
+    assert np.abs(np.array(batch.column("s").to_pylist()) / np.maximum(want, 1e-9) - 1)[want > 0].max() < 1e-10
