@@ -133,3 +133,20 @@ def test_blocks_apart_for_the_smaller_one_do_not_meet_point_by_point(monkeypatch
     want = brute.dist(np.vstack([q.x, d.x]))[: len(q.x), len(q.x) :]
     want = np.stack([(want * d.w)[:, lab == v].sum(axis=1) for lab, n in ((d.cluster, 4), (d.other, 2)) for v in range(n)], axis=1)
     assert np.abs(np.array(batch.column("s").to_pylist()) / np.maximum(want, 1e-9) - 1)[want > 0].max() < 1e-10
+
+
+def test_ranks_list_pairs_only_where_rounding_matters(monkeypatch):
+    """In many dimensions most blocks hold no point at a limit: counts settle them. Where one does, ties are not nearer."""
+    from quarry.functions.kernels import count_nearer, sq_dist
+
+    r = np.random.default_rng(4)
+    q, x, w = r.normal(size=(70, 30)), r.normal(size=(90, 30)), r.integers(1, 4, 90).astype(float)
+    d2 = sq_dist(q, x)
+    at = np.sort(d2, axis=1)[:, [3, 20, 60]]
+    limits = at * (1 + 1e-6)
+    want = np.stack([(d2 < limits[:, m, None]) @ w for m in range(3)], axis=1)
+    listed = np.nonzero
+    with monkeypatch.context() as m:
+        m.setattr(np, "nonzero", lambda a: listed(a) if a.ndim == 1 else pytest.fail("pairs were listed"))
+        assert (count_nearer(q, limits, x, w) == want).all()
+    assert (count_nearer(q, at, x, w) == np.stack([(d2 < at[:, m, None]) @ w for m in range(3)], axis=1)).all()
